@@ -12,7 +12,6 @@ frequent entries, at most `hot` of each kind, go to every task; rows for the oth
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ class Reader:
     """Words and byte windows of some texts, A to Z in lower case."""
 
     def __init__(self) -> None:
-        self.hash = WordHashes()
+        self.hash = WordHashes(1 << 18)
 
     def __call__(self, texts: list[str]) -> None:
         raw = [t.encode("utf-8", "replace").lower() for t in texts]
@@ -58,7 +57,7 @@ class Reader:
 class _Sums:
     """Counts by key, added up in the task and let go at a bounded size."""
 
-    def __init__(self, most: int = 2_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.most, self.parts, self.size = most, [], 0
 
     def add(self, keys: np.ndarray, n_all: np.ndarray, n_train: np.ndarray) -> tuple | None:
@@ -115,30 +114,41 @@ def _context(key: Column) -> Column:
 
 
 def ppm_table(windows: DataFrame) -> DataFrame:
-    """key, n_all, n_train -> with lp, the log10 probability of the window's last byte after the others."""
+    """key, n_all, n_train -> with lp, the log10 probability of the window's last byte after the others.
+
+    Each level's counts and contexts are tables in the shared folder, so no plan holds more than one
+    level's joins for the windows met in training, and one chain of joins for the others."""
     counts = {ORDER: windows.where("n_train > 0").select("key", F.col("n_train").alias("c"))}
     for k in range(ORDER - 1, -1, -1):
-        counts[k] = counts[k + 1].groupBy(_suffix(F.col("key"), k).alias("key")).agg(F.sum("c").alias("c")).cache()
+        counts[k] = stored(counts[k + 1].groupBy(_suffix(F.col("key"), k).alias("key")).agg(F.sum("c").alias("c")), f"lm-counts-{k}")
     stats = {}
     for k in range(ORDER, -1, -1):
         own = counts[k].select(_context(F.col("key")).alias("ctx"), "c", _suffix(F.col("key"), k - 1).alias("low") if k else F.lit(0).alias("low"))
         if k:
             own = own.join(counts[k - 1].select(F.col("key").alias("low"), F.col("c").alias("x")), "low")
         else:
-            own = own.withColumn("x", F.lit(0))
-        stats[k] = own.groupBy("ctx").agg(F.sum("c").alias("t"), F.count("*").alias("d"), F.sum("x").alias("x"))
-    t, d = F.coalesce("t", F.lit(0)), F.coalesce("d", F.lit(0))
-    top = windows.withColumn("ctx", _context(F.col("key"))).join(stats[ORDER], "ctx", "left")
-    done = [top.where("n_train > 0").select("key", "n_all", "n_train", F.log10(F.col("n_train") / (t + d)).alias("lp"))]
-    open_ = top.where("n_train = 0").select("key", "n_all", F.when(F.col("t").isNotNull(), F.log10(d / (t + d))).otherwise(0.0).alias("acc"), F.coalesce("x", F.lit(0)).alias("ex_t"), d.alias("ex_d"))
+            own = own.withColumn("x", F.lit(0).cast("long"))
+        stats[k] = stored(own.groupBy("ctx").agg(F.sum("c").alias("t"), F.count("*").alias("d"), F.sum("x").alias("x")), f"lm-contexts-{k}")
+    known, zero = F.col("t").isNotNull(), F.lit(0).cast("long")
+    esc = F.when(known, F.log10(F.col("d") / (F.col("t") + F.col("d")))).otherwise(0.0)
+    lp = F.when(F.col("n_train") > 0, F.log10(F.col("n_train") / (F.col("t") + F.col("d"))))
+    top = stored(windows.withColumn("ctx", _context(F.col("key"))).join(stats[ORDER], "ctx", "left").select("key", "n_all", "n_train", lp.alias("lp"), esc.alias("acc"), F.coalesce("x", zero).alias("ex_t"), F.coalesce("d", zero).alias("ex_d")), "lm-top")
+    rest = top.where("lp is null")
     for k in range(ORDER - 1, -1, -1):
-        here = open_.withColumn("low", _suffix(F.col("key"), k)).join(counts[k].select(F.col("key").alias("low"), "c"), "low", "left")
-        here = here.withColumn("ctx", _context(F.col("low"))).join(stats[k], "ctx", "left")
-        t_, d_ = F.col("t") - F.col("ex_t"), F.col("d") - F.col("ex_d")
-        done.append(here.where("c is not null").select("key", "n_all", F.lit(0).cast("long").alias("n_train"), (F.col("acc") + F.log10(F.col("c") / (t_ + d_))).alias("lp")))
-        open_ = here.where("c is null").select("key", "n_all", (F.col("acc") + F.when((d_ > 0) & F.col("t").isNotNull(), F.log10(d_ / (t_ + d_))).otherwise(0.0)).alias("acc"), F.when(F.col("t").isNotNull(), F.col("x")).otherwise(F.col("ex_t")).alias("ex_t"), F.when(F.col("t").isNotNull(), F.col("d")).otherwise(F.col("ex_d")).alias("ex_d"))
-    done.append(open_.select("key", "n_all", F.lit(0).cast("long").alias("n_train"), (F.col("acc") - F.log10(256 - F.col("ex_d"))).alias("lp")))
-    return reduce(DataFrame.unionByName, done)
+        rest = rest.withColumn("low", _suffix(F.col("key"), k)).join(counts[k].select(F.col("key").alias("low"), "c"), "low", "left")
+        rest = rest.withColumn("ctx", _context(F.col("low"))).join(stats[k], "ctx", "left")
+        t, d = F.col("t") - F.col("ex_t"), F.col("d") - F.col("ex_d")
+        rest = rest.select(
+            "key",
+            "n_all",
+            "n_train",
+            F.coalesce("lp", F.when(F.col("c").isNotNull(), F.col("acc") + F.log10(F.col("c") / (t + d)))).alias("lp"),
+            (F.col("acc") + F.when(known & (d > 0), F.log10(d / (t + d))).otherwise(0.0)).alias("acc"),
+            F.when(known, F.col("x")).otherwise(F.col("ex_t")).alias("ex_t"),
+            F.when(known, F.col("d")).otherwise(F.col("ex_d")).alias("ex_d"),
+        )
+    rest = rest.select("key", "n_all", "n_train", F.coalesce("lp", F.col("acc") - F.log10(256 - F.col("ex_d"))).alias("lp"))
+    return top.where("lp is not null").select("key", "n_all", "n_train", "lp").unionByName(rest)
 
 
 def _hot(values: DataFrame, most: int) -> DataFrame:
