@@ -1,4 +1,304 @@
-"""The registered queries over catalogue records."""
+"""The registered queries over catalogue records, and the same in DuckDB's SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Items come from `part`, whole; library 1 is home. Lists leave as joined text, so both sides compare."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as t
+from .operators import changes, clustering, difference, linkage
+from .plans.storage import stored
+from .sources.items import PART_FIELDS, PART_ITEMS, part_fields, part_items
+
+HOME = 1
+LIBRARIES = [1, 2, 3, 4]
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.normalize_items(part_items(spark, d))
+
+
+def _matches(items: DataFrame) -> DataFrame:
+    return linkage.match_pairs(linkage.with_items(linkage.candidate_pairs(items), items))
+
+
+def _rules() -> F.Column:
+    return F.array_join(F.transform("evidence", lambda e: e["rule"]), ",")
+
+
+def normalize_titles(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.normalized_text(F.split(F.coalesce("text", F.lit("")), "\n")[0]).alias("title"))
+    return docs.select("doc_id", "title", F.array_join(t.content_words(F.col("title")), " ").alias("words"))
+
+
+def normalize_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d).select("ordinal", "doi", "isbn13", "pmid", "arxiv", "year", F.array_join("creator_keys", ";").alias("creator_keys"))
+
+
+def block_keys(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.block_keys(_items(spark, d)).groupBy("block_key").agg(F.count("*").alias("n_items"))
+
+
+def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.candidate_pairs(_items(spark, d)).select("l_ordinal", "r_ordinal")
+
+
+def candidate_pairs_widened(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.widened_pairs(_items(spark, d), HOME)
+
+
+def match_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(_items(spark, d)).select("l_ordinal", "r_ordinal", "verdict", "tier", _rules().alias("rules"), "title_rel", "type_rel", "rules_verdict")
+
+
+def match_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return match_pairs(spark, d).groupBy("verdict", "tier", "rules").agg(F.count("*").alias("n"))
+
+
+def confirmed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return match_pairs(spark, d).where("verdict = 'match'").select("l_ordinal", "r_ordinal", "tier", "rules")
+
+
+def audit_counters(spark: SparkSession, d: str) -> DataFrame:
+    m = _matches(_items(spark, d))
+    return m.agg(F.count("*").alias("compared"), F.count_if("linked").alias("linked"), F.count_if(F.col("linked") & (F.col("rules_verdict") != "match")).alias("linked_unmatched"), F.count_if(F.col("verdict") == "match").alias("confirmed"))
+
+
+def find_copies(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return linkage.find_copies(items.where("ordinal = 1"), items).select("l_ordinal", "r_ordinal", "verdict", "tier")
+
+
+def works_exact(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return clustering.works_exact(items, _matches(items))
+
+
+def works_restricted(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return clustering.works_restricted(items, _matches(items))
+
+
+def work_rollup(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    out = clustering.roll_up(items, clustering.works_exact(items, _matches(items)))
+    return out.select("work", "work_id", F.array_join(F.transform("library_ids", lambda x: x.cast("string")), ",").alias("library_ids"), "canonical", "doi_conflict")
+
+
+def missing_from_home(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return clustering.missing_from(items, clustering.works_exact(items, _matches(items)), HOME)
+
+
+def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return clustering.coverage(items, clustering.works_exact(items, _matches(items)), LIBRARIES)
+
+
+def also_in(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return clustering.also_in(items, clustering.works_exact(items, _matches(items)))
+
+
+def _differences(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    partners = stored(difference.strong_partners(_matches(items), items, HOME), "partners")
+    return difference.compare(partners, part_fields(spark, d))
+
+
+def difference_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _differences(spark, d).select("target", "field", "class", "missing_in", F.col("n_alternatives").cast("long").alias("n_alternatives"), "first_alternative", "not_offered", "format_only")
+
+
+def difference_report(spark: SparkSession, d: str) -> DataFrame:
+    return difference.report(_differences(spark, d))
+
+
+def fillable_fields(spark: SparkSession, d: str) -> DataFrame:
+    rows = _differences(spark, d).where((F.col("class") == "MISSING") & (F.col("missing_in") == "target") & ~F.col("not_offered") & ~F.col("field").isin(difference.UNVERIFIED))
+    return rows.select("target", "field", F.col("first_alternative").alias("value"))
+
+
+def _recall(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    items = _items(spark, d)
+    wanted = stored(clustering.missing_from(items, clustering.works_exact(items, _matches(items)), HOME).select(F.col("work").alias("ordinal")), "missing")
+    return wanted, *changes.near_misses(items, wanted, HOME)
+
+
+def near_misses(spark: SparkSession, d: str) -> DataFrame:
+    return _recall(spark, d)[2]
+
+
+def import_plan(spark: SparkSession, d: str) -> DataFrame:
+    return changes.import_plan(*_recall(spark, d))
+
+
+def library_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 8).cast("int").alias("library_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+    return changes.fingerprint(rows)
+
+
+def stale_libraries(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 8).cast("int").alias("library_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("modified"), "event_id")
+    now = changes.fingerprint(rows).where("library_id <> 7").withColumn("version", F.when(F.col("library_id") == 3, 2).otherwise(1))
+    then = changes.fingerprint(rows.where("library_id not in (4, 5) or event_id % 2 = 0")).where("library_id <> 5").withColumn("version", F.lit(1))
+    return changes.stale_libraries(then, now)
+
+
+def cas_apply(spark: SparkSession, d: str) -> DataFrame:
+    return changes.apply_edits(part_fields(spark, d), _edits(spark, d))[1].groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def _edits(spark: SparkSession, d: str) -> DataFrame:
+    fields = part_fields(spark, d).where("field = 'issue' and value = ''")
+    return fields.select(F.col("ordinal").alias("target"), "field", F.when(F.col("ordinal") % 11 == 0, "moved").otherwise("").alias("expected"), F.lit("9").alias("next"))
+
+
+def cas_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return changes.apply_edits(part_fields(spark, d), _edits(spark, d))[0].groupBy("status").agg(F.count("*").alias("n"))
+
+
+def undo_session(spark: SparkSession, d: str) -> DataFrame:
+    """Edits and their reversal leave every field as it was."""
+    fields, edits = part_fields(spark, d), _edits(spark, d)
+    outcome, after = changes.apply_edits(fields, edits)
+    done = edits.join(outcome.where("status = 'written'"), "target", "left_semi")
+    return changes.apply_edits(after, changes.revert(done))[1].groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def stale_links(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return changes.stale_links(_matches(items), items, HOME)
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    normalize_titles, normalize_identifiers, block_keys, candidate_pairs, candidate_pairs_widened, match_pairs, match_histogram, confirmed_pairs, audit_counters, find_copies,
+    works_exact, works_restricted, work_rollup, missing_from_home, coverage_matrix, also_in, difference_classes, difference_report, fillable_fields, near_misses, import_plan,
+    library_fingerprint, stale_libraries, cas_apply, cas_outcomes, undo_session, stale_links,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_SEP = r"[ !-/:-@\[-`{-~]+|[\p{P}\p{S}]+"
+_STOP = ", ".join(f"'{w}'" for w in t.STOP_WORDS)
+
+
+def _norm(c: str) -> str:
+    return rf"lower(trim(regexp_replace(strip_accents(regexp_replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '[{{}}]', '', 'g')), '{_SEP}', ' ', 'g')))"
+
+
+def _words(c: str) -> str:
+    return f"[w FOR w IN string_split({c}, ' ') IF w <> '' AND NOT list_contains([{_STOP}], w)]"
+
+
+_NORM = rf"""items AS ({PART_ITEMS}), raw AS (
+  SELECT *, {_norm("coalesce(title, '')")} AS nt, regexp_replace(upper(isbn), '[^0-9X]', '', 'g') AS kept FROM items
+), n AS (
+  SELECT ordinal, library_id, library_name, item_key, lower(item_type) AS kind, item_type, nt, {_words('nt')} AS w,
+    CASE WHEN creator IS NULL THEN [] ELSE ['corporate:' || {_norm('creator')}] END AS ck,
+    try_cast(substr(date, 1, 4) AS INT) AS y,
+    CASE WHEN regexp_matches(lower(regexp_replace(doi, '(?i)^https?://doi.org/', '')), '^10\.') THEN lower(regexp_replace(doi, '(?i)^https?://doi.org/', '')) END AS doi,
+    CASE WHEN regexp_matches(kept, '^[0-9]{{13}}$') AND list_sum([try_cast(substr(kept, i, 1) AS INT) * (CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) FOR i IN range(1, 14)]) % 10 = 0 THEN kept
+      WHEN kept = '0306406152' THEN '9780306406157' END AS isbn13,
+    nullif(regexp_extract(extra, '(?im)^\s*PMID\s*:\s*(.+?)\s*$', 1), '') AS pmid,
+    nullif(lower(regexp_replace(regexp_extract(extra, '(?im)^\s*arXiv\s*:\s*(.+?)\s*$', 1), '(?i)^arxiv:', '')), '') AS arxiv,
+    CASE WHEN linked IS NULL THEN [] ELSE [CAST(linked % 4 + 1 AS STRING) || ':K' || linked] END AS links,
+    CAST(library_id AS STRING) || ':' || item_key AS ref
+  FROM raw
+), keys AS (
+  SELECT ordinal, library_id, unnest(list_concat(['link:' || ref], [('link:' || x) FOR x IN links],
+    [x FOR x IN ['doi:' || doi, 'isbn13:' || isbn13, 'pmid:' || pmid, 'arxiv:' || arxiv] IF x IS NOT NULL],
+    [('creator:' || x) FOR x IN ck], CASE WHEN len(ck) = 0 AND nt <> '' THEN ['title:' || nt] ELSE [] END)) AS key FROM n
+)"""
+_YEARS = "coalesce(abs(l.y - r.y) <= 1, true)"
+_LINKED = "(list_contains(l.links, r.ref) OR list_contains(r.links, l.ref))"
+_SHARED = "coalesce(l.doi = r.doi, false) OR coalesce(l.isbn13 = r.isbn13, false) OR coalesce(l.pmid = r.pmid, false) OR coalesce(l.arxiv = r.arxiv, false)"
+_CAND = f"({_LINKED} OR {_SHARED} OR ({_YEARS} AND (list_has_any(l.ck, r.ck) OR (len(l.ck) = 0 AND len(r.ck) = 0 AND l.nt = r.nt))))"
+_PAIRS = f"""{_NORM}, pairs AS (
+  SELECT DISTINCT a.ordinal AS l_ordinal, b.ordinal AS r_ordinal FROM keys a JOIN keys b ON a.key = b.key AND a.ordinal < b.ordinal AND a.library_id <> b.library_id
+  JOIN n l ON l.ordinal = a.ordinal JOIN n r ON r.ordinal = b.ordinal WHERE {_CAND}
+)"""
+_MATCH = rf"""{_PAIRS}, facts AS (
+  SELECT l_ordinal, r_ordinal, {_LINKED} AS linked, {_YEARS} AS ys, (list_has_any(l.ck, r.ck) OR (len(l.ck) = 0 AND len(r.ck) = 0)) AS cs,
+    CASE WHEN l.kind = r.kind THEN 'compatible'
+      WHEN list_sort([l.kind, r.kind]) IN (['journalarticle', 'preprint'], ['conferencepaper', 'journalarticle'], ['book', 'thesis'], ['document', 'journalarticle']) THEN 'related'
+      WHEN l.kind = 'document' OR r.kind = 'document' THEN 'compatible' ELSE 'incompatible' END AS type_rel,
+    CASE WHEN l.nt = '' OR r.nt = '' THEN 'missing' WHEN list_sort(l.w) = list_sort(r.w) THEN 'equivalent'
+      WHEN (len(l.w) >= 2 AND len(l.w) < len(r.w) AND r.w[1:len(l.w)] = l.w) OR (len(r.w) >= 2 AND len(r.w) < len(l.w) AND l.w[1:len(r.w)] = r.w) THEN 'addition-only' ELSE 'substitution' END AS title_rel,
+    coalesce(l.doi = r.doi, false)::INT + coalesce(l.pmid = r.pmid, false)::INT + coalesce(l.arxiv = r.arxiv, false)::INT + (coalesce(l.isbn13 = r.isbn13, false) AND l.kind = 'book' AND r.kind = 'book')::INT AS n_shared,
+    coalesce(l.doi <> r.doi, false) AS d1, coalesce(l.isbn13 <> r.isbn13, false) AS d2, coalesce(l.pmid <> r.pmid, false) AS d3,
+    list_has_any(CASE WHEN len(l.w) > len(r.w) THEN l.w[len(r.w) + 1:] ELSE r.w[len(l.w) + 1:] END, ['edition', 'ed', 'edn', 'version', 'ver', 'v']) AS edition,
+    [x FOR x IN l.w IF NOT list_contains(r.w, x)] AS ol, [x FOR x IN r.w IF NOT list_contains(l.w, x)] AS o
+  FROM pairs JOIN n l ON l.ordinal = l_ordinal JOIN n r ON r.ordinal = r_ordinal
+), ruled AS (
+  SELECT *, CASE WHEN type_rel = 'incompatible' THEN 'no-match|none|D6'
+      WHEN n_shared > 0 AND title_rel = 'substitution' THEN 'review|review|' || repeat('Tier 1,', n_shared) || '§8.1'
+      WHEN n_shared > 0 THEN 'match|exact|' || rtrim(repeat('Tier 1,', n_shared), ',') || CASE WHEN type_rel = 'related' THEN ',§8.4' ELSE '' END
+      WHEN d1 THEN 'no-match|none|D1' WHEN d2 THEN 'no-match|none|D2' WHEN d3 THEN 'no-match|none|D3' WHEN NOT ys THEN 'no-match|none|D5'
+      WHEN type_rel = 'related' AND title_rel IN ('equivalent', 'addition-only') AND cs AND ys THEN 'related|none|§8.4,§7' WHEN type_rel = 'related' THEN 'no-match|none|Tier 4'
+      WHEN title_rel = 'addition-only' AND edition THEN 'review|review|§8.4' WHEN title_rel IN ('equivalent', 'addition-only') AND cs AND ys THEN 'match|high|Tier 2,§7,§7'
+      WHEN title_rel = 'substitution' AND len(ol) = 1 AND len(o) = 1 AND levenshtein(ol[1], o[1]) <= 1 AND cs AND ys THEN 'review|review|Tier 3'
+      WHEN title_rel = 'substitution' THEN 'no-match|none|D7' ELSE 'no-match|none|Tier 4' END AS rule FROM facts
+), m AS (
+  SELECT l_ordinal, r_ordinal, linked, title_rel, type_rel, split_part(rule, '|', 1) AS rules_verdict,
+    CASE WHEN NOT linked THEN split_part(rule, '|', 1) WHEN rule LIKE 'match|%' THEN 'match' ELSE 'review' END AS verdict,
+    CASE WHEN NOT linked THEN split_part(rule, '|', 2) WHEN rule LIKE 'match|%' THEN 'exact' ELSE 'review' END AS tier,
+    CASE WHEN NOT linked THEN split_part(rule, '|', 3) WHEN rule LIKE 'match|%' THEN 'Tier 0,' || split_part(rule, '|', 3) ELSE 'Tier 0,' || split_part(rule, '|', 3) || ',§8.0a' END AS rules FROM ruled
+)"""
+_WORKS = f"""{_MATCH}, e AS (SELECT l_ordinal AS a, r_ordinal AS b FROM m WHERE verdict = 'match' AND tier = 'exact'),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT ordinal AS a, ordinal AS b FROM n UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.b),
+works AS (SELECT a AS ordinal, min(b) AS work FROM reach GROUP BY a)"""
+_WIDE = f"""wkeys AS (SELECT DISTINCT ordinal, library_id, unnest(list_concat([x FOR x IN ['doi:' || doi, 'isbn13:' || isbn13, 'pmid:' || pmid, 'arxiv:' || arxiv] IF x IS NOT NULL],
+    CASE WHEN len(w) >= 3 THEN ['open:' || array_to_string(w[1:3], ' ')] ELSE [] END, [('creator:' || x) FOR x IN ck])) AS key FROM n),
+wide AS (SELECT DISTINCT a.ordinal AS l_ordinal, b.ordinal AS r_ordinal FROM wkeys a JOIN wkeys b ON a.key = b.key AND a.library_id <> {HOME} AND b.library_id = {HOME})"""
+_FIELD_KEY = rf"""CASE WHEN trim(value) = '' THEN NULL WHEN field = 'DOI' THEN lower(regexp_replace(value, '(?i)^https?://doi.org/', '')) WHEN field = 'ISSN' THEN regexp_replace(upper(value), '[^0-9X]', '', 'g')
+  WHEN field = 'date' THEN trim(value) WHEN field IN ('volume', 'issue', 'pages') THEN regexp_replace(regexp_replace(lower(value), '[\x{{2010}}-\x{{2015}}\x{{2212}}]', '-', 'g'), '\s+', '', 'g') ELSE {_norm('value')} END"""
+_DIFF = f"""{_MATCH}, fields AS ({PART_FIELDS}), k AS (SELECT *, {_FIELD_KEY} AS key FROM fields),
+strong AS (SELECT l_ordinal AS a, r_ordinal AS b FROM m WHERE verdict = 'match' AND tier IN ('exact', 'high')),
+partners AS (SELECT DISTINCT x.target, x.source FROM (SELECT a AS target, b AS source FROM strong UNION ALL SELECT b, a FROM strong) x
+  JOIN n t ON t.ordinal = x.target AND t.library_id = {HOME} JOIN n s ON s.ordinal = x.source AND s.library_id <> {HOME}),
+g AS (SELECT p.target, k.field, k.key, min_by(k.value, p.source) AS value, min(p.source) AS first, list(DISTINCT k.value) AS raws FROM partners p JOIN k ON k.ordinal = p.source WHERE k.key IS NOT NULL GROUP BY ALL),
+t AS (SELECT k.ordinal AS target, k.field, k.value AS tv, k.key AS tk FROM k WHERE k.ordinal IN (SELECT target FROM partners)),
+j AS (SELECT coalesce(t.target, g.target) AS target, coalesce(t.field, g.field) AS field, any_value(t.tv) AS tv, any_value(t.tk) AS tk, count(g.key) AS n,
+  count(g.key) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS n_other, min_by(g.value, g.first) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS alt, any_value(g.raws) AS raws
+  FROM t FULL JOIN g ON t.target = g.target AND t.field = g.field GROUP BY 1, 2),
+diff AS (SELECT target, field, class, CASE WHEN class = 'MISSING' THEN CASE WHEN tk IS NOT NULL THEN 'sources' ELSE 'target' END END AS missing_in,
+  CASE WHEN class = 'MISSING' AND tk IS NOT NULL THEN 0 ELSE n_other END AS n_alternatives, CASE WHEN class = 'MISSING' AND tk IS NOT NULL THEN NULL ELSE alt END AS first_alternative, tv IS NULL AS not_offered,
+  class = 'IDENTICAL' AND len([x FOR x IN raws IF x <> tv]) > 0 AS format_only
+  FROM (SELECT *, CASE WHEN tk IS NOT NULL AND n = 0 THEN 'MISSING' WHEN tk IS NULL AND n = 1 THEN 'MISSING' WHEN tk IS NULL AND n > 1 THEN 'CONFLICTING' WHEN tk IS NOT NULL AND n = 1 AND n_other = 0 THEN 'IDENTICAL'
+    WHEN tk IS NOT NULL AND n = 1 THEN 'DIFFERENT' WHEN tk IS NOT NULL THEN 'CONFLICTING' END AS class FROM j) WHERE class IS NOT NULL)"""
+_RECALL = f"""{_WORKS}, missing AS (SELECT work AS ordinal FROM works JOIN n USING (ordinal) GROUP BY work HAVING count(*) FILTER (WHERE library_id = {HOME}) = 0), {_WIDE}, """
+_EVENTS = "ev AS (SELECT CAST(user_id % 8 AS INT) AS library_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS modified, event_id FROM events)"
+_PRINT = "SELECT library_id, CAST(count(*) AS STRING) || '|' || max(modified) AS local_change"
+_FILL = "class = 'MISSING' AND missing_in = 'target' AND NOT not_offered AND field NOT IN ('DOI', 'ISBN', 'ISSN')"
+
+ORACLE_SQL = {
+    "normalize_titles": f"SELECT doc_id, title, array_to_string({_words('title')}, ' ') AS words FROM (SELECT doc_id, {_norm("split_part(coalesce(text, ''), chr(10), 1)")} AS title FROM documents)",
+    "normalize_identifiers": f"WITH {_NORM} SELECT ordinal, doi, isbn13, pmid, arxiv, y AS year, array_to_string(ck, ';') AS creator_keys FROM n",
+    "block_keys": f"WITH {_NORM} SELECT key AS block_key, count(*) AS n_items FROM keys GROUP BY key",
+    "candidate_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
+    "candidate_pairs_widened": f"WITH {_NORM}, {_WIDE} SELECT * FROM wide",
+    "match_pairs": f"WITH {_MATCH} SELECT l_ordinal, r_ordinal, verdict, tier, rules, title_rel, type_rel, rules_verdict FROM m",
+    "match_histogram": f"WITH {_MATCH} SELECT verdict, tier, rules, count(*) AS n FROM m GROUP BY ALL",
+    "confirmed_pairs": f"WITH {_MATCH} SELECT l_ordinal, r_ordinal, tier, rules FROM m WHERE verdict = 'match'",
+    "audit_counters": f"WITH {_MATCH} SELECT count(*) AS compared, count(*) FILTER (WHERE linked) AS linked, count(*) FILTER (WHERE linked AND rules_verdict <> 'match') AS linked_unmatched, count(*) FILTER (WHERE verdict = 'match') AS confirmed FROM m",
+    "find_copies": f"WITH {_MATCH} SELECT CAST(1 AS BIGINT) AS l_ordinal, CASE WHEN l_ordinal = 1 THEN r_ordinal ELSE l_ordinal END AS r_ordinal, verdict, tier FROM m WHERE 1 IN (l_ordinal, r_ordinal) AND verdict IN ('match', 'review', 'related')",
+    "works_exact": f"WITH RECURSIVE {_WORKS} SELECT * FROM works",
+    "work_rollup": f"WITH RECURSIVE {_WORKS}, x AS (SELECT w.work, n.* FROM works w JOIN n USING (ordinal)) SELECT work, string_agg(ref, '|' ORDER BY ref) AS work_id, array_to_string(list_sort(list(DISTINCT library_id)), ',') AS library_ids, min_by(ref, (CASE kind WHEN 'journalarticle' THEN '0' WHEN 'book' THEN '1' WHEN 'conferencepaper' THEN '2' WHEN 'thesis' THEN '3' WHEN 'preprint' THEN '4' WHEN 'document' THEN '6' ELSE '5' END) || ref) AS canonical, count(DISTINCT doi) > 1 AS doi_conflict FROM x GROUP BY work",
+    "missing_from_home": f"WITH RECURSIVE {_WORKS} SELECT work, count(*) AS n_items FROM works JOIN n USING (ordinal) GROUP BY work HAVING count(*) FILTER (WHERE library_id = {HOME}) = 0",
+    "coverage_matrix": f"WITH RECURSIVE {_WORKS} SELECT work, " + ", ".join(f"count(*) FILTER (WHERE library_id = {i}) AS library_{i}" for i in LIBRARIES) + " FROM works JOIN n USING (ordinal) GROUP BY work",
+    "also_in": f"WITH RECURSIVE {_WORKS}, x AS (SELECT work, n.ordinal, library_id, library_name FROM works JOIN n USING (ordinal)), y AS (SELECT a.ordinal, count(*) FILTER (WHERE a.library_id = b.library_id) AS copies_here, coalesce(array_to_string(list_sort(list(DISTINCT b.library_name) FILTER (WHERE a.library_id <> b.library_id)), ', '), '') AS also_in FROM x a JOIN x b USING (work) GROUP BY a.ordinal) SELECT *, CASE WHEN copies_here > 1 THEN copies_here || ' copies here, ' ELSE '' END || also_in AS cell FROM y",
+    "difference_classes": f"WITH {_DIFF} SELECT * FROM diff",
+    "difference_report": f"WITH {_DIFF}, r AS (SELECT target, count(*) FILTER (WHERE class = 'MISSING' AND missing_in = 'target') AS missing, count(*) FILTER (WHERE {_FILL}) AS fillable, count(*) FILTER (WHERE class = 'DIFFERENT') AS different, count(*) FILTER (WHERE class = 'CONFLICTING') AS conflicting FROM diff GROUP BY target) SELECT * FROM r WHERE missing + different + conflicting > 0",
+    "fillable_fields": f"WITH {_DIFF} SELECT target, field, first_alternative AS value FROM diff WHERE {_FILL}",
+    "library_fingerprint": f"WITH {_EVENTS} {_PRINT} FROM ev GROUP BY library_id",
+    "stale_libraries": f"WITH {_EVENTS}, c AS ({_PRINT}, CASE WHEN library_id = 3 THEN 2 ELSE 1 END AS version FROM ev WHERE library_id <> 7 GROUP BY library_id), s AS ({_PRINT}, 1 AS version FROM ev WHERE library_id <> 5 AND (library_id <> 4 OR event_id % 2 = 0) GROUP BY library_id) SELECT * FROM (SELECT coalesce(c.library_id, s.library_id) AS library_id, CASE WHEN c.version IS NULL THEN 'removed' WHEN s.version IS NULL THEN 'added' WHEN c.version <> s.version THEN 'version' WHEN c.local_change <> s.local_change THEN 'local-change' END AS why FROM c FULL JOIN s ON c.library_id = s.library_id) WHERE why IS NOT NULL",
+    "cas_apply": f"WITH items AS ({PART_ITEMS}), fields AS ({PART_FIELDS}) SELECT field, CASE WHEN field = 'issue' AND value = '' AND ordinal % 11 <> 0 THEN '9' ELSE value END AS value, count(*) AS n FROM fields GROUP BY ALL",
+    "cas_outcomes": f"WITH items AS ({PART_ITEMS}), fields AS ({PART_FIELDS}) SELECT CASE WHEN ordinal % 11 = 0 THEN 'target-changed' ELSE 'written' END AS status, count(*) AS n FROM fields WHERE field = 'issue' AND value = '' GROUP BY ALL",
+    "undo_session": f"WITH items AS ({PART_ITEMS}), fields AS ({PART_FIELDS}) SELECT field, value, count(*) AS n FROM fields GROUP BY ALL",
+    "stale_links": f"WITH {_MATCH} SELECT l_ordinal, r_ordinal, CASE WHEN l.library_id <> {HOME} AND r.library_id <> {HOME} THEN 'no-home-side' WHEN title_rel NOT IN ('substitution', 'missing') THEN 'titles-agree' WHEN NOT list_contains(CASE WHEN l.library_id = {HOME} THEN l.links ELSE r.links END, CASE WHEN l.library_id = {HOME} THEN r.ref ELSE l.ref END) THEN 'link-on-other-side' ELSE 'offered' END AS reason FROM m JOIN n l ON l.ordinal = l_ordinal JOIN n r ON r.ordinal = r_ordinal WHERE linked AND rules_verdict <> 'match'",
+}

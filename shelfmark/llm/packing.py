@@ -10,8 +10,12 @@ sequences whose lengths are powers of two, which need no padding.
 from __future__ import annotations
 
 import heapq
+import os
+import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +31,15 @@ from .common import id_text
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
 
+#: The same for texts of the characters below, with the faster re module: there its word characters
+#: are just the letters, the decimal digits and the underscore, and its white space is Unicode's.
+_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]*")
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -43,10 +54,31 @@ class WordEncoder:
 
     def __init__(self, path: str, max_words: int = 1 << 19):
         self.tok, self.max_words, self.known = _tokenizer(path), max_words, {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        ids = [array("I", e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in ids:
+                a.byteswap()
+        return [a.tobytes() for a in ids]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """As _ids, but many words at a time as one text, cut at the tokens that end a word."""
+        out = []
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            whole = np.frombuffer(self._ids([" ".join(part)])[0], "<u4")
+            last = np.flatnonzero(self.ends[whole]) + 1
+            if len(last) != len(part) or last[-1] != len(whole):
+                out += self._ids(part)
+                continue
+            raw, edges = whole.tobytes(), [0, *(4 * last).tolist()]
+            out += [raw[a:b] for a, b in zip(edges, edges[1:])]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words: list[list[str] | None] = []
@@ -55,12 +87,15 @@ class WordEncoder:
                 words.append(None)
             else:
                 # the final sigma rule of str.lower isn't the tokenizer's, which lowers each letter by itself
-                words.append(_WORDS.findall(unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()))
+                low = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
+                words.append((_FAST if _PLAIN.fullmatch(low) else _WORDS).findall(low))
         known = self.known
         if len(known) > self.max_words:
             known.clear()
-        new = sorted({w for ws in words if ws for w in ws if w not in known})
-        known.update(zip(new, self._ids(new), strict=True))
+        met: set[str] = set()
+        met.update(*filter(None, words))
+        new = [w for w in met if w not in known]
+        known.update(zip(new, self._word_ids(new), strict=True))
         return [self._ids([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
 
 
