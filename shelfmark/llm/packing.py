@@ -18,14 +18,17 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, ranges
+from .quality_rules import batches_by_size
 
 #: The pre-tokenisation of the word-end vocabulary (fixed by its file).
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -34,9 +37,17 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\
 #: The same for texts of the characters below, with the faster re module: there its word characters
 #: are just the letters, the decimal digits and the underscore, and its white space is Unicode's.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_SPACE = regex.compile(r"\p{White_Space}+")
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027]*")
 
 
+def _shown_bytes() -> dict[int, str]:
+    """Printable stand-ins of the bytes in vocabulary files (fixed by the format)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -49,54 +60,77 @@ def _tokenizer(path: str):
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 32-bit integers, word by word, remembering the words met.
-    A text with a special token's string goes through the tokenizer whole."""
+    """Ids of whole texts as little-endian 32-bit integers. No part of the pre-tokenisation holds white
+    space, so texts are cut there, and each distinct run is cut into its parts and encoded once; at most
+    about max_words runs, and as many parts, are remembered. A text with a special token's string goes
+    through the tokenizer whole."""
 
     def __init__(self, path: str, max_words: int = 1 << 19):
-        self.tok, self.max_words, self.known = _tokenizer(path), max_words, {}
-        vocab = self.tok.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        from tokenizers import Tokenizer
+
+        self.tok, self.max_words, self.parts, self.runs = _tokenizer(path), max_words, {}, {}
+        self.model = Tokenizer(self.tok.model)  # for parts, which need no more normalising and cutting
+        self.shown = _shown_bytes()
         self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        ids = [array("I", e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _bytes(self, encodings: list) -> list[bytes]:
+        ids = [array("I", e.ids) for e in encodings]
         if sys.byteorder == "big":
             for a in ids:
                 a.byteswap()
         return [a.tobytes() for a in ids]
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """As _ids, but many words at a time as one text, cut at the tokens that end a word."""
-        out = []
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            whole = np.frombuffer(self._ids([" ".join(part)])[0], "<u4")
-            last = np.flatnonzero(self.ends[whole]) + 1
-            if len(last) != len(part) or last[-1] != len(whole):
-                out += self._ids(part)
-                continue
-            raw, edges = whole.tobytes(), [0, *(4 * last).tolist()]
-            out += [raw[a:b] for a, b in zip(edges, edges[1:])]
-        return out
+    def _learn(self, runs: list[str], plain: bool) -> None:
+        """The runs' ids; plain: all are of the characters that _FAST takes."""
+        parts = self.parts
+        if len(parts) > self.max_words:
+            parts.clear()
+        cut = list(map((_FAST if plain else _WORDS).findall, runs))
+        new = [w for w in set(chain.from_iterable(cut)) if w not in parts]
+        shown = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.shown) for w in new]
+        parts.update(zip(new, self._bytes(self.model.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
+        self.runs.update((r, parts[c[0]] if len(c) == 1 else b"".join(map(parts.__getitem__, c))) for r, c in zip(runs, cut, strict=True))
+
+    def _joined(self, cut: pa.ListArray, plain: bool) -> list[bytes]:
+        """The ids of texts cut into runs."""
+        words = cut.flatten().dictionary_encode()
+        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        if len(self.runs) > self.max_words:
+            self.runs.clear()
+        self._learn([r for r in distinct if r not in self.runs], plain)
+        found = list(map(self.runs.__getitem__, distinct))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, at = np.frombuffer(b"".join(found), "<u4"), ranges(n)
+        n = n[codes]
+        end = ranges(n)
+        raw = flat[np.repeat(at[codes] - end[:-1], n) + np.arange(end[-1])].tobytes()
+        edge = (4 * end[cut.offsets.to_numpy()]).tolist()
+        return [raw[s:e] for s, e in zip(edge, edge[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = []
-        for t in texts:
+        out: list[bytes] = [b""] * len(texts)
+        plain: tuple[list, list] = ([], [])
+        other: tuple[list, list] = ([], [])
+        for i, t in enumerate(texts):
             if any(s in t for s in self.special):
-                words.append(None)
-            else:
-                # the final sigma rule of str.lower isn't the tokenizer's, which lowers each letter by itself
-                low = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
-                words.append((_FAST if _PLAIN.fullmatch(low) else _WORDS).findall(low))
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
-        met: set[str] = set()
-        met.update(*filter(None, words))
-        new = [w for w in met if w not in known]
-        known.update(zip(new, self._word_ids(new), strict=True))
-        return [self._ids([t])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, words, strict=True)]
+                out[i] = self._bytes([self.tok.encode(t, add_special_tokens=False)])[0]
+                continue
+            # the final sigma rule of str.lower isn't the tokenizer's, which lowers each letter by itself
+            low = unicodedata.normalize("NFC", t).replace("Σ", "σ").lower()
+            at, rows = plain if _PLAIN.fullmatch(low) else other
+            at.append(i)
+            rows.append(low if rows is plain[1] else [w for w in _SPACE.split(low) if w])
+        for at, cut in ((plain[0], pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(plain[1], pa.string())))), (other[0], pa.array(other[1], pa.list_(pa.string())))):
+            if at:
+                for i, ids in zip(at, self._joined(cut, at is plain[0]), strict=True):
+                    out[i] = ids
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(path)
 
 
 def differencing(sizes: list[int], k: int) -> np.ndarray:
@@ -203,7 +237,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096
     table gives no rows; other columns are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(vocab_path), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(vocab_path), int(end_id).to_bytes(4, "little")
         limit, seq = windows_per_load * capacity, TaskContext.get().partitionId() << 32
         held: list[tuple[int, bytes, int, int]] = []  # doc_id, its ids from `first` on, first, all its tokens
         size = 0
@@ -229,9 +263,8 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], [x.split(" ")[0] for x in PIECES.split(", ")])
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            for docs_, texts in batches_by_size(b):
+                for doc, ids in zip(docs_, encode(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     # of a very long document all but the end goes at once, in full windows
