@@ -22,8 +22,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_50k.json")
-    got = bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    got = bpe.bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
