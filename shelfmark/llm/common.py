@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
-_SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+#: Characters that end a word besides the space: tab, line feed, vertical tab, form feed, carriage return.
+_SPACES = "\t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,10 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def words_of(text: str) -> list[str]:
     """Maximal runs of characters other than space and U+0009 to U+000D."""
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    for c in _SPACES:
+        if c in text:
+            text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def crc_mod(id_col: Column, m: int) -> Column:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_mod, id_text, mix64, words_of
+from .common import crc_mod, id_text, mix64, words_of
 from .quality_rules import batches_by_size
 
 
@@ -51,37 +52,61 @@ def shape_of(word: str) -> str:
     return "".join(out[:8])
 
 
-class Extractor:
-    """Distinct (document, hashed feature) pairs of some texts."""
+class _Codes(dict):
+    """Words numbered in the order that they are met."""
 
-    def __init__(self, spec: Spec):
-        self.spec, self.hash, self.stem_hash = spec, WordHashes(), WordHashes()
-        self.shapes: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
 
-    def _shapes(self, words: list[str]) -> np.ndarray:
-        if len(self.shapes) > 1 << 19:
-            self.shapes.clear()
-        known, h = self.shapes, self.hash.hash
-        for w in set(words).difference(known):
-            known[w] = h(b"shape " + shape_of(w).encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+class Extractor:
+    """Distinct (document, hashed feature) pairs of some texts. What depends on a word alone (its hash, those
+    of its stems and its shape) is worked out once and looked up by the word's number; everything is
+    forgotten at max_words."""
+
+    def __init__(self, spec: Spec, max_words: int = 1 << 18):
+        self.spec, self.max_words = spec, max_words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.facts = _Codes(), np.zeros((2 + len(self.spec.stems), 0), np.uint64)
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        """A row each of the words' hashes, shapes' hashes and stems' hashes."""
+        from xxhash import xxh3_64_intdigest
+
+        if len(self.codes) > self.max_words:
+            self._forget()
+        at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        spec, known = self.spec, self.facts.shape[1]
+        if len(self.codes) > known:
+            fresh = list(islice(self.codes, known, None))
+            low = [w.lower() for w in fresh] if spec.lower else fresh
+            shapes = [b"shape " + shape_of(w).encode("utf-8", "surrogatepass") for w in fresh] if spec.shapes else []
+            rows = [[w.encode("utf-8", "surrogatepass") for w in low], shapes, *([w[:k].encode("utf-8", "surrogatepass") for w in low] for k in spec.stems)]
+            facts = np.zeros((len(rows), len(fresh)), np.uint64)
+            for i, row in enumerate(rows):
+                if row:
+                    facts[i] = np.fromiter(map(xxh3_64_intdigest, row), np.uint64, len(row))
+            self.facts = np.concatenate([self.facts, facts], axis=1)
+        return self.facts[:, at]
 
     def __call__(self, texts: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Sorted by document and feature; with weights, only features of a weight other than zero."""
         spec, shift = self.spec, np.uint64(64 - self.spec.bits)
-        parts = [words_of(t.lower() if spec.lower else t) for t in texts]
+        parts = [words_of(t) for t in texts]
         n = np.fromiter(map(len, parts), np.int64, len(parts))
-        h = self.hash([w for p in parts for w in p])
+        h, shape, *stems = self._look_up([w for p in parts for w in p])
         doc = np.repeat(np.arange(len(texts)), n)
-        docs, feats = [], []
+        pairs = []
 
         def add(d: np.ndarray, keys: np.ndarray) -> None:
             idx = (mix64(keys) >> shift).astype(np.int64)
             if weights is not None:
                 keep = weights[idx] != 0
                 d, idx = d[keep], idx[keep]
-            docs.append(d)
-            feats.append(idx)
+            pairs.append(d << spec.bits | idx)
 
         for k in spec.orders:
             d, key = self._grams(doc, h, k)
@@ -90,25 +115,25 @@ class Extractor:
             same = doc[: len(doc) - gap - 1] == doc[gap + 1 :] if len(doc) > gap + 1 else np.zeros(0, bool)
             a, b = h[: len(same)][same], h[gap + 1 :][same]
             add(doc[: len(same)][same], mix64(a + np.uint64(gap * 7919)) * np.uint64(31) + b)
-        for k in spec.stems:
-            add(doc, self.stem_hash([w[:k] for p in parts for w in p]) + np.uint64(k * 104729))
+        for k, stem in zip(spec.stems, stems, strict=True):
+            add(doc, stem + np.uint64(k * 104729))
         if spec.shapes and len(doc):
-            s = self._shapes([w for t in texts for w in words_of(t)] if spec.lower else [w for p in parts for w in p])
-            stuck = np.zeros(len(s), bool)
-            if len(s) == len(h):
-                stuck[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-            s = np.where(stuck, np.uint64(0x3D3D), s)
+            stuck = np.zeros(len(h), bool)
+            stuck[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+            shape = np.where(stuck, np.uint64(0x3D3D), shape)
+            low = np.uint64(64 - len(texts).bit_length())
             for k in spec.shapes:
-                d, key = self._grams(doc, s, k)
+                # the document in the upper bits, so one sort brings its equal shape n-grams together
+                d, key = self._grams(doc, shape, k)
+                key = np.sort(d.astype(np.uint64) << low | mix64(key) >> (np.uint64(64) - low))
+                new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                count, key = np.diff(np.append(new, len(key))), key[new]
+                d = (key >> low).astype(np.int64)
                 # a shape n-gram's feature names its share of the text, halved step by step
-                order = np.lexsort((key, d))
-                d, key = d[order], key[order]
-                new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (key[1:] != key[:-1])])) if len(d) else np.zeros(0, np.int64)
-                count = np.diff(np.append(new, len(d)))
-                level = np.minimum(10, np.floor(-np.log2(count / np.maximum(1, n[d[new]])))).astype(np.uint64)
-                add(d[new], key[new] * np.uint64(11) + level + np.uint64(1 << 60))
-        d, f = np.concatenate(docs), np.concatenate(feats)
-        pair = np.unique(d << spec.bits | f)
+                level = np.minimum(10, np.floor(-np.log2(count / np.maximum(1, n[d])))).astype(np.uint64)
+                add(d, mix64(key & ((np.uint64(1) << low) - np.uint64(1))) + level + np.uint64(k << 60))
+        pair = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         return pair >> spec.bits, pair & ((1 << spec.bits) - 1)
 
     @staticmethod
