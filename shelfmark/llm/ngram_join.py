@@ -101,16 +101,16 @@ def survive(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """The least index of each index's connected component."""
     label = np.arange(n)
-    while len(i):
-        m = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, m)
-        np.minimum.at(label, j, m)
-        label = label[label]
-        go = label[i] != label[j]
-        i, j = i[go], j[go]
-    while (label != label[label]).any():
-        label = label[label]
-    return label
+    while True:
+        a, b = label[i], label[j]
+        go = a != b
+        if not go.any():
+            return label
+        i, j, a, b = i[go], j[go], a[go], b[go]
+        # labels are roots here: the greater root of an edge goes under the lesser, with all that it carries
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((up := label[label]) != label).any():
+            label = up
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import ngram_join
@@ -71,3 +72,40 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_pruning_bound_is_monotone():
     least = ngram_join.least_matches(0.8, 1e-6)
     assert least == sorted(least) and 0 < least[-1] < 0.8 * ngram_join.SIZE
+
+
+def least_of_component(edges, n):
+    parent = list(range(n))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return [find(k) for k in range(n)]
+
+
+def test_forest_equals_union_find():
+    rnd = random.Random(5)
+    cases = [([(1, 2), (2, 3), (3, 0)], 4), ([], 3)]
+    for _ in range(200):
+        n = rnd.randint(2, 60)
+        path = rnd.sample(range(n), n)
+        cases.append((list(zip(path, path[1:])), n))
+        cases.append(([(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randint(1, n))], n))
+    for edges, n in cases:
+        i, j = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+        assert ngram_join._forest(i, j, n).tolist() == least_of_component(edges, n)
+
+
+def test_chain_of_versions(spark):
+    """Each version is linked to its neighbours only, and all are one class."""
+    words = [f"w{i}" for i in range(600)]
+    docs = [(i, " ".join(words[8 * i : 8 * i + 104])) for i in range(50)]
+    want = brute(docs)
+    assert {r[4] for r in want} == {1, 2} and {r[1] for r in want} == {0}
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == want
