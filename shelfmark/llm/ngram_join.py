@@ -169,18 +169,23 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 
 def _read_docs(docs: DataFrame) -> DataFrame:
+    """doc_id, text, copy_key (a hash of the whole text) -> the same without the text, node, sig."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
+            at = 0
             for ids, texts in batches_by_size(b):
                 node, sig = [], []
                 for t in texts:
                     s = shingles(t, hashes)
                     node.append(node_of(s))
                     sig.append(signature(s).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "node", "sig"])
+                key = b.column(2).slice(at, len(ids))
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), key, pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "copy_key", "node", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, sig binary")
+    return docs.withColumn("copy_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, copy_key long, node long, sig binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -316,21 +321,14 @@ def _compare(keys: list[np.ndarray], own: np.ndarray, inside: bool, threshold: f
     return links, label
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the least id among the documents that chains of links
-    join), copy_id (the least id among those of the same shingle set), n_copies (their number), n_links
-    (other shingle sets whose Jaccard similarity with this one is at least the threshold).
-
-    Words are runs other than space and U+0009 to U+000D, case kept; a text of under five words is a
-    single shingle. Texts without words, nulls included, have the same, empty set: they are copies of
-    each other and linked to nothing else. Two sets are taken for the same if their 64-bit hashes are.
-    A pair at the threshold is missed with a probability of at most about (1 - threshold^4)^28 plus the
-    tolerance. Repeated rows are copies and give repeated rows; null ids are allowed and are no class_id
-    unless a class has no other; an empty table gives no rows; other columns are dropped."""
+def _classes(docs: DataFrame, threshold: float, tolerance: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as read, and node, copy_id, n_copies, head, root, n_links of each node: root is the
+    class, head the first of the node's rows, null ids last."""
     docs = id_text(docs, id_col, text_col)
     least = least_matches(threshold, tolerance)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "copy_key")
     read = stored(_read_docs(docs), "nj-docs")
-    nodes = stored(read.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig")), "nj-nodes")
+    nodes = stored(read.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.min(row).alias("head"), F.first("sig").alias("sig")), "nj-nodes")
     bands = _bands(nodes)
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = _blocks(bands.join(shared, "bucket"), "n", block).join(nodes.select("node", "sig"), "node")
@@ -343,7 +341,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     links = stored(_verified(rows, threshold, least), "nj-links")
     classes = components(links.select("a", "b"), "nj-classes")
     n_links = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    small = nodes.select("node", "copy_id", "n_copies").join(classes, "node", "left").join(n_links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    small = nodes.select("node", "copy_id", "n_copies", "head").join(classes, "node", "left").join(n_links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return read, small
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the least id among the documents that chains of links
+    join), copy_id (the least id among those of the same shingle set), n_copies (their number), n_links
+    (other shingle sets whose Jaccard similarity with this one is at least the threshold).
+
+    Words are runs other than space and U+0009 to U+000D, case kept; a text of under five words is a
+    single shingle. Texts without words, nulls included, have the same, empty set: they are copies of
+    each other and linked to nothing else. Two sets are taken for the same if their 64-bit hashes are.
+    A pair at the threshold is missed with a probability of at most about (1 - threshold^4)^28 plus the
+    tolerance. Repeated rows are copies and give repeated rows; null ids are allowed and are no class_id
+    unless a class has no other; an empty table gives no rows; other columns are dropped."""
+    read, small = _classes(docs, threshold, tolerance, block, id_col, text_col)
     heads = small.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     small = small.join(heads, "root").select("node", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return read.select("doc_id", "node").join(small, "node").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each class of `near_duplicates`: the one of the least id, null ids
+    last, and of those the one of the least set and text hash. Rows are told apart by id and text, so a
+    row without an id stays where its class has no other, and an id whose texts head two classes stays
+    twice; of rows with the same id and text any one stays."""
+    _, small = _classes(docs, threshold, tolerance, block, id_col, text_col)
+    first = small.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), "head.copy_key")
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    rows = rows.join(first, (F.col("_key") == F.col("copy_key")) & F.col("_id").eqNullSafe(F.col("head_id")), "left_semi")
+    return rows.dropDuplicates(["_id", "_key"]).select(*docs.columns)

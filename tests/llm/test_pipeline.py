@@ -80,3 +80,21 @@ def test_pipeline_equals_the_plain_stages(spark, folder):
                 assert at == end
                 end += n
             assert ends(i, end)
+
+
+def test_deduplicate_keeps_one_row_of_each_class(spark):
+    """Null ids, and ids that stand at several texts."""
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(60)) for c in "pqrs")
+    near = one.rsplit(" ", 1)[0] + " other"
+    rows = [
+        (None, one), (None, near),  # a class without ids
+        (None, two), (4, two), (9, two),
+        (5, three), (5, four), (5, three),  # an id at the head of two classes
+        (6, four), (None, "some short text"),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.deduplicate(spark, docs, SOURCE)
+    assert got.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in got.collect())
+    assert got - Counter([(None, one), (None, near)]) == Counter([(4, two), (5, three), (5, four), (None, "some short text")])
+    assert got[None, one] + got[None, near] == 1
