@@ -1,5 +1,7 @@
 """Fixture pairs: each asserts the verdict and the rules that made it."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,41 @@ def test_high_edges_join_only_without_denial(spark, edges, want):
     matches = spark.createDataFrame([(a, b, "match" if t != "review" else "review", t, (a, 0, a, b)) for a, b, t in edges], "l_ordinal long, r_ordinal long, verdict string, tier string, order_key struct<block:long,pos:int,left:long,right:long>")
     got = {r["ordinal"]: (r["work"], r["confidence"]) for r in clustering.works_restricted(items, matches).collect()}
     assert {k: got[k] for k in want} == want
+
+
+def plain_works(rows, edges):
+    """Every edge in its turn, against all pairs of members."""
+    cluster, weak = {r[0]: [r[0]] for r in rows}, {}
+    fact = {r[0]: r[1:] for r in rows}
+    related = {frozenset(p) for p in (("journalarticle", "preprint"), ("book", "thesis"))}
+
+    def denied(x, y):
+        kinds = frozenset((x[0], y[0]))
+        if len(kinds) > 1 and kinds not in related and "document" not in kinds:
+            return True
+        return any(p and q and p != q for p, q in zip(x[1:4], y[1:4])) or bool(x[4] and y[4] and abs(x[4] - y[4]) > 1)
+
+    for a, b, tier in [e for e in edges if e[2] == "exact"] + [e for e in edges if e[2] == "high"]:
+        x, y = cluster[a], cluster[b]
+        if x is y or tier == "high" and any(denied(fact[p], fact[q]) for p in x for q in y):
+            continue
+        strength = "high" if "high" in (tier, weak.get(id(x)), weak.get(id(y))) else "exact"
+        x.extend(y)
+        cluster.update(dict.fromkeys(y, x))
+        weak[id(x)] = strength
+    return {o: (min(c), weak.get(id(c))) for o, c in cluster.items()}
+
+
+@pytest.mark.parametrize("most", [7, 50_000])
+def test_rounds_of_bounded_groups_equal_the_plain_replay(spark, most):
+    """One component of many edges, some denied, replayed at most so many edges at a time."""
+    rnd = random.Random(11)
+    pick = lambda *c: rnd.choice(c)
+    rows = [(n, pick("journalarticle", "journalarticle", "journalarticle", "preprint", "document", None), pick(None, None, None, "10.1/a", "10.1/b"), None, pick(None, None, None, "1", "2"), pick(None, 2000, 2001, 2002)) for n in range(40)]
+    pairs = sorted(rnd.sample([(a, b) for a in range(40) for b in range(a + 1, 40)], 150))
+    edges = [(a, b, "exact" if rnd.random() < 0.06 else "high") for a, b in pairs]
+    items = spark.createDataFrame(rows, "ordinal long, item_type string, doi string, isbn13 string, pmid string, year int")
+    matches = spark.createDataFrame([(a, b, "match", t, (a, 0, a, b)) for a, b, t in edges], "l_ordinal long, r_ordinal long, verdict string, tier string, order_key struct<block:long,pos:int,left:long,right:long>")
+    got = {r["ordinal"]: (r["work"], r["confidence"]) for r in clustering.works_restricted(items, matches, most=most).collect()}
+    assert got == plain_works(rows, edges)
+    assert len({w for w, _ in got.values()}) > 3
