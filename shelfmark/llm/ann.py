@@ -1,13 +1,18 @@
 """Nearest neighbours by inner product: stable projections, a kd-tree, and a chi-square stopping test.
 
-Inner product becomes Euclidean distance: every vector gets one more component that gives all of them
-the same length, a query gets 0 there. Gaussian (2-stable) projections to a few dimensions are indexed
-by a kd-tree: its upper levels, fitted on a bounded sample, name cells that Spark deals out; each cell,
-cut into blocks of bounded size, gets the lower levels in its task. A query visits tree buckets by the
-distance of their boxes in the projection. The squared projected distance of a point over its squared
-true distance follows a chi-square law, so once the next box is so far that a point nearer than the k-th
-found would lie nearer by far more probably than the tolerance, the search stops. A first pass searches
-the query's own cell; its k-th score lets the same test rule out other cells for the second pass.
+Vectors are dealt into bands of like length. Inside a band inner product becomes Euclidean distance: every
+vector gets one more component that gives all of them the band's greatest length, a query gets 0 there.
+Gaussian (2-stable) projections, made orthogonal, are indexed by kd-trees: the upper levels of each band's
+tree, fitted on a bounded sample, name cells that Spark deals out; each cell, cut into blocks of bounded
+size, gets the lower levels in its task. The squared projected distance of a point over its squared true
+distance follows a chi-square law (orthogonal projections spread less, so the law is on the safe side). A
+point that would be nearer than the k-th found therefore lies, with the chosen confidence, within a known
+multiple of the k-th's distance in the projection: trees are walked by the distance of their boxes and
+stop beyond it, and of a leaf's points only those within it are verified on the original vectors.
+
+A first pass looks into the cells that promise most, which settles a k-th score for each query; a second
+one goes to the cells that can still win. Of copies of one vector only the k + 1 least ids can be anybody's
+neighbours, so a hot vector leaves no more. Queries and blocks meet in work items of bounded size.
 """
 
 from __future__ import annotations
@@ -19,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import stored
 
-DIMS = 8
-BUCKET = 64
+DIMS = 24
+LEAF = 256
+#: Bands of length in a doubling of it.
+BANDS = 8
 
 
 def chi_square_cdf(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -47,171 +53,315 @@ def stop_ratio(confidence: float, dims: int = DIMS) -> float:
     return hi
 
 
-def _split(points: np.ndarray, idx: np.ndarray, leaf: int) -> list[np.ndarray]:
+def band_of(x: np.ndarray) -> np.ndarray:
+    """The band of each vector's length, borders away from the powers of two."""
+    top = np.abs(x).max(1)
+    return np.floor(BANDS * (np.log2(top) + 0.5 * np.log2(((x / top[:, None]) ** 2).sum(1))) + 0.5).astype(np.int64)
+
+
+def _split(points: np.ndarray, leaf: int) -> list[np.ndarray]:
     """Median cuts of the widest dimension down to leaves of at most `leaf` points."""
-    done, todo = [], [idx]
+    done, todo = [], [np.arange(len(points))]
     while todo:
         i = todo.pop()
         if len(i) <= leaf:
             done.append(i)
             continue
         own = points[i]
-        axis = int(np.ptp(own, axis=0).argmax())
-        order = np.argsort(own[:, axis], kind="stable")
+        order = np.argsort(own[:, int(np.ptp(own, axis=0).argmax())], kind="stable")
         half = len(i) // 2
         todo += [i[order[half:]], i[order[:half]]]
     return done
 
 
+def _box_distance(low: np.ndarray, high: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of points to boxes, a row for each point."""
+    far = np.zeros((len(p), len(low)))
+    for d in range(p.shape[1]):
+        at = p[:, d, None]
+        far += np.maximum(0, np.maximum(low[None, :, d] - at, at - high[None, :, d])) ** 2
+    return far
+
+
 @dataclass
-class Cells:
-    """The upper levels of the kd-tree: inner nodes (axis, cut) in heap order, all leaves at one depth."""
+class Tree:
+    """The upper levels of a band's kd-tree: inner nodes (axis, cut) in heap order, all leaves at one depth."""
 
-    matrix: np.ndarray
     reach: float
+    first: int
     depth: int
     axis: np.ndarray
     cut: np.ndarray
 
-    def project(self, x: np.ndarray, query: bool) -> np.ndarray:
-        last = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.reach - (x * x).sum(1)))
-        return x @ self.matrix[:-1] + last[:, None] * self.matrix[-1]
-
-    def cell(self, p: np.ndarray) -> np.ndarray:
+    def leaf(self, p: np.ndarray) -> np.ndarray:
         at = np.ones(len(p), np.int64)
         for _ in range(self.depth):
             at = 2 * at + (p[np.arange(len(p)), self.axis[at]] > self.cut[at])
         return at - (1 << self.depth)
 
 
-def fit_cells(sample: np.ndarray, reach: float, dims: int, depth: int, seed: int = 5) -> Cells:
-    matrix = np.random.default_rng(seed).standard_normal((dims + 1, DIMS))
-    cells = Cells(matrix, reach, depth, np.zeros(1 << depth, np.int64), np.zeros(1 << depth))
-    p = cells.project(sample, False)
-    own = {1: np.arange(len(p))}
-    for at in range(1, 1 << depth):
-        i = own.pop(at, np.zeros(0, np.int64))
-        if len(i):
-            cells.axis[at] = int(np.ptp(p[i], axis=0).argmax())
-            cells.cut[at] = np.median(p[i, cells.axis[at]])
-            right = p[i, cells.axis[at]] > cells.cut[at]
-            own[2 * at], own[2 * at + 1] = i[~right], i[right]
+@dataclass
+class Cells:
+    matrix: np.ndarray
+    trees: dict[int, Tree]
+
+    def project(self, x: np.ndarray, reach: np.ndarray | None = None) -> np.ndarray:
+        """Of queries, or of vectors that are brought to the squared length `reach`."""
+        p = x @ self.matrix[:-1]
+        return p if reach is None else p + np.sqrt(np.maximum(0, reach - (x * x).sum(1)))[:, None] * self.matrix[-1]
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, projections and reaches."""
+        cell, reach, p = np.zeros(len(x), np.int64), np.zeros(len(x)), np.zeros((len(x), DIMS))
+        bands = band_of(x)
+        for band in np.unique(bands):
+            at, tree = bands == band, self.trees[int(band)]
+            reach[at] = tree.reach
+            p[at] = self.project(x[at], reach[at])
+            cell[at] = tree.first + tree.leaf(p[at])
+        return cell, p, reach
+
+
+def fit_cells(sample: np.ndarray, bands: list[tuple[int, int, float]], dims: int, block: int, seed: int = 5) -> Cells:
+    """bands: (band, rows, greatest squared length). A tree has about a cell for each `block` rows of its
+    band, and at least 8 sampled rows for each cell."""
+    basis = np.random.default_rng(seed).standard_normal((max(dims + 1, DIMS), DIMS))
+    matrix = np.linalg.qr(basis)[0][: dims + 1] * np.sqrt(dims + 1) if dims + 1 >= DIMS else basis[: dims + 1]
+    cells, of, first = Cells(matrix, {}), band_of(sample), 0
+    for band, rows, reach in bands:
+        own = sample[of == band]
+        depth = max(0, min(int(np.ceil(np.log2(max(1, rows / block)))), int(np.log2(max(1, len(own) / 8)))))
+        tree = Tree(reach, first, depth, np.zeros(1 << depth, np.int64), np.zeros(1 << depth))
+        p = cells.project(own, np.full(len(own), reach))
+        held = {1: np.arange(len(p))}
+        for at in range(1, 1 << depth):
+            i = held.pop(at)
+            if len(i):
+                tree.axis[at] = int(np.ptp(p[i], axis=0).argmax())
+                tree.cut[at] = np.median(p[i, tree.axis[at]])
+            right = p[i, tree.axis[at]] > tree.cut[at]
+            held[2 * at], held[2 * at + 1] = i[~right], i[right]
+        cells.trees[band], first = tree, first + (1 << depth)
     return cells
 
 
 class Block:
-    """The lower levels of the kd-tree over one block's rows, and its search."""
+    """The lower levels of the kd-tree over one block's rows of one reach, and its search. seen and
+    verified count pairs of a query and a vector: all, and those whose true score was worked out."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, p: np.ndarray):
-        leaves = _split(p, np.arange(len(ids)), BUCKET)
+    def __init__(self, ids: np.ndarray, x: np.ndarray, p: np.ndarray, reach: float):
+        leaves = _split(p, LEAF)
         order = np.concatenate(leaves)
-        self.ids, self.x = ids[order], x[order]
+        self.ids, self.x, self.p, self.reach = ids[order], x[order], p[order], reach
+        self.pp = (self.p * self.p).sum(1)
         self.edge = np.concatenate([[0], np.cumsum([len(i) for i in leaves])])
         self.low = np.array([p[i].min(0) for i in leaves])
         self.high = np.array([p[i].max(0) for i in leaves])
-
-    def search(self, qid: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, reach: float, ratio: float, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best k (score, id) of each query; slots without one have the score minus infinity. bound: scores already
-        found elsewhere that the k-th has to reach."""
-        n, leaves = len(qid), len(self.low)
+        self.seen = self.verified = 0
+
+    def _scores(self, q: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Row by row, so equal vectors get equal scores wherever they lie; in runs that stay in the cache."""
+        out = np.empty(len(r))
+        for s in range(0, len(r), 2048):
+            cut = slice(s, s + 2048)
+            out[cut] = (q[r[cut]] * self.x[c[cut]]).sum(1)
+        return out
+
+    def _apart(self, leaf: np.ndarray, row: np.ndarray, pq: np.ndarray, pp: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        """Leaf by leaf the queries that go there, its rows, and their squared projected distances."""
+        by = np.argsort(leaf, kind="stable")
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(leaf[by])) + 1, [len(by)]]) if len(by) else [0]
+        for s, e in zip(edge[:-1], edge[1:], strict=True):
+            mine, here = row[by[s:e]], slice(self.edge[leaf[by[s]]], self.edge[leaf[by[s]] + 1])
+            yield mine, here, pp[mine][:, None] + self.pp[here][None] - 2 * (pq[mine] @ self.p[here].T)
+
+    def search(self, qid: np.ndarray, q: np.ndarray, pq: np.ndarray, k: int, ratio: float, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best k (score, id) of each query; slots without one have the score minus infinity. bound:
+        a score that is already found elsewhere for the k-th place.
+
+        A query without one starts with the nearest of its nearest leaf. Then the points within the limit,
+        which shrinks with the k-th score, are verified from the nearer to the farther in the projection."""
+        n = len(qid)
         best, who = np.full((n, k), -np.inf), np.full((n, k), -1, np.int64)
-        far = np.zeros((n, leaves))
-        for d in range(DIMS):
-            far += np.maximum(0, np.maximum(self.low[None, :, d] - pq[:, None, d], pq[:, None, d] - self.high[None, :, d])) ** 2
-        order = np.argsort(far, axis=1)
-        qq, live = (q * q).sum(1), np.arange(n)
-        for step in range(leaves):
-            leaf = order[live, step]
-            kth = np.maximum(best[live, -1], bound[live])
-            true = np.maximum(reach + qq[live] - 2 * kth, 0)  # squared distance of the k-th; infinite while there is none
-            go = ~(far[live, leaf] > ratio * true)
-            live, leaf = live[go], leaf[go]
-            if not len(live):
+        far = _box_distance(self.low, self.high, pq)
+        qq, pp = (q * q).sum(1), (pq * pq).sum(1)
+        slack = 1e-9 * (1 + ratio) * (self.reach + qq)
+        self.seen += n * len(self.ids)
+
+        def limit() -> np.ndarray:  # infinite while there is no k-th
+            return ratio * np.maximum(self.reach + qq - 2 * np.maximum(best[:, -1], bound), 0) + slack
+
+        def verify(r: np.ndarray, c: np.ndarray) -> None:
+            self.verified += len(r)
+            score = self._scores(q, r, c)
+            good = score >= np.maximum(best[:, -1], bound)[r]
+            at, col = np.nonzero(best > -np.inf)
+            at, i, s = np.concatenate([at, r[good]]), np.concatenate([who[at, col], self.ids[c[good]]]), np.concatenate([best[at, col], score[good]])
+            by = np.lexsort((i, -s, at))
+            at, i, s = at[by], i[by], s[by]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            top = place < k
+            best[at[top], place[top]], who[at[top], place[top]] = s[top], i[top]
+
+        done = np.full(n, -1.0)  # what lies up to here in a query's nearest leaf is verified
+        nearest, new = far.argmin(1), np.flatnonzero(bound == -np.inf)
+        for mine, here, apart in self._apart(nearest[new], new, pq, pp):
+            m = min(3 * k, apart.shape[1])
+            done[mine] = np.partition(apart, m - 1, axis=1)[:, m - 1]
+            r, c = np.nonzero((apart <= done[mine][:, None]) & (self.ids[here][None] != qid[mine][:, None]))
+            verify(mine[r], c + here.start)
+        row, leaf = np.nonzero(far <= limit()[:, None])
+        rows, cols, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        now = limit()
+        for mine, here, apart in self._apart(leaf, row, pq, pp):
+            least = np.where(self.edge[nearest[mine]] == here.start, done[mine], -np.inf)
+            r, c = np.nonzero((apart <= now[mine][:, None]) & (apart > least[:, None]) & (self.ids[here][None] != qid[mine][:, None]))
+            rows.append(mine[r])
+            cols.append(c + here.start)
+            dist.append(apart[r, c])
+        r, c, apart = map(np.concatenate, (rows, cols, dist))
+        for share in (0.4, 0.6, 0.8, 1.0):
+            if not len(r):
                 break
-            by = np.argsort(leaf, kind="stable")
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(leaf[by])) + 1, [len(by)]])
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                mine, at = live[by[s:e]], leaf[by[s]]
-                rows = slice(self.edge[at], self.edge[at + 1])
-                x, ids = self.x[rows], self.ids[rows]
-                # one product and sum per row, so equal vectors get equal scores wherever they lie
-                score = (q[mine][:, None, :] * x[None]).sum(2)
-                score[ids[None, :] == qid[mine][:, None]] = -np.inf
-                both = np.concatenate([best[mine], score], 1)
-                names = np.concatenate([who[mine], np.broadcast_to(ids, score.shape)], 1)
-                top = np.lexsort((names, -both), axis=1)[:, :k]
-                best[mine] = np.take_along_axis(both, top, 1)
-                who[mine] = np.take_along_axis(names, top, 1)
+            now = limit()
+            inside = apart <= share * now[r]
+            verify(r[inside], c[inside])
+            left = ~inside & (apart <= limit()[r])
+            r, c, apart = r[left], c[left], apart[left]
         return best, who
 
 
-HITS = "query_id long, vec_id long, score double"
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _facts(good: DataFrame) -> list[tuple[int, int, float]]:
+    """(band, rows, greatest squared length) of each band; there are at most BANDS for each power of two
+    that a double can hold, whatever the table's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0))
+                names, at = np.unique(band_of(x), return_inverse=True)
+                reach = np.zeros(len(names))
+                np.maximum.at(reach, at, (x * x).sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), pa.array(reach)], ["band", "n", "reach"])
+
+    rows = good.select("v").mapInArrow(run, "band long, n long, reach double").groupBy("band").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
+    return [tuple(r) for r in rows.orderBy("band").collect()]
+
+
+def _boxes(placed: DataFrame, cast) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cells, their rows and their boxes in the projection; there are at most about sample_rows / 8."""
+    cols = [f"{s}{d}" for s in "lh" for d in range(DIMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell, p, _ = cast.value.place(_matrix(b.column(0)))
+                names, at = np.unique(cell, return_inverse=True)
+                low, high = np.full((len(names), DIMS), np.inf), np.full((len(names), DIMS), -np.inf)
+                np.minimum.at(low, at, p)
+                np.maximum.at(high, at, p)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), *(pa.array(x) for x in (*low.T, *high.T))], ["cell", "n", *cols])
 
+    rows = placed.select("v").mapInArrow(run, ", ".join(["cell long, n long", *(f"{c} double" for c in cols)]))
+    got = rows.groupBy("cell").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in cols)).toPandas().sort_values("cell")
+    return got["cell"].to_numpy(), got["n"].to_numpy(), got[cols[:DIMS]].to_numpy(), got[cols[DIMS:]].to_numpy()
 
-def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, confidence: float = 0.98, block: int = 8192, sample_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+
+HITS = "query_id long, vec_id long, score double"
+
+
+def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, confidence: float = 0.88, block: int = 8192, sample_rows: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by query_mod its k nearest other
     rows by inner product in double precision, nearest first, ties to the smaller id; all other rows if
     they are fewer.
 
     Null ids, null and zero vectors, vectors with a null or non-finite component and such of another
-    length than the row of the least id take no part. Rows of the same id are candidates each, but none
-    is a candidate of a query of that id; repeated query rows count once. An empty table gives no rows;
-    other columns are dropped. The upper tree is fitted on at most about sample_rows rows; all rows are
-    indexed. confidence is the stopping test's: the share of true neighbours a search may count on."""
+    length than the commonest one (the least of several) take no part. Rows of one id with different
+    vectors are candidates each, but none is a candidate of a query of that id; rows of the same id and
+    vector are one candidate. A query id with several vectors is searched by the least of them. An empty
+    table gives no rows; other columns, whatever their names, are dropped. The upper trees are fitted on
+    about sample_rows rows, taken by a hash of the id; all rows are indexed. confidence is the stopping
+    test's: the share of true neighbours that lie inside its limit, at the least."""
     spark = vectors.sparkSession
+    kind = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     v = F.col("v")
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id is not null and v is not null")
     good = good.where(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    facts = good.select("id", F.size("v").alias("n"), norm.alias("norm")).agg(F.min_by("n", "id").alias("dims"), F.count("*").alias("rows")).first()
-    dims, total = facts["dims"] or 0, facts["rows"]
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    if not total:
-        return spark.createDataFrame([], out_schema)
+    common = good.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).agg(F.max_by("dims", F.struct("n", -F.col("dims"))).alias("dims"), F.sum("n").alias("n")).first()
+    if not common["n"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims, total = common["dims"], common["n"]
     good = good.where(F.size("v") == dims)
-    reach = good.select(norm.alias("norm")).agg(F.max("norm")).first()[0]
     rate = min(1.0, sample_rows / total)
     picked = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1 if rate < 1 else F.lit(True)).select("v").toArrow()
     sample = np.concatenate([_matrix(c) for c in picked.column(0).chunks if len(c)]) if picked.num_rows else np.ones((1, dims))
-    depth = max(0, int(np.ceil(np.log2(max(1, total / block)))))
-    depth = min(depth, int(np.log2(max(2, len(sample) / 32))))
-    cells = fit_cells(sample, reach, dims, depth)
+    cells = fit_cells(sample, _facts(good), dims, block)
     cast = spark.sparkContext.broadcast(cells)
     ratio = stop_ratio(confidence)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = cast.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, ids = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
-            cell = c.cell(c.project(x, False))
-            home = c.cell(c.project(x, True))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(np.where(ids % query_mod == 0, home, -1))], ["id", "v", "cell", "home"])
-
-    placed = stored(good.mapInArrow(place, "id long, v array<double>, cell long, home long"), "ann-rows")
-    # A cell that many rows share, such as copies of one vector, is cut into blocks by a hash of the id.
-    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    data = placed.join(counts, "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v", F.lit(None).cast("double").alias("bound"))
-    queries = placed.where("home >= 0").dropDuplicates(["id"])
+            if b.num_rows:
+                x, ids = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+                by = np.lexsort((*x.T, ids)) if len(np.unique(ids)) < len(ids) else np.arange(len(ids))
+                same = np.zeros(len(ids), bool)
+                same[1:] = (ids[by][1:] == ids[by][:-1]) & (x[by][1:] == x[by][:-1]).all(1)
+                own = pa.array(by[~same])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(cast.value.place(x[by[~same]])[0])], ["id", "v", "cell"])
+
+    # copies of a vector share a cell; only those of the k + 1 least ids can be among anyone's k nearest
+    copies = Window.partitionBy("cell", "h", "v").orderBy("id")
+    rows = good.mapInArrow(place, f"id long, v {kind}, cell long").withColumn("h", F.xxhash64("v"))
+    rows = rows.withColumn("r", F.dense_rank().over(copies)).where(F.col("r") <= k + 1).withColumn("last", F.lag("id").over(copies)).where(F.col("last").isNull() | (F.col("last") != F.col("id")))
+    data = stored(rows.select("id", "v", "cell"), "ann-rows")
+    names, sizes, low, high = _boxes(data, cast)
+    tree_of = {t.first + i: t for t in cells.trees.values() for i in range(1 << t.depth)}
+    reach = np.array([tree_of[int(c)].reach for c in names])
+    rows_of = dict(zip(names.tolist(), sizes.tolist(), strict=True))
+    queries = good.where(F.col("id") % query_mod == 0).groupBy("id").agg(F.min("v").alias("v"))
+
+    def best_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Visits of each query to the two cells that promise the greatest inner product."""
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                hope = reach[None] - _box_distance(low, high, cast.value.project(x)) / DIMS
+                top = np.argsort(-hope, axis=1, kind="stable")[:, :2]
+                r = pa.array(np.repeat(np.arange(len(x)), top.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(names[top.ravel()]), b.column(0).take(r), b.column(1).take(r), pa.nulls(len(r), pa.float64())], ["cell", "id", "v", "bound"])
+
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Visits to the other cells that the stopping test can't rule out."""
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                bound = b.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                far = _box_distance(low, high, cast.value.project(x))
+                top = np.argsort(-(reach[None] - far / DIMS), axis=1, kind="stable")[:, :2]
+                true = np.maximum(reach[None] + (x * x).sum(1)[:, None] - 2 * bound[:, None], 0)
+                go = far <= ratio * true + 1e-9 * (1 + ratio) * (reach[None] + (x * x).sum(1)[:, None])
+                np.put_along_axis(go, top, False, 1)
+                r, c = np.nonzero(go)
+                at = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(names[c]), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], ["cell", "id", "v", "bound"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, now, ids, xs, tree = cast.value, None, [], [], None
+        c, now, ids, xs, tree = cast.value, -1, [], [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, part, kind = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-            edge = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1, [len(cell)]])
+            item, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            edge = np.concatenate([[0], np.flatnonzero((np.diff(item) != 0) | (np.diff(asks) != 0)) + 1, [len(item)]])
             for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if (cell[s], part[s]) != now:
-                    now, ids, xs, tree = (cell[s], part[s]), [], [], None
+                if item[s] != now:
+                    now, ids, xs, tree = item[s], [], [], None
                 piece = b.slice(s, e - s)
-                i, x = piece.column(3).to_numpy(zero_copy_only=False), _matrix(piece.column(4))
-                if kind[s] == 0:
+                i, x = piece.column(2).to_numpy(zero_copy_only=False), _matrix(piece.column(3))
+                if not asks[s]:
                     ids.append(i)
                     xs.append(x)
                     continue
@@ -219,62 +369,37 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, confidence: flo
                     continue
                 if tree is None:
                     whole = np.concatenate(xs)
-                    tree = Block(np.concatenate(ids), whole, c.project(whole, False))
+                    _, p, r = c.place(whole)
+                    tree = Block(np.concatenate(ids), whole, p, float(r[0]))
                 for q in range(0, len(i), 512):
                     cut = slice(q, q + 512)
-                    bound = piece.column(5).fill_null(-np.inf).to_numpy(zero_copy_only=False)[cut]
-                    best, who = tree.search(i[cut], x[cut], c.project(x[cut], True), k, c.reach, ratio, bound)
-                    r, col = np.nonzero(~np.isneginf(best))
+                    bound = piece.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)[cut]
+                    best, who = tree.search(i[cut], x[cut], c.project(x[cut]), k, ratio, bound)
+                    r, col = np.nonzero(best > -np.inf)
                     yield pa.RecordBatch.from_arrays([pa.array(i[cut][r]), pa.array(who[r, col]), pa.array(best[r, col])], ["query_id", "vec_id", "score"])
 
-    def hits(visits: DataFrame) -> DataFrame:
-        """visits: cell, id, v, bound of the queries."""
-        each = visits.join(counts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "v", "bound")
-        rows = data.unionByName(each).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
-        return rows.mapInArrow(run, HITS)
-
-    first = stored(hits(queries.select(F.col("home").alias("cell"), "id", "v", F.lit(None).cast("double").alias("bound"))), "ann-first")
+    def hits(visits: DataFrame, label: str) -> DataFrame:
+        """Each visited block meets each run of at most about `block` of its visitors in one work item."""
+        visits = stored(visits, label)
+        plan, items = [], 0
+        for r in visits.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect():
+            parts, runs = -(-rows_of[r["cell"]] // block), -(-r["n"] // block)
+            plan.append((r["cell"], parts, runs, items))
+            items += parts * runs
+        small = F.broadcast(spark.createDataFrame(plan, "cell long, parts int, runs int, base int"))
+        own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        there = data.join(small, "cell").withColumns({"part": own("parts", 1)}).withColumn("run", every("runs")).withColumns({"asks": F.lit(False), "bound": F.lit(None).cast("double")})
+        here = visits.join(small, "cell").withColumn("run", own("runs", 2)).withColumn("part", every("parts")).withColumn("asks", F.lit(True))
+        cols = [(F.col("base") + F.col("part") * F.col("runs") + F.col("run")).alias("item"), "asks", "id", "v", "bound"]
+        met = there.select(*cols).unionByName(here.select(*cols)).repartition(max(1, min(items, 1 << 14)), "item")
+        return met.sortWithinPartitions("item", "asks").mapInArrow(run, HITS)
+
+    first = stored(hits(queries.select("id", "v").mapInArrow(best_first, f"cell long, id long, v {kind}, bound double"), "ann-visits"), "ann-first")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    if depth == 0:
-        return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    bounds = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-    boxes = _boxes(placed, cast)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, (names, low, high) = cast.value, boxes
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, home = _matrix(b.column(1)), b.column(2).to_numpy(zero_copy_only=False)
-            bound = b.column(3).fill_null(-np.inf).to_numpy(zero_copy_only=False)
-            p = c.project(x, True)
-            far = (np.maximum(0, np.maximum(low[None] - p[:, None], p[:, None] - high[None])) ** 2).sum(2)
-            true = np.maximum(c.reach + (x * x).sum(1) - 2 * bound, 0)
-            r, col = np.nonzero(~(far > ratio * true[:, None]) & (names[None, :] != home[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(names[col]), *(b.column(i).take(pa.array(r)) for i in (0, 1, 3))], ["cell", "id", "v", "bound"])
-
-    visits = queries.join(bounds, "id", "left").select("id", "v", "home", "bound").mapInArrow(route, "cell long, id long, v array<double>, bound double")
-    found = first.unionByName(hits(visits))
+    found = first
+    if len(names) > 2:
+        ranked = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+        left = queries.join(ranked, "id", "left").select("id", "v", "bound").mapInArrow(still_open, f"cell long, id long, v {kind}, bound double")
+        found = first.unionByName(hits(left, "ann-visits"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _boxes(placed: DataFrame, cast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cells' boxes in the projection, two rows' worth of numbers for each of at most 2^depth cells;
-    depth is bounded by the sample's size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = cast.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            p, cell = c.project(_matrix(b.column(1)), False), b.column(2).to_numpy(zero_copy_only=False)
-            names, at = np.unique(cell, return_inverse=True)
-            low, high = np.full((len(names), DIMS), np.inf), np.full((len(names), DIMS), -np.inf)
-            np.minimum.at(low, at, p)
-            np.maximum.at(high, at, p)
-            yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array(x) for x in (*low.T, *high.T))], ["cell", *(f"{s}{d}" for s in "lh" for d in range(DIMS))])
-
-    cols = [f"{s}{d}" for s in "lh" for d in range(DIMS)]
-    rows = placed.mapInArrow(run, ", ".join(["cell long", *(f"{c} double" for c in cols)]))
-    got = rows.groupBy("cell").agg(*(F.min(c).alias(c) if c[0] == "l" else F.max(c).alias(c) for c in cols)).toPandas().sort_values("cell")
-    return got["cell"].to_numpy(), got[cols[:DIMS]].to_numpy(), got[cols[DIMS:]].to_numpy()
