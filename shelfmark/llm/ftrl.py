@@ -23,7 +23,9 @@ from .quality_rules import batches_by_size
 @dataclass(frozen=True)
 class Spec:
     """What the model sees and how it learns. max_rows bounds, in expectation, the labelled rows that it
-    is fitted on: ids are taken by a hash of theirs, at a rate of max_rows over the labelled rows."""
+    is fitted on: ids are taken by a hash of theirs, at a rate of max_rows over the labelled rows. Of
+    these, in the order of the hash, those that go beyond max_features features in all are left out,
+    which bounds the memory of the task that fits, 4 bytes a feature."""
 
     bits: int = 22
     orders: tuple[int, ...] = (1, 2)
@@ -32,6 +34,7 @@ class Spec:
     shapes: tuple[int, ...] = ()
     lower: bool = True
     max_rows: int = 20_000
+    max_features: int = 1 << 26
     epochs: int = 3
     alpha: float = 0.3
     beta: float = 1.0
@@ -42,14 +45,17 @@ class Spec:
 
 
 def shape_of(word: str) -> str:
-    """Letters as a or A, digits as 0, other characters as they are, runs cut to two, at most 8."""
+    """Letters as a or A, digits as 0, other characters as they are; runs of letters or digits count once,
+    of others at most twice. A word's shape is the first 8 of these symbols, of the whole word."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
+        if len(out) == 8:
+            break
         k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if k in "Aa0" and out[-1:] == [k] or out[-2:] == [k, k]:
             continue
         out.append(k)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 class _Codes(dict):
@@ -60,8 +66,12 @@ class _Codes(dict):
         return code
 
 
+#: Bits of a shape n-gram's hash; the bits above them name the text in its batch, at most 2^24 texts.
+_SHAPE_BITS = np.uint64(40)
+
+
 class Extractor:
-    """Distinct (document, hashed feature) pairs of some texts. What depends on a word alone (its hash, those
+    """Distinct (document, hashed feature) pairs of some texts, a function of each text alone. What depends on a word alone (its hash, those
     of its stems and its shape) is worked out once and looked up by the word's number; everything is
     forgotten at max_words."""
 
@@ -121,17 +131,16 @@ class Extractor:
             stuck = np.zeros(len(h), bool)
             stuck[1:] = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
             shape = np.where(stuck, np.uint64(0x3D3D), shape)
-            low = np.uint64(64 - len(texts).bit_length())
             for k in spec.shapes:
                 # the document in the upper bits, so one sort brings its equal shape n-grams together
                 d, key = self._grams(doc, shape, k)
-                key = np.sort(d.astype(np.uint64) << low | mix64(key) >> (np.uint64(64) - low))
+                key = np.sort(d.astype(np.uint64) << _SHAPE_BITS | mix64(key) >> (np.uint64(64) - _SHAPE_BITS))
                 new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 count, key = np.diff(np.append(new, len(key))), key[new]
-                d = (key >> low).astype(np.int64)
+                d = (key >> _SHAPE_BITS).astype(np.int64)
                 # a shape n-gram's feature names its share of the text, halved step by step
                 level = np.minimum(10, np.floor(-np.log2(count / np.maximum(1, n[d])))).astype(np.uint64)
-                add(d, mix64(key & ((np.uint64(1) << low) - np.uint64(1))) + level + np.uint64(k << 60))
+                add(d, mix64(key & ((np.uint64(1) << _SHAPE_BITS) - np.uint64(1))) + level + np.uint64(k << 60))
         pair = np.sort(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
         return pair >> spec.bits, pair & ((1 << spec.bits) - 1)
@@ -148,9 +157,16 @@ class Extractor:
         return doc[:m][same], key[same]
 
 
+def _bounded(rows: Iterator[tuple[float, np.ndarray]], most: int) -> Iterator[tuple[float, np.ndarray]]:
+    for y, i in rows:
+        if len(i) <= most:
+            most -= len(i)
+            yield y, i
+
+
 def fit_rows(rows: Iterator[tuple[float, np.ndarray]], spec: Spec) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (label, features): the features with a weight, their weights, the bias."""
-    rows = list(rows)
+    rows = list(_bounded(rows, spec.max_features))
     z, n = np.zeros(1 << spec.bits), np.zeros(1 << spec.bits)
     zb, nb, b = 0.0, 0.0, 0.0
     for _ in range(spec.epochs):
@@ -171,7 +187,9 @@ def fit_rows(rows: Iterator[tuple[float, np.ndarray]], spec: Spec) -> tuple[np.n
 def train(docs: DataFrame, labels: DataFrame, label_col: str, spec: Spec, held_out_mod: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Spec:
     """The spec with weights, fitted on a bounded sample of labelled documents, none of them held out
     (crc32 of the id modulo held_out_mod is 0). Null labels and ids without a document are ignored; an
-    id with several labels takes the largest. Without any labelled row all weights are zero.
+    id with several labels takes the largest, a labelled id with several rows is learnt from each. Null
+    texts are empty, texts of any length are read whole, other columns, whatever their names, are
+    dropped. Without any labelled row all weights are zero.
 
     Features are taken where the rows lie; the sample's features, at most about max_rows rows, meet in
     one task, sorted by a hash of the id, so the result doesn't depend on the partitioning."""
@@ -223,7 +241,8 @@ def score(docs: DataFrame, fitted: Spec, threshold: float, held_out_mod: int = 5
     """doc_id, held_out, score (0 to 1), predicted (1 from the threshold on), one row per row.
 
     The score depends on the text alone; null and empty texts get the bias's score. A null doc_id is
-    never held out. Other columns are dropped; an empty table gives no rows."""
+    never held out. Repeated rows give repeated results, texts of any length are read whole. Other
+    columns, whatever their names, are dropped; an empty table gives no rows."""
     cast = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,10 +12,12 @@ SPEC = ftrl.Spec(orders=(1, 2), shapes=(1, 2, 3), l1=2.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, spec: ftrl.Spec = SPEC) -> ftrl.Spec:
+    """Fits the weights on labels.quality; see ftrl.train for nulls, several labels, repeated and long rows."""
     return ftrl.train(docs, labels, "quality", spec)
 
 
 def score(docs: DataFrame, fitted: ftrl.Spec, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; see ftrl.score for nulls, repeated and long rows and empty tables."""
     return ftrl.score(docs, fitted, threshold)
 
 
