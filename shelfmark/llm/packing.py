@@ -62,13 +62,14 @@ def _tokenizer(path: str):
 class WordEncoder:
     """Ids of whole texts as little-endian 32-bit integers. No part of the pre-tokenisation holds white
     space, so texts are cut there, and each distinct run is cut into its parts and encoded once; at most
-    about max_words runs, and as many parts, are remembered. A text with a special token's string goes
-    through the tokenizer whole."""
+    about max_words runs and parts are remembered. A text with a special token's string goes through the
+    tokenizer whole."""
 
-    def __init__(self, path: str, max_words: int = 1 << 19):
+    def __init__(self, path: str, max_words: int = 1 << 20):
         from tokenizers import Tokenizer
 
-        self.tok, self.max_words, self.parts, self.runs = _tokenizer(path), max_words, {}, {}
+        self.tok, self.max_words = _tokenizer(path), max_words
+        self.known: dict[str, bytes] = {}  # ids of runs and of their parts: a part alone is a run of one part
         self.model = Tokenizer(self.tok.model)  # for parts, which need no more normalising and cutting
         self.shown = _shown_bytes()
         self.special = [a.content for a in self.tok.get_added_tokens_decoder().values()]
@@ -82,23 +83,26 @@ class WordEncoder:
 
     def _learn(self, runs: list[str], plain: bool) -> None:
         """The runs' ids; plain: all are of the characters that _FAST takes."""
-        parts = self.parts
-        if len(parts) > self.max_words:
-            parts.clear()
-        cut = list(map((_FAST if plain else _WORDS).findall, runs))
-        new = [w for w in set(chain.from_iterable(cut)) if w not in parts]
+        known, cut, parts = self.known, _FAST.findall if plain else _WORDS.findall, {}
+        for r in runs:  # most are letters alone, or with one mark at the end
+            if plain and not r.isalpha():
+                parts[r] = (r[:-1], r[-1]) if r[-1] in ".,;:!?" and r[:-1].isalpha() else cut(r)
+            elif not plain:
+                parts[r] = cut(r)
+        whole = [r for r in runs if r not in parts]
+        new = list(dict.fromkeys(chain(whole, (w for w in chain.from_iterable(parts.values()) if w not in known))))
         shown = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.shown) for w in new]
-        parts.update(zip(new, self._bytes(self.model.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
-        self.runs.update((r, parts[c[0]] if len(c) == 1 else b"".join(map(parts.__getitem__, c))) for r, c in zip(runs, cut, strict=True))
+        known.update(zip(new, self._bytes(self.model.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
+        known.update([(r, b"".join([known[w] for w in ws])) for r, ws in parts.items()])
 
     def _joined(self, cut: pa.ListArray, plain: bool) -> list[bytes]:
         """The ids of texts cut into runs."""
         words = cut.flatten().dictionary_encode()
-        distinct, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.runs) > self.max_words:
-            self.runs.clear()
-        self._learn([r for r in distinct if r not in self.runs], plain)
-        found = list(map(self.runs.__getitem__, distinct))
+        distinct, codes = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        if len(self.known) > self.max_words:
+            self.known.clear()
+        self._learn([r for r in distinct if r not in self.known], plain)
+        found = list(map(self.known.__getitem__, distinct))
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat, at = np.frombuffer(b"".join(found), "<u4"), ranges(n)
         n = n[codes]
@@ -263,7 +267,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], [x.split(" ")[0] for x in PIECES.split(", ")])
 
         for b in batches:
-            for docs_, texts in batches_by_size(b):
+            for docs_, texts in batches_by_size(b, 6_000_000):
                 for doc, ids in zip(docs_, encode(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
