@@ -86,7 +86,7 @@ class WordEncoder:
         known, cut, parts = self.known, _FAST.findall if plain else _WORDS.findall, {}
         for r in runs:  # most are letters alone, or with one mark at the end
             if plain and not r.isalpha():
-                parts[r] = (r[:-1], r[-1]) if r[-1] in ".,;:!?" and r[:-1].isalpha() else cut(r)
+                parts[r] = (r[:-1], r[-1]) if r[:-1].isalpha() and r[-1] in ".,;:!?" else cut(r)
             elif not plain:
                 parts[r] = cut(r)
         whole = [r for r in runs if r not in parts]
