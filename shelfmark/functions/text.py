@@ -1,5 +1,5 @@
-"""Column builders for text, identifiers and creators. Absent is NULL; all of it stays in the JVM but
-`nfkd`, for which Spark has no builtin."""
+"""Column builders for text, identifiers and creators. Absent is NULL; all of it stays in the JVM but the
+decomposition of text that isn't ASCII, for which Spark has no builtin."""
 
 from __future__ import annotations
 
@@ -22,9 +22,15 @@ IDENTIFIERS = ["doi", "isbn13", "pmid", "pmcid", "arxiv"]
 _SEPARATORS = r"[ !-/:-@\[-`{-~]+|[\p{P}\p{S}]+"
 
 
-@F.pandas_udf(T.StringType())
-def nfkd(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkd(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: xs if xs is None else [None if x is None else unicodedata.normalize("NFKD", x) for x in xs])
+
+
+def decomposed(values: Column) -> Column:
+    """An array's strings with compatibility forms decomposed. Rows of ASCII alone are not sent to Python."""
+    other = F.coalesce(F.exists(values, lambda x: x.rlike(r"[^\x00-\x7F]")), F.lit(False))
+    return F.when(other, _nfkd(F.when(other, values))).otherwise(values)
 
 
 def absent(c: Column) -> Column:
@@ -33,14 +39,22 @@ def absent(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+
+
+def without_markup(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "[{}]", "")
+
+
+def folded(c: Column) -> Column:
+    """Of a decomposed text: without marks, each run of ASCII separators or of other punctuation one space,
+    trimmed, in lower case. Adjacent runs of the two kinds keep a space each."""
+    return F.lower(trimmed(F.regexp_replace(F.regexp_replace(c, r"\p{M}", ""), _SEPARATORS, " ")))
 
 
 def normalized_text(c: Column) -> Column:
-    """Without tags, braces and marks, compatibility forms decomposed, each run of ASCII separators or
-    of other punctuation one space, trimmed, in lower case. Adjacent runs of the two kinds keep a space each."""
-    plain = F.regexp_replace(nfkd(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", ""), "[{}]", "")), r"\p{M}", "")
-    return F.lower(trimmed(F.regexp_replace(plain, _SEPARATORS, " ")))
+    """Without tags and braces, decomposed and folded."""
+    return folded(decomposed(F.array(without_markup(c)))[0])
 
 
 def doi(c: Column) -> Column:
@@ -68,29 +82,53 @@ def isbn13(c: Column) -> Column:
 
 
 def extra_identifier(extra: Column, label: str) -> Column:
-    """The value of the first line 'LABEL: value' of an extra field."""
-    value = trimmed(F.get(F.filter(F.transform(F.split(extra, r"\r?\n"), lambda x: F.regexp_extract(x, rf"(?i)^\s*{label}\s*:\s*(.+?)\s*$", 1)), lambda x: x != ""), F.lit(0)))
+    """The value of the first line 'LABEL: value' of an extra field; of DOI lines the first valid one."""
+    values = F.filter(F.transform(F.split(extra, r"\r?\n"), lambda x: trimmed(F.regexp_extract(x, rf"(?iU)^\s*{label}\s*:\s*(.+?)\s*$", 1))), lambda x: x != "")
     if label == "DOI":
-        return doi(value)
+        return F.get(F.filter(F.transform(values, doi), lambda x: x.isNotNull()), F.lit(0))
+    value = F.get(values, F.lit(0))
     if label == "PMID":
-        return absent(F.regexp_replace(value, r"(?i)^PMID:?\s*", ""))
+        return absent(F.regexp_replace(value, r"(?i)^PMID:\s*", ""))
     if label == "PMCID":
         return F.upper(value)
-    return F.lower(F.regexp_replace(value, r"(?i)^arxiv:", ""))
+    return absent(F.regexp_replace(F.lower(value), "^arxiv:", ""))
+
+
+#: The type of creators as items have them.
+CREATORS = "array<struct<last_name:string,first_name:string,field_mode:int>>"
+
+
+def is_corporate(c: Column) -> Column:
+    """An organisation: marked so, or of one name with white space inside."""
+    one_name = F.coalesce(c["first_name"], F.lit("")) == ""
+    return (F.coalesce(c["field_mode"], F.lit(0)) == 1) | (one_name & trimmed(F.coalesce(c["last_name"], F.lit(""))).rlike(r"(?U)\s"))
+
+
+def creator_texts(creators: Column) -> Column:
+    """Last (an organisation's without brackets) and first name of each creator, not yet decomposed."""
+    last = lambda c: F.coalesce(c["last_name"], F.lit(""))
+    names = lambda c: F.array(without_markup(F.when(is_corporate(c), F.regexp_replace(last(c), r"\([^)]*\)", " ")).otherwise(last(c))), without_markup(F.coalesce(c["first_name"], F.lit(""))))
+    return F.flatten(F.transform(F.coalesce(creators, F.array().cast(CREATORS)), names))
+
+
+def corporate_name(text: Column) -> Column:
+    """Of a folded name: without connective words."""
+    noise = r"(?<![a-z0-9_])(?:" + "|".join(CORPORATE_NOISE) + r")(?![a-z0-9_])"
+    return trimmed(F.regexp_replace(F.regexp_replace(text, noise, " "), r"(?U)\s+", " "))
 
 
-def creator_keys(creators: Column) -> Column:
-    """Sorted keys: corporate:<name> or <last>:<first initial>; creators without a last name have none."""
+def creator_keys(creators: Column, texts: Column | None = None) -> Column:
+    """Sorted keys: corporate:<name> or <last>:<first initial>; a creator whose name folds to nothing has
+    none. texts: the creators' texts, where they are decomposed already."""
+    texts = decomposed(creator_texts(creators)) if texts is None else texts
 
-    def key(c: Column) -> Column:
-        last, first, mode = c["last_name"], F.coalesce(c["first_name"], F.lit("")), F.coalesce(c["field_mode"], F.lit(0))
-        corporate = (mode == 1) | ((first == "") & last.rlike(r"(?U)\s"))
-        noise = r"(?<![a-z0-9_])(?:" + "|".join(CORPORATE_NOISE) + r")(?![a-z0-9_])"
-        bare = lambda x: F.lower(trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", ""), "[{}]", ""), r"\p{M}", ""), _SEPARATORS, " ")))
-        name = trimmed(F.regexp_replace(F.regexp_replace(bare(F.regexp_replace(last, r"\([^)]*\)", " ")), noise, " "), r"(?U)\s+", " "))
-        return F.when(corporate, F.concat(F.lit("corporate:"), name)).when(bare(last) != "", F.concat(bare(last), F.lit(":"), F.substring(bare(first), 1, 1)))
+    def key(c: Column, i: Column) -> Column:
+        last, first = folded(F.get(texts, 2 * i)), folded(F.get(texts, 2 * i + 1))
+        name = F.when(is_corporate(c), F.concat(F.lit("corporate:"), absent(corporate_name(last))))
+        return name.otherwise(F.concat(absent(last), F.lit(":"), F.substring(first, 1, 1)))
 
-    return F.array_sort(F.filter(F.transform(F.coalesce(creators, F.array().cast("array<struct<last_name:string,first_name:string,field_mode:int>>")), key), lambda k: k.isNotNull()))
+    keys = F.transform(F.coalesce(creators, F.array().cast(CREATORS)), key)
+    return F.array_sort(F.filter(keys, lambda k: k.isNotNull()))
 
 
 def year(c: Column) -> Column:

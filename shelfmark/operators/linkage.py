@@ -17,11 +17,12 @@ def scan(records: DataFrame, libraries: DataFrame) -> DataFrame:
 
 def normalize_items(items: DataFrame) -> DataFrame:
     """items with normalized_title, title_words, creator_keys, year and the five identifiers."""
-    title = t.normalized_text(F.coalesce("title", F.lit("")))
     extra = {label: t.extra_identifier(F.col("extra"), label) for label in ("PMID", "PMCID", "arXiv", "DOI")}
-    out = items.withColumn("normalized_title", title).withColumn("title_words", t.content_words(F.col("normalized_title")))
-    out = out.withColumn("creator_keys", t.creator_keys(F.col("creators"))).withColumn("year", t.year(F.col("date")))
-    return out.withColumns({"doi": F.coalesce(t.doi(F.col("doi")), extra["DOI"]), "isbn13": t.isbn13(F.col("isbn")), "pmid": extra["PMID"], "pmcid": extra["PMCID"], "arxiv": extra["arXiv"]})
+    texts = F.concat(F.array(t.without_markup(F.coalesce("title", F.lit("")))), t.creator_texts(F.col("creators")))
+    out = items.withColumn("_texts", t.decomposed(texts)).withColumn("normalized_title", t.folded(F.col("_texts")[0]))
+    out = out.withColumn("title_words", t.content_words(F.col("normalized_title")))
+    out = out.withColumn("creator_keys", t.creator_keys(F.col("creators"), F.slice("_texts", F.lit(2), F.size("_texts")))).withColumn("year", t.year(F.col("date")))
+    return out.withColumns({"doi": F.coalesce(t.doi(F.col("doi")), extra["DOI"]), "isbn13": t.isbn13(F.col("isbn")), "pmid": extra["PMID"], "pmcid": extra["PMCID"], "arxiv": extra["arXiv"]}).drop("_texts")
 
 
 def link_key(library: Column, key: Column) -> Column:
@@ -29,13 +30,14 @@ def link_key(library: Column, key: Column) -> Column:
 
 
 def block_keys(items: DataFrame) -> DataFrame:
-    """ordinal, key_pos, block_key: links, identifiers, creators, and the title of a creatorless item."""
+    """ordinal, library_id, year, key_pos, block_key: the item's own reference (the only one at place 0), its
+    links, identifiers, creators, and the title of a creatorless item."""
     links = F.transform(F.coalesce("linked_items", F.array().cast("array<struct<library_id:int,item_key:string>>")), lambda r: F.concat(F.lit("link:"), link_key(r["library_id"], r["item_key"])))
     own = F.array(F.concat(F.lit("link:"), link_key(F.col("library_id"), F.col("item_key"))))
     ids = F.filter(F.array(*(F.concat(F.lit(f"{i}:"), F.col(i)) for i in t.IDENTIFIERS)), lambda x: x.isNotNull())
     creators = F.transform("creator_keys", lambda k: F.concat(F.lit("creator:"), k))
     title = F.when((F.size("creator_keys") == 0) & (F.col("normalized_title") != ""), F.array(F.concat(F.lit("title:"), F.col("normalized_title")))).otherwise(F.array().cast("array<string>"))
-    return items.select("ordinal", F.posexplode(F.concat(own, links, ids, creators, title)).alias("key_pos", "block_key"))
+    return items.select("ordinal", "library_id", "year", F.posexplode(F.concat(own, links, ids, creators, title)).alias("key_pos", "block_key"))
 
 
 def shared_identifiers(a: str, b: str, blocking: bool) -> Column:
@@ -67,20 +69,31 @@ def is_candidate(a: str, b: str) -> Column:
 SLIM = ["ordinal", "library_id", "item_key", "item_type", "normalized_title", "title_words", "creator_keys", "year", "linked_items", *t.IDENTIFIERS]
 
 
-def candidate_pairs(items: DataFrame, across_libraries: bool = True) -> DataFrame:
+def candidate_pairs(items: DataFrame, across_libraries: bool = True, block: int = 4096) -> DataFrame:
     """l_ordinal, r_ordinal (left before right) and order_key, the place of the pair in the order in which
-    blocks are met. Blocks meet by an equi-join on the key; keys alone are shuffled, the items' columns
-    come after the pairs are distinct."""
-    keys = block_keys(items).join(items.select("ordinal", F.col("library_id").alias("lib"), F.col("year").alias("yr")), "ordinal")
+    blocks are met.
+
+    Blocks meet by an equi-join on the key. In blocks of creators and titles the year is part of the join:
+    the left rows stand at their year, the right ones at theirs and both neighbours', rows without a year
+    meet all others, and each pair meets once. The left rows of a block with more than `block` of them are
+    dealt over parts, and the right ones go to each, so no task holds a hub's block whole. What meets so
+    satisfies is_candidate; keys alone are shuffled."""
+    keys = block_keys(items)
     first = keys.groupBy("block_key").agg(F.min(F.struct("ordinal", "key_pos")).alias("at"), F.count("*").alias("n")).where("n > 1")
-    keys = keys.join(first.drop("n"), "block_key")
-    a, b = keys.alias("a"), keys.select("block_key", "ordinal", "lib", "yr").alias("b")
-    near = F.col("a.block_key").rlike("^(link|doi|isbn13|pmid|pmcid|arxiv):") | F.coalesce(F.abs(F.col("a.yr") - F.col("b.yr")) <= 1, F.lit(True))
-    cross = (F.col("a.lib") != F.col("b.lib")) if across_libraries else F.lit(True)
-    pairs = a.join(b, (F.col("a.block_key") == F.col("b.block_key")) & (F.col("a.ordinal") < F.col("b.ordinal")) & cross & near)
-    pairs = pairs.groupBy(F.col("a.ordinal").alias("l_ordinal"), F.col("b.ordinal").alias("r_ordinal")).agg(F.min("a.at").alias("at"))
-    both = with_items(pairs, items).where(is_candidate("l", "r"))
-    return both.select("l_ordinal", "r_ordinal", F.struct(F.col("at.ordinal").alias("block"), F.col("at.key_pos").alias("pos"), F.col("l_ordinal").alias("left"), F.col("r_ordinal").alias("right")).alias("order_key"))
+    keys = keys.join(first, "block_key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    y, bare = F.col("year"), F.array(F.lit(0))
+    dated = F.col("block_key").rlike("^(creator|title):")
+    met, missing = F.lit(-1), F.lit(-2)  # slots of the rows that meet a row without a year, and of those
+    left = keys.withColumn("slot", F.explode(F.when(~dated, bare).when(y.isNull(), F.array(missing)).otherwise(F.array(y, met)))).withColumn("part", F.pmod(F.xxhash64("ordinal"), "parts").cast("int"))
+    right = keys.withColumn("slot", F.explode(F.when(~dated, bare).when(y.isNull(), F.array(met, missing)).otherwise(F.array(y - 1, y, y + 1, missing)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    a = left.select("block_key", "slot", "part", F.col("ordinal").alias("l_ordinal"), F.col("library_id").alias("l_lib"), (F.col("key_pos") == 0).alias("l_own"), "at")
+    b = right.select("block_key", "slot", "part", F.col("ordinal").alias("r_ordinal"), F.col("library_id").alias("r_lib"), (F.col("key_pos") == 0).alias("r_own"))
+    cross = (F.col("l_lib") != F.col("r_lib")) if across_libraries else F.lit(True)
+    pairs = a.join(b, ["block_key", "slot", "part"]).where((F.col("l_ordinal") < F.col("r_ordinal")) & cross)
+    # two items that point to a third one meet at its reference, but are not linked
+    pairs = pairs.where((F.col("l_own") != F.col("r_own")) | ~F.col("block_key").startswith("link:"))
+    pairs = pairs.groupBy("l_ordinal", "r_ordinal").agg(F.min("at").alias("at"))
+    return pairs.select("l_ordinal", "r_ordinal", F.struct(F.col("at.ordinal").alias("block"), F.col("at.key_pos").alias("pos"), F.col("l_ordinal").alias("left"), F.col("r_ordinal").alias("right")).alias("order_key"))
 
 
 def with_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -168,21 +181,25 @@ def match_pairs(pairs: DataFrame) -> DataFrame:
     return base.withColumn("result", result).select("l_ordinal", "r_ordinal", *[c for c in ("order_key",) if c in pairs.columns], "result.verdict", "result.tier", "result.evidence", "title_rel", "type_rel", "linked", F.col("by_rules.verdict").alias("rules_verdict"))
 
 
-def find_copies(source: DataFrame, items: DataFrame) -> DataFrame:
-    """One item against all items of other libraries: match, review and related results. The source is
-    one row by contract, so it is broadcast."""
-    one = source.select(F.col("ordinal").alias("l_ordinal"), F.struct(*SLIM).alias("l")).limit(1)
-    rest = items.select(F.col("ordinal").alias("r_ordinal"), F.struct(*SLIM).alias("r"))
-    near = rest.join(F.broadcast(one), (F.col("l.library_id") != F.col("r.library_id")) & is_candidate("l", "r"))
-    return match_pairs(near).where(F.col("verdict").isin("match", "review", "related"))
+def find_copies(sources: DataFrame, items: DataFrame) -> DataFrame:
+    """The copies of each source item (some rows of items) in other libraries: match, review and related
+    results, the source as l_ordinal."""
+    pairs = candidate_pairs(items).select("l_ordinal", "r_ordinal")
+    both = pairs.unionByName(pairs.select(F.col("r_ordinal").alias("l_ordinal"), F.col("l_ordinal").alias("r_ordinal")))
+    mine = both.join(sources.select(F.col("ordinal").alias("l_ordinal")), "l_ordinal", "left_semi")
+    return match_pairs(with_items(mine, items)).where(F.col("verdict").isin("match", "review", "related"))
 
 
-def widened_pairs(items: DataFrame, home: int) -> DataFrame:
+def widened_pairs(items: DataFrame, home: int, block: int = 4096) -> DataFrame:
     """l_ordinal (outside home) and r_ordinal (in home) that share an identifier, the first three content
-    words, or a creator; no year filter."""
+    words, or a creator; no year filter. The outer rows of a key with more than `block` of them are dealt
+    over parts, as in candidate_pairs."""
     ids = F.filter(F.array(*(F.concat(F.lit(f"{i}:"), F.col(i)) for i in t.IDENTIFIERS)), lambda x: x.isNotNull())
     opening = F.when(F.size("title_words") >= 3, F.array(F.concat(F.lit("open:"), F.array_join(F.slice("title_words", 1, 3), " ")))).otherwise(F.array().cast("array<string>"))
     creators = F.transform("creator_keys", lambda k: F.concat(F.lit("creator:"), k))
     keys = items.select("ordinal", "library_id", F.explode(F.array_distinct(F.concat(ids, opening, creators))).alias("key"))
     a, b = keys.where(F.col("library_id") != home), keys.where(F.col("library_id") == home)
-    return a.alias("a").join(b.alias("b"), "key").select(F.col("a.ordinal").alias("l_ordinal"), F.col("b.ordinal").alias("r_ordinal")).distinct()
+    parts = a.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    a = a.join(parts, "key").select("key", F.col("ordinal").alias("l_ordinal"), F.pmod(F.xxhash64("ordinal"), "parts").cast("int").alias("part"))
+    b = b.join(parts, "key").select("key", F.col("ordinal").alias("r_ordinal"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["key", "part"]).select("l_ordinal", "r_ordinal").distinct()
