@@ -4,15 +4,16 @@ Items come from `part`, whole; library 1 is home. Lists leave as joined text, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import changes, clustering, difference, linkage
-from .plans.storage import stored
-from .sources.items import PART_FIELDS, PART_ITEMS, part_fields, part_items
+from .operators import changes, clustering, difference, journal, linkage, previews, snapshot
+from .plans.storage import shared_dir, stored
+from .sources.items import PART_FIELDS, PART_ITEMS, PEOPLE, part_fields, part_items, people
 
 HOME = 1
 LIBRARIES = [1, 2, 3, 4]
@@ -27,7 +28,7 @@ def _matches(items: DataFrame) -> DataFrame:
     return linkage.match_pairs(linkage.with_items(linkage.candidate_pairs(items), items))
 
 
-def _rules() -> F.Column:
+def _rules() -> Column:
     return F.array_join(F.transform("evidence", lambda e: e["rule"]), ",")
 
 
@@ -105,37 +106,120 @@ def also_in(spark: SparkSession, d: str) -> DataFrame:
     return clustering.also_in(items, clustering.works_exact(items, _matches(items)))
 
 
-def _differences(spark: SparkSession, d: str) -> DataFrame:
+def _types() -> Column:
+    """The creator types that an item type takes, for the fixture."""
+    return F.when(F.col("item_type") == "book", F.array(F.lit("author"), F.lit("editor"))).otherwise(F.array(F.lit("author")))
+
+
+def _compared(spark: SparkSession, d: str, fields: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Items, partners, fields and differences."""
     items = _items(spark, d)
     partners = stored(difference.strong_partners(_matches(items), items, HOME), "partners")
-    return difference.compare(partners, part_fields(spark, d))
+    fields = part_fields(spark, d) if fields is None else fields(items)
+    return items, partners, fields, difference.compare(partners, fields, items.select("ordinal", "item_type", _types().alias("creator_types")))
 
 
 def difference_classes(spark: SparkSession, d: str) -> DataFrame:
-    return _differences(spark, d).select("target", "field", "class", "missing_in", F.col("n_alternatives").cast("long").alias("n_alternatives"), "first_alternative", "not_offered", "format_only")
+    rows = _compared(spark, d)[3]
+    return rows.select("target", "field", "class", "missing_in", F.col("n_alternatives").cast("long").alias("n_alternatives"), "first_alternative", "not_offered", "format_only")
+
+
+def difference_creators(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of creators compared as one field; every fifth record's brand is an editor."""
+
+    def fields(items: DataFrame) -> DataFrame:
+        kind = F.when(F.col("ordinal") % 5 == 0, "editor").otherwise("author").alias("creator_type")
+        one = lambda c: F.struct(kind, F.lit(None).cast("string").alias("name"), c["last_name"].alias("last_name"), F.when(F.col("ordinal") % 2 == 0, "").alias("first_name"))
+        rows = items.where("size(creators) > 0").select("ordinal", F.transform("creators", one).alias("c")).withColumn("texts", t.decomposed(difference.creators_texts(F.col("c"))))
+        return rows.select("ordinal", F.lit("creators").alias("field"), changes.creators_value(F.col("c")).alias("value"), difference.creators_key(F.col("c"), F.col("texts")).alias("key"), F.transform("c", lambda x: x["creator_type"]).alias("kinds"))
+
+    rows = _compared(spark, d, fields)[3]
+    return rows.select("target", "class", F.col("n_alternatives").cast("long").alias("n_alternatives"), F.coalesce("why_not", F.lit("")).alias("why_not"))
 
 
 def difference_report(spark: SparkSession, d: str) -> DataFrame:
-    return difference.report(_differences(spark, d))
+    items, partners, _, rows = _compared(spark, d)
+    out = difference.detailed_report(rows, partners, items)
+    return out.select("target", "title", F.array_join("source_libraries", ", ").alias("source_libraries"), "missing", "fillable", "different", "conflicting")
+
+
+def difference_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Field records of every sixth item are gone."""
+    _, partners, fields, rows = _compared(spark, d, lambda items: part_fields(spark, d).where("ordinal % 6 <> 0"))
+    return difference.report_totals(partners, fields, rows)
 
 
 def fillable_fields(spark: SparkSession, d: str) -> DataFrame:
-    rows = _differences(spark, d).where((F.col("class") == "MISSING") & (F.col("missing_in") == "target") & ~F.col("not_offered") & ~F.col("field").isin(difference.UNVERIFIED))
-    return rows.select("target", "field", F.col("first_alternative").alias("value"))
+    return previews.fill_edits(_compared(spark, d)[3]).select("target", "field", F.col("next").alias("value"))
 
 
-def _recall(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    items = _items(spark, d)
-    wanted = stored(clustering.missing_from(items, clustering.works_exact(items, _matches(items)), HOME).select(F.col("work").alias("ordinal")), "missing")
-    return wanted, *changes.near_misses(items, wanted, HOME)
+def fill_preview(spark: SparkSession, d: str) -> DataFrame:
+    items, _, _, rows = _compared(spark, d)
+    return previews.fill_preview(previews.fill_edits(rows), items).withColumn("edits", F.array_join("edits", "; "))
+
+
+def reconcile_preview(spark: SparkSession, d: str) -> DataFrame:
+    items, _, _, rows = _compared(spark, d)
+    return previews.reconcile_preview(rows, items).select("target", "field", "class", "target_display", F.array_join("choices", "; ").alias("choices"), "default_choice", "offerable", F.size("notes").cast("long").alias("n_notes"))
+
+
+def reconcile_plan(spark: SparkSession, d: str) -> DataFrame:
+    """A person who takes the first or the second alternative of each field, whether there is one or not."""
+    rows = _compared(spark, d)[3]
+    picks = rows.select("target", "field", (F.col("target") % 3 - 1).cast("int").alias("choice"))
+    return previews.proposed_edits(rows, picks).select("target", "field", "expected", "next", "class")
+
+
+def _recall(items: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the works that home lacks the canonical members, and their recall check."""
+    wanted = clustering.missing_from(items, works, HOME).select("work")
+    rank = F.struct(t.type_rank(F.col("item_type")), linkage.link_key(F.col("library_id"), F.col("item_key")))
+    members = works.join(wanted, "work", "left_semi").join(items, "ordinal")
+    candidates = stored(members.groupBy("work").agg(F.min_by("ordinal", rank).alias("ordinal")).select("ordinal"), "missing")
+    return candidates, *changes.near_misses(items, candidates, HOME)
 
 
 def near_misses(spark: SparkSession, d: str) -> DataFrame:
-    return _recall(spark, d)[2]
+    """Over the works of exact edges, which SQL can tell; import_plan takes the restricted ones."""
+    items = _items(spark, d)
+    return _recall(items, clustering.works_exact(items, _matches(items)))[2].drop("evidence")
 
 
 def import_plan(spark: SparkSession, d: str) -> DataFrame:
-    return changes.import_plan(*_recall(spark, d))
+    items = _items(spark, d)
+    return changes.import_plan(*_recall(items, clustering.works_restricted(items, stored(_matches(items), "matches"))))
+
+
+def _plan(items: DataFrame) -> DataFrame:
+    return items.where(F.col("library_id") != HOME).select("ordinal", "version", F.when(F.col("ordinal") % 4 == 2, "skip").otherwise("import").alias("decision"))
+
+
+def import_precheck(spark: SparkSession, d: str) -> DataFrame:
+    """Sources changed, trashed, gone or linked since the plan."""
+    items = part_items(spark, d)
+    now = items.where("ordinal % 31 <> 0").select("ordinal", (F.col("version") + F.when(F.col("ordinal") % 29 == 0, 1).otherwise(0)).alias("version"), (F.col("ordinal") % 23 == 0).alias("deleted"))
+    status = changes.precheck(_plan(items), now, items.where("ordinal % 19 = 0").select("ordinal"))
+    return changes.totals(status, ["created", "source-missing", "stale-source", "already-present"])
+
+
+def import_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions of twelve sessions."""
+    rows = changes.chunks(_plan(part_items(spark, d)).where("decision = 'import'").withColumn("session", F.col("ordinal") % 12), "ordinal")
+    return rows.groupBy("session", "chunk").agg(F.count("*").alias("n"), F.min("ordinal").alias("first"))
+
+
+def created_items(spark: SparkSession, d: str) -> DataFrame:
+    items = part_items(spark, d)
+    made = changes.created_items(_plan(items).where("decision = 'import'").select("ordinal", (-F.col("ordinal")).alias("new_ordinal")), items, HOME)
+    link = F.col("linked_items")[0]
+    return made.select("ordinal", "library_id", "item_key", "version", "title", linkage.link_key(link["library_id"], link["item_key"]).alias("linked"))
+
+
+def trashed_items(spark: SparkSession, d: str) -> DataFrame:
+    """An import undone: what it made goes to the trash; some lie there already, some refs are unknown."""
+    items = part_items(spark, d).withColumn("deleted", F.col("ordinal") % 10 == 0)
+    refs = items.where("ordinal % 4 = 1").select("library_id", F.when(F.col("ordinal") % 9 == 0, "gone").otherwise(F.col("item_key")).alias("item_key"))
+    return changes.trashed(items, refs).groupBy("library_id", "deleted").agg(F.count("*").alias("n"))
 
 
 def library_fingerprint(spark: SparkSession, d: str) -> DataFrame:
@@ -150,25 +234,131 @@ def stale_libraries(spark: SparkSession, d: str) -> DataFrame:
     return changes.stale_libraries(then, now)
 
 
-def cas_apply(spark: SparkSession, d: str) -> DataFrame:
-    return changes.apply_edits(part_fields(spark, d), _edits(spark, d))[1].groupBy("field", "value").agg(F.count("*").alias("n"))
+def _edits(fields: DataFrame) -> DataFrame:
+    """Of blank issues, some of them expected to hold something, and of records that don't exist; every
+    seventh also clears a volume."""
+    blank = fields.where("field = 'issue' and coalesce(value, '') = ''")
+    target = F.when(F.col("ordinal") % 8 == 0, -F.col("ordinal")).otherwise(F.col("ordinal")).alias("target")
+    issues = blank.select(target, "field", F.when(F.col("ordinal") % 11 == 0, "moved").otherwise(F.col("value")).alias("expected"), F.lit("9").alias("next"))
+    volumes = blank.where("ordinal % 7 = 0").select(target, F.lit("volume").alias("field"), (F.col("ordinal") % 3).cast("string").alias("expected"), F.lit(None).cast("string").alias("next"))
+    return stored(issues.unionByName(volumes), "edits")
 
 
-def _edits(spark: SparkSession, d: str) -> DataFrame:
-    fields = part_fields(spark, d).where("field = 'issue' and value = ''")
-    return fields.select(F.col("ordinal").alias("target"), "field", F.when(F.col("ordinal") % 11 == 0, "moved").otherwise("").alias("expected"), F.lit("9").alias("next"))
+def cas_apply(spark: SparkSession, d: str) -> DataFrame:
+    fields = stored(part_fields(spark, d), "fields")
+    return changes.apply_edits(fields, _edits(fields))[1].groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
 def cas_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return changes.apply_edits(part_fields(spark, d), _edits(spark, d))[0].groupBy("status").agg(F.count("*").alias("n"))
+    """Each with a check of the next record's volume, which some expect wrongly and some don't find."""
+    fields = stored(part_fields(spark, d), "fields")
+    edits = _edits(fields)
+    checks = edits.select("target").distinct().select("target", (F.col("target") + 1).alias("source"), F.lit("volume").alias("field"), F.when(F.col("target") % 9 == 0, "none").otherwise(((F.col("target") + 1) % 3).cast("string")).alias("expected"))
+    return changes.apply_edits(fields, edits, checks)[0].groupBy("status").agg(F.count("*").alias("n"))
 
 
 def undo_session(spark: SparkSession, d: str) -> DataFrame:
-    """Edits and their reversal leave every field as it was."""
-    fields, edits = part_fields(spark, d), _edits(spark, d)
+    """Edits and their reversal leave every field as it was, but that absent values are empty."""
+    fields = stored(part_fields(spark, d), "fields")
+    edits = _edits(fields)
     outcome, after = changes.apply_edits(fields, edits)
-    done = edits.join(outcome.where("status = 'written'"), "target", "left_semi")
-    return changes.apply_edits(after, changes.revert(done))[1].groupBy("field", "value").agg(F.count("*").alias("n"))
+    done = stored(edits.join(outcome.where("status = 'written'"), "target", "left_semi"), "done")
+    return changes.apply_edits(stored(after, "after"), changes.revert(done))[1].groupBy("field", F.coalesce("value", F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+
+
+def edit_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Edits outside home, of what is never written, and of a type's own name of a field."""
+    items = part_items(spark, d)
+    names = spark.createDataFrame([("thesis", "university", "publisher"), ("report", "institution", "publisher")], "item_type string, name string, base string")
+    fields = F.array(*map(F.lit, ["title", "citationKey", "university", "creators", "extra", "institution"]))
+    edits = items.select(F.col("ordinal").alias("target"), F.get(fields, (F.col("ordinal") % 6).cast("int")).alias("field"))
+    return changes.violations(edits, items, HOME, names)
+
+
+def link_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Links removed, then all of them restored, and what lists hold after each."""
+    items = part_items(spark, d)
+    held = items.where("size(linked_items) > 0").select("ordinal", F.explode("linked_items").alias("x")).select("ordinal", "x.library_id", F.when(F.col("ordinal") % 5 == 0, "other").otherwise(F.col("x.item_key")).alias("item_key"))
+    asked = held.withColumn("ordinal", F.when(F.col("ordinal") % 7 == 0, -F.col("ordinal")).otherwise(F.col("ordinal")))
+    removed, after = changes.remove_links(items, asked)
+    restored, again = changes.restore_links(after, asked)
+    tell = lambda step, rows: rows.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "status", "n")
+    size = lambda step, rows: rows.agg(F.sum(F.size("linked_items")).cast("long").alias("n")).select(F.lit(step).alias("step"), F.lit("links").alias("status"), "n")
+    return tell("remove", removed).unionByName(tell("restore", restored)).unionByName(size("remove", after)).unionByName(size("restore", again))
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a log from `events`: entries of three actions, some undone or without changes, blank and broken lines."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("long").alias("k"))
+    id_ = F.lpad(F.col("k").cast("string"), 9, "0")
+    source = F.struct(F.lit(2).alias("libraryID"), F.lit("A").alias("itemKey"), F.lit("L").alias("libraryName"))
+    change = F.struct(F.lit("issue").alias("field"), F.lit("issue").alias("name"), F.lit("").alias("old"), F.col("k").cast("string").alias("new"), F.lit("MISSING").alias("class"), source.alias("source"))
+    undone = F.when(F.col("k") % 100 > 90, "later").alias("undoneAt")
+    target = F.struct(F.lit(1).alias("libraryID"), F.concat(F.lit("K"), F.col("k")).alias("itemKey"))
+    meta = F.to_json(F.struct(id_.alias("id"), F.lit("update_metadata").alias("action"), F.concat(F.lit("s"), F.floor(F.col("k") / 50)).alias("session"), F.when(F.col("k") % 4 == 0, "target-changed").otherwise("written").alias("status"), target.alias("target"), F.array(change).alias("changes"), undone))
+    made = F.struct(F.struct(F.lit(2).alias("libraryID"), F.lit("A").alias("itemKey")).alias("source"), F.when(F.col("k") % 2 == 0, target).alias("created"))
+    bring = F.to_json(F.struct(id_.alias("id"), F.lit("import").alias("action"), F.array(made).alias("rows"), undone))
+    line = F.when(F.col("k") % 10 == 0, "  ").when(F.col("k") % 10 == 1, F.concat(F.lit('{"id": '), id_)).when(F.col("k") % 10 == 2, F.lit('{"id": "x", "action": "shout"}')).when(F.col("k") % 10 < 6, bring).otherwise(meta)
+    return e.select(line.alias("value"))
+
+
+def log_entries(spark: SparkSession, d: str) -> DataFrame:
+    """What a log holds after it was read, marked and written again."""
+    entries, broken = journal.parse(_log(spark, d))
+    marked = journal.mark_undone(entries, entries.where("id % 3 = 0").select("id"), "now")
+    again, none = journal.parse(journal.serialized(marked))
+    rows = again.select("action", F.coalesce("undoneAt", F.lit("open")).alias("state")).unionByName(broken.unionByName(none).select(F.lit("malformed").alias("action"), F.lit("").alias("state")))
+    return rows.groupBy("action", "state").agg(F.count("*").alias("n"))
+
+
+def log_undo(spark: SparkSession, d: str) -> DataFrame:
+    """The edits that undo the latest metadata session."""
+    entries, _ = journal.parse(_log(spark, d))
+    return journal.reverting_edits(journal.last_session(entries, "update_metadata")).select("libraryID", "itemKey", "field", "expected", "next")
+
+
+def log_created(spark: SparkSession, d: str) -> DataFrame:
+    entries, _ = journal.parse(_log(spark, d))
+    return journal.created_refs(entries)
+
+
+def link_preview(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    matches = stored(_matches(items), "matches")
+    return previews.link_preview(changes.stale_links(matches, items, HOME), matches, items, HOME).drop("evidence")
+
+
+def snapshot_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot written and loaded again, asked for every item and for unknown ones; it knows no name of library 4."""
+    items = _items(spark, d)
+    works = clustering.works_exact(items, _matches(items)).withColumn("confidence", F.lit(None).cast("string"))
+    libraries = items.groupBy("library_id").agg(F.min("library_name").alias("name"), F.max("version").alias("version"), F.lit(None).cast("string").alias("local_change")).where("library_id <> 4")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    snapshot.save(snapshot.create(items, works, libraries, "2024-05-01T00:00:00Z"), path)
+    refs = items.select("library_id", F.when(F.col("ordinal") % 50 == 0, "unknown").otherwise(F.col("item_key")).alias("item_key")).distinct()
+    got = snapshot.work_for(snapshot.load(spark, path), refs)
+    return got.select("library_id", "item_key", "id", F.array_join("also_in", ", ").alias("also_in"), F.col("copies_here").cast("long").alias("copies_here"))
+
+
+def linked_refs(spark: SparkSession, d: str) -> DataFrame:
+    """References out of relation addresses; those of unknown libraries are dropped."""
+    uri = F.concat(F.lit("https://library.example/"), F.when(F.col("ordinal") % 3 == 0, "users/local").otherwise(F.concat(F.lit("groups/"), F.col("ordinal") % 4)), F.lit("/items/KEY"), F.col("ordinal"))
+    records = part_items(spark, d).select("ordinal", F.array(uri, F.lit("mailto:nobody")).alias("relation_uris"))
+    names = spark.createDataFrame([("users/local", 1), ("groups/1", 2), ("groups/2", 3)], "prefix string, library_id int")
+    return linkage.linked_refs(records, names).select("ordinal", F.explode("linked_items").alias("x")).select("ordinal", "x.library_id", "x.item_key")
+
+
+def creator_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = people(spark, d).withColumn("texts", t.decomposed(t.creator_texts(F.col("creators"))))
+    return rows.select("ordinal", F.array_join(t.creator_keys(F.col("creators"), F.col("texts")), ";").alias("keys"))
+
+
+def isbn_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return people(spark, d).select("ordinal", "isbn", t.isbn13(F.col("isbn")).alias("isbn13"))
+
+
+def extra_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    return people(spark, d).select("ordinal", *(t.extra_identifier(F.col("extra"), label).alias(label.lower()) for label in ("PMID", "PMCID", "arXiv", "DOI")))
 
 
 def stale_links(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +369,8 @@ def stale_links(spark: SparkSession, d: str) -> DataFrame:
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     normalize_titles, normalize_identifiers, block_keys, candidate_pairs, candidate_pairs_widened, match_pairs, match_histogram, confirmed_pairs, audit_counters, find_copies,
     works_exact, works_restricted, work_rollup, missing_from_home, coverage_matrix, also_in, difference_classes, difference_report, fillable_fields, near_misses, import_plan,
-    library_fingerprint, stale_libraries, cas_apply, cas_outcomes, undo_session, stale_links,
+    library_fingerprint, stale_libraries, cas_apply, cas_outcomes, undo_session, stale_links, creator_keys, isbn_canonical, extra_identifiers, linked_refs, difference_creators, difference_totals,
+    fill_preview, reconcile_preview, reconcile_plan, import_precheck, import_chunks, created_items, trashed_items, edit_violations, link_changes, link_preview, log_entries, log_undo, log_created, snapshot_lookup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -195,15 +386,26 @@ def _words(c: str) -> str:
     return f"[w FOR w IN string_split({c}, ' ') IF w <> '' AND NOT list_contains([{_STOP}], w)]"
 
 
+def _digits(c: str, weights: str, upto: int) -> str:
+    return f"list_sum([try_cast(substr({c}, i, 1) AS INT) * ({weights}) FOR i IN range(1, {upto + 1})])"
+
+
+def _isbn(c: str) -> str:
+    odd = "CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END"
+    stem = f"'978' || substr({c}, 1, 9)"
+    tenth = f"CASE WHEN substr({c}, 10, 1) = 'X' THEN 10 ELSE try_cast(substr({c}, 10, 1) AS INT) END"
+    return rf"""CASE WHEN regexp_matches({c}, '^[0-9]{{13}}$') AND {_digits(c, odd, 13)} % 10 = 0 THEN {c}
+      WHEN regexp_matches({c}, '^[0-9]{{9}}[0-9X]$') AND ({_digits(c, '11 - i', 9)} + {tenth}) % 11 = 0 THEN {stem} || CAST((10 - {_digits(f'({stem})', odd, 12)} % 10) % 10 AS STRING) END"""
+
+
 _NORM = rf"""items AS ({PART_ITEMS}), raw AS (
   SELECT *, {_norm("coalesce(title, '')")} AS nt, regexp_replace(upper(isbn), '[^0-9X]', '', 'g') AS kept FROM items
 ), n AS (
-  SELECT ordinal, library_id, library_name, item_key, lower(item_type) AS kind, item_type, nt, {_words('nt')} AS w,
+  SELECT ordinal, library_id, library_name, item_key, title, date, lower(item_type) AS kind, item_type, nt, {_words('nt')} AS w,
     CASE WHEN creator IS NULL THEN [] ELSE ['corporate:' || {_norm('creator')}] END AS ck,
     try_cast(substr(date, 1, 4) AS INT) AS y,
     CASE WHEN regexp_matches(lower(regexp_replace(doi, '(?i)^https?://doi.org/', '')), '^10\.') THEN lower(regexp_replace(doi, '(?i)^https?://doi.org/', '')) END AS doi,
-    CASE WHEN regexp_matches(kept, '^[0-9]{{13}}$') AND list_sum([try_cast(substr(kept, i, 1) AS INT) * (CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) FOR i IN range(1, 14)]) % 10 = 0 THEN kept
-      WHEN kept = '0306406152' THEN '9780306406157' END AS isbn13,
+    {_isbn('kept')} AS isbn13,
     nullif(regexp_extract(extra, '(?im)^\s*PMID\s*:\s*(.+?)\s*$', 1), '') AS pmid,
     nullif(lower(regexp_replace(regexp_extract(extra, '(?im)^\s*arXiv\s*:\s*(.+?)\s*$', 1), '(?i)^arxiv:', '')), '') AS arxiv,
     CASE WHEN linked IS NULL THEN [] ELSE [CAST(linked % 4 + 1 AS STRING) || ':K' || linked] END AS links,
@@ -222,7 +424,7 @@ _PAIRS = f"""{_NORM}, pairs AS (
   SELECT DISTINCT a.ordinal AS l_ordinal, b.ordinal AS r_ordinal FROM keys a JOIN keys b ON a.key = b.key AND a.ordinal < b.ordinal AND a.library_id <> b.library_id
   JOIN n l ON l.ordinal = a.ordinal JOIN n r ON r.ordinal = b.ordinal WHERE {_CAND}
 )"""
-_MATCH = rf"""{_PAIRS}, facts AS (
+_LADDER = rf"""facts AS (
   SELECT l_ordinal, r_ordinal, {_LINKED} AS linked, {_YEARS} AS ys, (list_has_any(l.ck, r.ck) OR (len(l.ck) = 0 AND len(r.ck) = 0)) AS cs,
     CASE WHEN l.kind = r.kind THEN 'compatible'
       WHEN list_sort([l.kind, r.kind]) IN (['journalarticle', 'preprint'], ['conferencepaper', 'journalarticle'], ['book', 'thesis'], ['document', 'journalarticle']) THEN 'related'
@@ -249,6 +451,7 @@ _MATCH = rf"""{_PAIRS}, facts AS (
     CASE WHEN NOT linked THEN split_part(rule, '|', 2) WHEN rule LIKE 'match|%' THEN 'exact' ELSE 'review' END AS tier,
     CASE WHEN NOT linked THEN split_part(rule, '|', 3) WHEN rule LIKE 'match|%' THEN 'Tier 0,' || split_part(rule, '|', 3) ELSE 'Tier 0,' || split_part(rule, '|', 3) || ',§8.0a' END AS rules FROM ruled
 )"""
+_MATCH = f"{_PAIRS}, {_LADDER}"
 _WORKS = f"""{_MATCH}, e AS (SELECT l_ordinal AS a, r_ordinal AS b FROM m WHERE verdict = 'match' AND tier = 'exact'),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT ordinal AS a, ordinal AS b FROM n UNION SELECT r.a, x.b FROM reach r JOIN both_ways x ON x.a = r.b),
@@ -258,24 +461,53 @@ _WIDE = f"""wkeys AS (SELECT DISTINCT ordinal, library_id, unnest(list_concat([x
 wide AS (SELECT DISTINCT a.ordinal AS l_ordinal, b.ordinal AS r_ordinal FROM wkeys a JOIN wkeys b ON a.key = b.key AND a.library_id <> {HOME} AND b.library_id = {HOME})"""
 _FIELD_KEY = rf"""CASE WHEN trim(value) = '' THEN NULL WHEN field = 'DOI' THEN lower(regexp_replace(value, '(?i)^https?://doi.org/', '')) WHEN field = 'ISSN' THEN regexp_replace(upper(value), '[^0-9X]', '', 'g')
   WHEN field = 'date' THEN trim(value) WHEN field IN ('volume', 'issue', 'pages') THEN regexp_replace(regexp_replace(lower(value), '[\x{{2010}}-\x{{2015}}\x{{2212}}]', '-', 'g'), '\s+', '', 'g') ELSE {_norm('value')} END"""
-_DIFF = f"""{_MATCH}, fields AS ({PART_FIELDS}), k AS (SELECT *, {_FIELD_KEY} AS key FROM fields),
+def _diff(fields: str = f"SELECT ordinal, field, coalesce(value, '') AS value, {_FIELD_KEY} AS key, NULL AS kind FROM ({PART_FIELDS})") -> str:
+    return f"""{_MATCH}, k AS ({fields}),
 strong AS (SELECT l_ordinal AS a, r_ordinal AS b FROM m WHERE verdict = 'match' AND tier IN ('exact', 'high')),
-partners AS (SELECT DISTINCT x.target, x.source FROM (SELECT a AS target, b AS source FROM strong UNION ALL SELECT b, a FROM strong) x
+partners AS (SELECT DISTINCT x.target, x.source, s.library_name FROM (SELECT a AS target, b AS source FROM strong UNION ALL SELECT b, a FROM strong) x
   JOIN n t ON t.ordinal = x.target AND t.library_id = {HOME} JOIN n s ON s.ordinal = x.source AND s.library_id <> {HOME}),
-g AS (SELECT p.target, k.field, k.key, min_by(k.value, p.source) AS value, min(p.source) AS first, list(DISTINCT k.value) AS raws FROM partners p JOIN k ON k.ordinal = p.source WHERE k.key IS NOT NULL GROUP BY ALL),
+g AS (SELECT p.target, k.field, k.key, min_by(k.value, p.source) AS value, min(p.source) AS first, list(DISTINCT k.value) AS raws, list(DISTINCT k.kind) AS kinds,
+  array_to_string(list_sort(list(DISTINCT p.library_name)), ', ') AS names, min_by(p.library_name, p.source) AS first_name FROM partners p JOIN k ON k.ordinal = p.source WHERE k.key IS NOT NULL GROUP BY ALL),
 t AS (SELECT k.ordinal AS target, k.field, k.value AS tv, k.key AS tk FROM k WHERE k.ordinal IN (SELECT target FROM partners)),
 j AS (SELECT coalesce(t.target, g.target) AS target, coalesce(t.field, g.field) AS field, any_value(t.tv) AS tv, any_value(t.tk) AS tk, count(g.key) AS n,
-  count(g.key) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS n_other, min_by(g.value, g.first) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS alt, any_value(g.raws) AS raws
+  count(g.key) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS n_other, min_by(g.value, g.first) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS alt, any_value(g.raws) AS raws,
+  list(g.value ORDER BY g.first) FILTER (WHERE g.key IS NOT NULL AND (t.tk IS NULL OR g.key <> t.tk)) AS alts, list(g.value || ' — from ' || g.names ORDER BY g.first) FILTER (WHERE g.key IS NOT NULL AND (t.tk IS NULL OR g.key <> t.tk)) AS labels,
+  min_by(g.first_name, g.first) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS first_name, bool_or(list_contains(g.kinds, 'editor')) FILTER (WHERE t.tk IS NULL OR g.key <> t.tk) AS editors
   FROM t FULL JOIN g ON t.target = g.target AND t.field = g.field GROUP BY 1, 2),
-diff AS (SELECT target, field, class, CASE WHEN class = 'MISSING' THEN CASE WHEN tk IS NOT NULL THEN 'sources' ELSE 'target' END END AS missing_in,
-  CASE WHEN class = 'MISSING' AND tk IS NOT NULL THEN 0 ELSE n_other END AS n_alternatives, CASE WHEN class = 'MISSING' AND tk IS NOT NULL THEN NULL ELSE alt END AS first_alternative, tv IS NULL AS not_offered,
-  class = 'IDENTICAL' AND len([x FOR x IN raws IF x <> tv]) > 0 AS format_only
+diff AS (SELECT target, field, class, CASE WHEN class = 'MISSING' THEN CASE WHEN tk IS NOT NULL THEN 'sources' ELSE 'target' END END AS missing_in, n_other AS n_alternatives, alt AS first_alternative,
+  tv IS NULL AND field <> 'creators' AS not_offered, class = 'IDENTICAL' AND len([x FOR x IN raws IF x <> tv]) > 0 AS format_only, coalesce(tv, '') AS tv, alts, labels, first_name, coalesce(editors, false) AS editors
   FROM (SELECT *, CASE WHEN tk IS NOT NULL AND n = 0 THEN 'MISSING' WHEN tk IS NULL AND n = 1 THEN 'MISSING' WHEN tk IS NULL AND n > 1 THEN 'CONFLICTING' WHEN tk IS NOT NULL AND n = 1 AND n_other = 0 THEN 'IDENTICAL'
     WHEN tk IS NOT NULL AND n = 1 THEN 'DIFFERENT' WHEN tk IS NOT NULL THEN 'CONFLICTING' END AS class FROM j) WHERE class IS NOT NULL)"""
-_RECALL = f"""{_WORKS}, missing AS (SELECT work AS ordinal FROM works JOIN n USING (ordinal) GROUP BY work HAVING count(*) FILTER (WHERE library_id = {HOME}) = 0), {_WIDE}, """
+
+
+_DIFF = _diff()
+_OFFER = "NOT not_offered AND n_alternatives > 0"
+_FILL = f"({_OFFER} AND class = 'MISSING' AND missing_in = 'target' AND field NOT IN ('DOI', 'ISBN', 'ISSN'))"
+_REPORT = f"r AS (SELECT target, count(*) FILTER (WHERE class = 'MISSING') AS missing, count(*) FILTER (WHERE {_FILL}) AS fillable, count(*) FILTER (WHERE class = 'DIFFERENT') AS different, count(*) FILTER (WHERE class = 'CONFLICTING') AS conflicting FROM diff WHERE {_OFFER} GROUP BY target)"
+_AUTHORS = f"SELECT ordinal, 'creators' AS field, creator || kind AS value, kind || '|' || {_norm('creator')} || '|' AS key, kind FROM (SELECT *, CASE WHEN ordinal % 5 = 0 THEN 'editor' ELSE 'author' END AS kind FROM items WHERE creator IS NOT NULL)"
+_RANK = "(CASE kind WHEN 'journalarticle' THEN '0' WHEN 'book' THEN '1' WHEN 'conferencepaper' THEN '2' WHEN 'thesis' THEN '3' WHEN 'preprint' THEN '4' WHEN 'document' THEN '6' ELSE '5' END) || ref"
+_WIDE_LADDER = _LADDER.replace("facts AS", "wfacts AS").replace("FROM pairs", "FROM wpairs").replace("FROM facts", "FROM wfacts").replace("ruled AS", "wruled AS").replace("FROM ruled", "FROM wruled").replace("), m AS (", "), wm AS (")
+_RECALL = f"""{_WORKS}, {_WIDE}, wanted AS (SELECT min_by(ordinal, {_RANK}) AS ordinal FROM works JOIN n USING (ordinal) GROUP BY work HAVING count(*) FILTER (WHERE library_id = {HOME}) = 0),
+wpairs AS (SELECT l_ordinal, r_ordinal FROM wide WHERE l_ordinal IN (SELECT ordinal FROM wanted)), {_WIDE_LADDER},
+judged AS (SELECT l_ordinal, r_ordinal, CASE WHEN {_SHARED} THEN 0 WHEN title_rel IN ('equivalent', 'addition-only') THEN 1
+    WHEN title_rel = 'substitution' AND list_has_any(l.ck, r.ck) AND u > 0 AND (2 * c >= u OR u - c <= 2) THEN 2
+    WHEN len(l.w) >= 3 AND len(r.w) >= 3 AND l.w[1:3] = r.w[1:3] AND (list_has_any(l.ck, r.ck) OR coalesce(abs(l.y - r.y) <= 1, false)) THEN 3 END AS rank
+  FROM (SELECT wm.*, len(list_distinct(list_concat(l.w, r.w))) AS u, len(list_distinct([x FOR x IN l.w IF list_contains(r.w, x)])) AS c FROM wm JOIN n l ON l.ordinal = l_ordinal JOIN n r ON r.ordinal = r_ordinal) x JOIN n l ON l.ordinal = l_ordinal JOIN n r ON r.ordinal = r_ordinal
+  WHERE l_ordinal NOT IN (SELECT l_ordinal FROM wm WHERE verdict = 'match'))"""
+_NO_BRACKETS = r"regexp_replace(last, '\([^)]*\)', ' ', 'g')"
+_PEOPLE = f"people AS ({PEOPLE})"
+_ITEMS = f"items AS ({PART_ITEMS})"
+_BLANK = f"{_ITEMS}, fields AS ({PART_FIELDS}), e AS (SELECT *, ordinal % 5 < 2 AND ordinal % 11 <> 0 AND ordinal % 8 <> 0 AS hit FROM fields)"
+_LINES = "lines AS (SELECT CAST(event_id AS BIGINT) AS k, k % 10 AS r, k % 100 > 90 AS undone FROM events)"
+
+
+def _extra(label: str) -> str:
+    return rf"list_filter([trim(regexp_extract(x, '(?i)^\s*{label}\s*:\s*(.+?)\s*$', 1)) FOR x IN string_split_regex(extra, '\r?\n')], lambda x: x <> '')"
+
+
+_DOI = r"[lower(regexp_replace(x, '(?i)^(https?://(dx\.)?doi\.org/|doi:)', '')) FOR x IN {0}]"
 _EVENTS = "ev AS (SELECT CAST(user_id % 8 AS INT) AS library_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS modified, event_id FROM events)"
 _PRINT = "SELECT library_id, CAST(count(*) AS STRING) || '|' || max(modified) AS local_change"
-_FILL = "class = 'MISSING' AND missing_in = 'target' AND NOT not_offered AND field NOT IN ('DOI', 'ISBN', 'ISSN')"
 
 ORACLE_SQL = {
     "normalize_titles": f"SELECT doc_id, title, array_to_string({_words('title')}, ' ') AS words FROM (SELECT doc_id, {_norm("coalesce(text, '')")} AS title FROM documents)",
@@ -293,13 +525,34 @@ ORACLE_SQL = {
     "missing_from_home": f"WITH RECURSIVE {_WORKS} SELECT work, count(*) AS n_items FROM works JOIN n USING (ordinal) GROUP BY work HAVING count(*) FILTER (WHERE library_id = {HOME}) = 0",
     "coverage_matrix": f"WITH RECURSIVE {_WORKS} SELECT work, " + ", ".join(f"count(*) FILTER (WHERE library_id = {i}) AS library_{i}" for i in LIBRARIES) + " FROM works JOIN n USING (ordinal) GROUP BY work",
     "also_in": f"WITH RECURSIVE {_WORKS}, x AS (SELECT work, n.ordinal, library_id, library_name FROM works JOIN n USING (ordinal)), y AS (SELECT a.ordinal, count(*) FILTER (WHERE a.library_id = b.library_id) AS copies_here, coalesce(array_to_string(list_sort(list(DISTINCT b.library_name) FILTER (WHERE a.library_id <> b.library_id)), ', '), '') AS also_in FROM x a JOIN x b USING (work) GROUP BY a.ordinal) SELECT *, CASE WHEN copies_here > 1 THEN copies_here || ' copies here, ' ELSE '' END || also_in AS cell FROM y",
-    "difference_classes": f"WITH {_DIFF} SELECT * FROM diff",
-    "difference_report": f"WITH {_DIFF}, r AS (SELECT target, count(*) FILTER (WHERE class = 'MISSING' AND missing_in = 'target') AS missing, count(*) FILTER (WHERE {_FILL}) AS fillable, count(*) FILTER (WHERE class = 'DIFFERENT') AS different, count(*) FILTER (WHERE class = 'CONFLICTING') AS conflicting FROM diff GROUP BY target) SELECT * FROM r WHERE missing + different + conflicting > 0",
+    "difference_classes": f"WITH {_DIFF} SELECT target, field, class, missing_in, n_alternatives, first_alternative, not_offered, format_only FROM diff",
+    "difference_creators": f"WITH {_diff(_AUTHORS)} SELECT target, class, n_alternatives, CASE WHEN editors AND item_type <> 'book' THEN 'a creator type is not valid for ' || item_type ELSE '' END AS why_not FROM diff JOIN n ON ordinal = target",
+    "difference_report": f"WITH {_DIFF}, {_REPORT} SELECT target, coalesce(title, '') AS title, names AS source_libraries, missing, fillable, different, conflicting FROM r JOIN n ON ordinal = target JOIN (SELECT target, array_to_string(list_sort(list(DISTINCT library_name)), ', ') AS names FROM partners GROUP BY target) USING (target)",
+    "difference_totals": f"WITH {_diff(f"SELECT ordinal, field, coalesce(value, '') AS value, {_FIELD_KEY} AS key, NULL AS kind FROM ({PART_FIELDS}) WHERE ordinal % 6 <> 0")}, {_REPORT}, u AS (SELECT target, target % 6 = 0 OR bool_and(source % 6 = 0) AS unread FROM partners GROUP BY target) SELECT count(*) AS compared, count(r.target) AS shown, count(*) FILTER (WHERE unread) AS unreadable FROM u LEFT JOIN r USING (target)",
     "fillable_fields": f"WITH {_DIFF} SELECT target, field, first_alternative AS value FROM diff WHERE {_FILL}",
+    "fill_preview": f"WITH {_DIFF} SELECT ref AS key, coalesce(any_value(title), '') AS title, 'vs ' || array_to_string(list_sort(list(DISTINCT first_name)), ', ') AS detail, string_agg(field || ': ' || first_alternative || ' (from ' || first_name || ')', '; ' ORDER BY list_position(['title', 'volume', 'issue', 'pages', 'date', 'publisher'], field)) AS edits FROM diff JOIN n ON ordinal = target WHERE {_FILL} GROUP BY ref",
+    "reconcile_preview": f"WITH {_DIFF} SELECT target, field, class, CASE WHEN tv = '' THEN '—' ELSE tv END AS target_display, coalesce(array_to_string(labels, '; '), '') AS choices, CAST(CASE WHEN {_FILL} THEN 0 ELSE -1 END AS INT) AS default_choice, {_OFFER} AS offerable, CAST(format_only AS INT) + CAST({_OFFER} AND class = 'MISSING' AND missing_in = 'target' AND field IN ('DOI', 'ISBN', 'ISSN') AS INT) + CAST(not_offered AS BIGINT) AS n_notes FROM diff",
+    "reconcile_plan": f"WITH {_DIFF} SELECT target, field, tv AS expected, alts[target % 3] AS next, class FROM diff WHERE {_OFFER} AND target % 3 BETWEEN 1 AND n_alternatives",
+    "near_misses": f"WITH RECURSIVE {_RECALL} SELECT l_ordinal, r_ordinal, ['shared-identifier', 'same-title', 'similar-title', 'same-opening-words'][rank + 1] AS reason, CAST(rank AS INT) AS rank FROM judged WHERE rank IS NOT NULL",
+    "import_precheck": f"WITH {_ITEMS}, s AS (SELECT CASE WHEN ordinal % 31 = 0 OR ordinal % 23 = 0 THEN 1 WHEN ordinal % 29 = 0 THEN 2 WHEN ordinal % 19 = 0 THEN 3 ELSE 0 END AS s FROM items WHERE ordinal % 4 IN (1, 3)) SELECT count(*) FILTER (WHERE s = 0) AS created, count(*) FILTER (WHERE s = 1) AS source_missing, count(*) FILTER (WHERE s = 2) AS stale_source, count(*) FILTER (WHERE s = 3) AS already_present FROM s",
+    "import_chunks": f"WITH {_ITEMS}, c AS (SELECT ordinal, ordinal % 12 AS session, (row_number() OVER (PARTITION BY ordinal % 12 ORDER BY ordinal) - 1) // 25 AS chunk FROM items WHERE ordinal % 4 IN (1, 3)) SELECT session, chunk, count(*) AS n, min(ordinal) AS first FROM c GROUP BY ALL",
+    "created_items": f"WITH {_ITEMS} SELECT -ordinal AS ordinal, CAST({HOME} AS INT) AS library_id, 'copy of ' || library_id || ':' || item_key AS item_key, CAST(0 AS BIGINT) AS version, title, library_id || ':' || item_key AS linked FROM items WHERE ordinal % 4 IN (1, 3)",
+    "trashed_items": f"WITH {_ITEMS} SELECT library_id, ordinal % 10 = 0 OR (ordinal % 4 = 1 AND ordinal % 9 <> 0) AS deleted, count(*) AS n FROM items GROUP BY ALL",
+    "edit_violations": f"WITH {_ITEMS} SELECT ordinal AS target, ['title', 'citationKey', 'university', 'creators', 'extra', 'institution'][ordinal % 6 + 1] AS field, CASE WHEN library_id <> {HOME} THEN 'not in the home library' ELSE 'not reconcilable' END AS why FROM items WHERE library_id <> {HOME} OR ordinal % 6 IN (1, 4) OR (ordinal % 6 = 2 AND item_type <> 'thesis') OR (ordinal % 6 = 5 AND item_type <> 'report')",
+    "link_changes": f"WITH {_ITEMS}, l AS (SELECT ordinal % 7 = 0 AND ordinal > 0 AS gone, ordinal % 5 = 0 AS other FROM items WHERE linked IS NOT NULL) SELECT 'remove' AS step, CASE WHEN gone THEN 'target-missing' WHEN other THEN 'link-missing' ELSE 'removed' END AS status, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'restore', CASE WHEN gone THEN 'target-missing' ELSE 'restored' END, count(*) FROM l GROUP BY ALL UNION ALL SELECT 'remove', 'links', count(*) FILTER (WHERE gone OR other) FROM l UNION ALL SELECT 'restore', 'links', count(*) + count(*) FILTER (WHERE other AND NOT gone) FROM l",
+    "linked_refs": f"WITH {_ITEMS} SELECT ordinal, CAST(CASE WHEN ordinal % 3 = 0 THEN 1 ELSE ordinal % 4 + 1 END AS INT) AS library_id, 'KEY' || ordinal AS item_key FROM items WHERE ordinal % 3 = 0 OR ordinal % 4 IN (1, 2)",
+    "creator_keys": rf"WITH {_PEOPLE}, x AS (SELECT ordinal, nobody, coalesce(mode, 0) = 1 OR (coalesce(first, '') = '' AND regexp_matches(trim(last), '\s')) AS corp, last, coalesce(first, '') AS first FROM people), y AS (SELECT *, {_norm('last')} AS l, {_norm('first')} AS f, trim(regexp_replace(regexp_replace({_norm(_NO_BRACKETS)}, '\b({'|'.join(t.CORPORATE_NOISE)})\b', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM x) SELECT ordinal, CASE WHEN nobody THEN '' WHEN corp THEN CASE WHEN c = '' THEN '' ELSE 'corporate:' || c END WHEN l = '' THEN '' ELSE l || ':' || substr(f, 1, 1) END AS keys FROM y",
+    "isbn_canonical": f"WITH {_PEOPLE}, x AS (SELECT ordinal, isbn, regexp_replace(upper(isbn), '[^0-9X]', '', 'g') AS kept FROM people) SELECT ordinal, isbn, {_isbn('kept')} AS isbn13 FROM x",
+    "extra_identifiers": rf"WITH {_PEOPLE} SELECT ordinal, nullif(regexp_replace({_extra('PMID')}[1], '(?i)^PMID:\s*', ''), '') AS pmid, upper({_extra('PMCID')}[1]) AS pmcid, regexp_replace(lower({_extra('arXiv')}[1]), '^arxiv:', '') AS arxiv, list_filter({_DOI.format(_extra('DOI'))}, lambda x: x LIKE '10.%')[1] AS doi FROM people",
+    "link_preview": f"WITH {_MATCH}, s AS (SELECT CASE WHEN l.library_id = {HOME} THEN l_ordinal ELSE r_ordinal END AS a, CASE WHEN l.library_id = {HOME} THEN r_ordinal ELSE l_ordinal END AS b FROM m JOIN n l ON l.ordinal = l_ordinal JOIN n r ON r.ordinal = r_ordinal WHERE linked AND rules_verdict <> 'match' AND title_rel IN ('substitution', 'missing') AND (l.library_id = {HOME} OR r.library_id = {HOME})) SELECT x.ref || '>' || y.ref AS key, coalesce(x.title, 'Untitled') AS mine, concat_ws(' · ', x.item_type, substr(x.date, 1, 4), x.doi) AS mine_detail, y.library_name || ': ' || coalesce(y.title, 'Untitled') AS theirs, concat_ws(' · ', y.item_type, substr(y.date, 1, 4), y.doi) AS theirs_detail FROM s JOIN n x ON x.ordinal = a JOIN n y ON y.ordinal = b WHERE list_contains(x.links, y.ref)",
+    "log_entries": f"WITH {_LINES} SELECT CASE WHEN r < 3 THEN 'malformed' WHEN r < 6 THEN 'import' ELSE 'update_metadata' END AS action, CASE WHEN r < 3 THEN '' WHEN k % 3 = 0 THEN 'now' WHEN undone THEN 'later' ELSE 'open' END AS state, count(*) AS n FROM lines WHERE r > 0 GROUP BY ALL",
+    "log_undo": f"WITH {_LINES}, d AS (SELECT * FROM lines WHERE r > 5 AND k % 4 <> 0 AND NOT undone) SELECT CAST(1 AS INT) AS \"libraryID\", 'K' || k AS \"itemKey\", 'issue' AS field, CAST(k AS STRING) AS expected, '' AS next FROM d WHERE k // 50 = (SELECT max(k) // 50 FROM d)",
+    "log_created": f"WITH {_LINES} SELECT CAST(1 AS INT) AS \"libraryID\", 'K' || k AS \"itemKey\" FROM lines WHERE r = 4",
+    "snapshot_lookup": f"WITH RECURSIVE {_WORKS}, x AS (SELECT work, n.* FROM works JOIN n USING (ordinal)), w AS (SELECT work, string_agg(ref, '|' ORDER BY ref) AS id FROM x GROUP BY work), y AS (SELECT a.ordinal, count(*) FILTER (WHERE a.library_id = b.library_id) AS copies_here, coalesce(array_to_string(list_sort(list(DISTINCT b.library_name) FILTER (WHERE a.library_id <> b.library_id)), ', '), '') AS also_in FROM x a JOIN x b USING (work) GROUP BY a.ordinal) SELECT library_id, item_key, id, also_in, copies_here FROM x JOIN y USING (ordinal) JOIN w USING (work) WHERE ordinal % 50 <> 0 UNION ALL SELECT DISTINCT library_id, 'unknown', NULL, '', CAST(1 AS BIGINT) FROM x WHERE ordinal % 50 = 0",
     "library_fingerprint": f"WITH {_EVENTS} {_PRINT} FROM ev GROUP BY library_id",
     "stale_libraries": f"WITH {_EVENTS}, c AS ({_PRINT}, CASE WHEN library_id = 3 THEN 2 ELSE 1 END AS version FROM ev WHERE library_id <> 7 GROUP BY library_id), s AS ({_PRINT}, 1 AS version FROM ev WHERE library_id <> 5 AND (library_id <> 4 OR event_id % 2 = 0) GROUP BY library_id) SELECT * FROM (SELECT coalesce(c.library_id, s.library_id) AS library_id, CASE WHEN c.version IS NULL THEN 'removed' WHEN s.version IS NULL THEN 'added' WHEN c.version <> s.version THEN 'version' WHEN c.local_change <> s.local_change THEN 'local-change' END AS why FROM c FULL JOIN s ON c.library_id = s.library_id) WHERE why IS NOT NULL",
-    "cas_apply": f"WITH items AS ({PART_ITEMS}), fields AS ({PART_FIELDS}) SELECT field, CASE WHEN field = 'issue' AND value = '' AND ordinal % 11 <> 0 THEN '9' ELSE value END AS value, count(*) AS n FROM fields GROUP BY ALL",
-    "cas_outcomes": f"WITH items AS ({PART_ITEMS}), fields AS ({PART_FIELDS}) SELECT CASE WHEN ordinal % 11 = 0 THEN 'target-changed' ELSE 'written' END AS status, count(*) AS n FROM fields WHERE field = 'issue' AND value = '' GROUP BY ALL",
-    "undo_session": f"WITH items AS ({PART_ITEMS}), fields AS ({PART_FIELDS}) SELECT field, value, count(*) AS n FROM fields GROUP BY ALL",
+    "cas_apply": f"WITH {_BLANK} SELECT field, CASE WHEN field = 'issue' AND hit THEN '9' WHEN field = 'volume' AND hit AND ordinal % 7 = 0 THEN '' ELSE value END AS value, count(*) AS n FROM e GROUP BY ALL",
+    "cas_outcomes": f"WITH {_ITEMS} SELECT CASE WHEN ordinal % 8 = 0 AND ordinal > 0 THEN 'target-missing' WHEN ordinal % 9 = 0 OR ordinal = (SELECT max(ordinal) FROM items) THEN 'source-changed' WHEN ordinal % 11 = 0 THEN 'target-changed' ELSE 'written' END AS status, count(*) AS n FROM items WHERE ordinal % 5 < 2 GROUP BY ALL",
+    "undo_session": f"WITH {_BLANK} SELECT field, coalesce(value, '') AS value, count(*) AS n FROM fields GROUP BY ALL",
     "stale_links": f"WITH {_MATCH} SELECT l_ordinal, r_ordinal, CASE WHEN l.library_id <> {HOME} AND r.library_id <> {HOME} THEN 'no-home-side' WHEN title_rel NOT IN ('substitution', 'missing') THEN 'titles-agree' WHEN NOT list_contains(CASE WHEN l.library_id = {HOME} THEN l.links ELSE r.links END, CASE WHEN l.library_id = {HOME} THEN r.ref ELSE l.ref END) THEN 'link-on-other-side' ELSE 'offered' END AS reason FROM m JOIN n l ON l.ordinal = l_ordinal JOIN n r ON r.ordinal = r_ordinal WHERE linked AND rules_verdict <> 'match'",
 }

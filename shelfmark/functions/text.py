@@ -117,10 +117,9 @@ def corporate_name(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(text, noise, " "), r"(?U)\s+", " "))
 
 
-def creator_keys(creators: Column, texts: Column | None = None) -> Column:
+def creator_keys(creators: Column, texts: Column) -> Column:
     """Sorted keys: corporate:<name> or <last>:<first initial>; a creator whose name folds to nothing has
-    none. texts: the creators' texts, where they are decomposed already."""
-    texts = decomposed(creator_texts(creators)) if texts is None else texts
+    none. texts: a column with their creator_texts, decomposed."""
 
     def key(c: Column, i: Column) -> Column:
         last, first = folded(F.get(texts, 2 * i)), folded(F.get(texts, 2 * i + 1))

@@ -1,26 +1,28 @@
-"""Recall check, import plans, compare-and-swap change sets, link repair and the log, as DataFrames.
+"""Recall check, import plans, compare-and-swap change sets, copies and link repair, as DataFrames.
 Nothing here changes a table: each function returns the new state or the outcome of a change."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from . import linkage
+from .difference import FIELDS
 
 CHUNK = 25
-ACTIONS = ["import", "undo", "update_metadata", "revert_metadata", "remove_link", "restore_link"]
-UNDOABLE = ["import", "update_metadata", "remove_link"]
-LOG_SCHEMA = "id string, action string, at string, target string, detail string, session string, undoneAt string"
+#: The ranks of near misses, and what no edit may write.
+REASONS = ["shared-identifier", "same-title", "similar-title", "same-opening-words"]
+NEVER_WRITTEN = ["citationKey", "extra", "itemType", "dateAdded", "dateModified", "accessDate"]
 
 
 def near_misses(items: DataFrame, candidates: DataFrame, home: int) -> tuple[DataFrame, DataFrame]:
     """For the candidates (ordinal) of other libraries: those already present in home, with the first home
-    record that matches, and the near misses of the others with the best reason of each home record."""
+    record that matches, and the others' near misses: home records, the first reason that holds, its rank,
+    and why the rules don't match them. Types and denials don't count here."""
     pairs = linkage.widened_pairs(items.join(candidates.select("ordinal"), "ordinal", "left_semi").unionByName(items.where(F.col("library_id") == home)), home)
     both = linkage.with_items(pairs, items)
-    judged = linkage.match_pairs(both).select("l_ordinal", "r_ordinal", "verdict", "title_rel")
+    judged = linkage.match_pairs(both).select("l_ordinal", "r_ordinal", "verdict", "title_rel", "evidence")
     both = both.join(judged, ["l_ordinal", "r_ordinal"])
     present = both.where("verdict = 'match'").groupBy("l_ordinal").agg(F.min("r_ordinal").alias("home_ordinal"))
     union, common = F.size(F.array_union("l.title_words", "r.title_words")), F.size(F.array_intersect("l.title_words", "r.title_words"))
@@ -28,10 +30,11 @@ def near_misses(items: DataFrame, candidates: DataFrame, home: int) -> tuple[Dat
     creator = F.arrays_overlap("l.creator_keys", "r.creator_keys")
     years = F.coalesce(F.abs(F.col("l.year") - F.col("r.year")) <= 1, F.lit(False))
     opening = (F.size("l.title_words") >= 3) & (F.size("r.title_words") >= 3) & (F.slice("l.title_words", 1, 3) == F.slice("r.title_words", 1, 3))
-    shared = F.size(linkage.shared_identifiers("l", "r", True)) > 0
-    reason = F.when(shared, "shared-identifier").when(creator & (F.col("title_rel") == "equivalent"), "same-title").when(creator & overlap, "similar-title").when(years & opening, "same-opening-words")
-    missed = both.join(present, "l_ordinal", "left_anti").withColumn("reason", reason).where("reason is not null").select("l_ordinal", "r_ordinal", "reason")
-    return present, missed
+    holds = [F.size(linkage.shared_identifiers("l", "r", True)) > 0, F.col("title_rel").isin("equivalent", "addition-only"), (F.col("title_rel") == "substitution") & creator & overlap, opening & (creator | years)]
+    rank = F.coalesce(*(F.when(h, i) for i, h in enumerate(holds)))
+    missed = both.join(present, "l_ordinal", "left_anti").withColumn("rank", rank).where("rank is not null")
+    why = F.array_join(F.transform("evidence", lambda e: e["detail"]), " ")
+    return present, missed.select("l_ordinal", "r_ordinal", F.element_at(F.array(*map(F.lit, REASONS)), F.col("rank") + 1).alias("reason"), "rank", why.alias("evidence"))
 
 
 def import_plan(candidates: DataFrame, present: DataFrame, missed: DataFrame) -> DataFrame:
@@ -49,33 +52,81 @@ def precheck(plan: DataFrame, sources: DataFrame, linked_home: DataFrame) -> Dat
     return rows.select("ordinal", status.alias("status"))
 
 
+def created_items(copies: DataFrame, items: DataFrame, home: int, next_key: str = "copy of ") -> DataFrame:
+    """New records of home for the copies (ordinal of the source, new_ordinal): the source's columns with
+    home's library, a key made from the source's reference, version 0, and a link to the source."""
+    own = F.array(F.struct("library_id", "item_key"))
+    rows = items.join(copies, "ordinal").withColumn("linked_items", own.cast("array<struct<library_id:int,item_key:string>>"))
+    key = F.concat(F.lit(next_key), linkage.link_key(F.col("library_id"), F.col("item_key")))
+    return rows.withColumns({"item_key": key, "library_id": F.lit(home).cast("int"), "version": F.lit(0).cast("long"), "ordinal": F.col("new_ordinal")}).drop("new_ordinal")
+
+
+def trashed(items: DataFrame, refs: DataFrame) -> DataFrame:
+    """items (with deleted) after the refs (library_id, item_key) went to the trash; unknown ones and those
+    that lie there already change nothing."""
+    gone = refs.select("library_id", "item_key").distinct().withColumn("gone", F.lit(True))
+    return items.join(gone, ["library_id", "item_key"], "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)) | F.coalesce("gone", F.lit(False))).drop("gone")
+
+
+def creators_value(creators: Column) -> Column:
+    """A list of creators (creator_type, name, last_name, first_name) as the text that edits compare and
+    write: equal for lists that differ only in whether an empty part is there."""
+    part = lambda c: F.struct(c["creator_type"].alias("type"), c["name"].alias("name"), F.coalesce(c["last_name"], F.lit("")).alias("last"), F.coalesce(c["first_name"], F.lit("")).alias("first"))
+    return F.to_json(F.transform(creators, part))
+
+
+def violations(edits: DataFrame, items: DataFrame, home: int, names: DataFrame | None = None) -> DataFrame:
+    """target, field, why of the edits that may never be written: of a record outside home, or of a field
+    that isn't reconcilable. names (item_type, name, base) tells the types' own names of fields. Records
+    that don't exist are no violation: apply_edits finds them missing."""
+    rows = edits.select("target", "field").join(items.select(F.col("ordinal").alias("target"), "library_id", "item_type"), "target")
+    allowed = F.col("field").isin([*FIELDS, "creators"])
+    if names is not None:
+        named = names.where(F.col("base").isin(FIELDS)).select("item_type", F.col("name").alias("field"), F.lit(True).alias("named")).distinct()
+        rows = rows.join(named, ["item_type", "field"], "left")
+        allowed = allowed | F.coalesce("named", F.lit(False))
+    why = F.when(F.col("library_id") != home, "not in the home library").when(F.col("field").isin(NEVER_WRITTEN) | ~allowed, "not reconcilable")
+    return rows.select("target", "field", why.alias("why")).where("why is not null").distinct()
+
+
 def apply_edits(fields: DataFrame, edits: DataFrame, checks: DataFrame | None = None, alive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Compare and swap: edits (target, field, expected, next) are written for a target only if all of
     its expected values, and its sources' (checks: target, source, field, expected), still stand.
-    Returns target and status, and the fields after the change."""
-    now = fields.select("ordinal", "field", "value")
-    mine = edits.join(now.select(F.col("ordinal").alias("target"), "field", "value"), ["target", "field"], "left")
-    state = mine.groupBy("target").agg(F.bool_and(F.coalesce("expected", F.lit("")) == F.coalesce("value", F.lit(""))).alias("target_ok"))
-    if alive is not None:
-        state = state.join(alive.select(F.col("ordinal").alias("target"), F.lit(True).alias("there")), "target", "left")
-    else:
-        state = state.withColumn("there", F.lit(True))
+    Returns target and status, and the fields after the change.
+
+    Absent values and empty ones are the same, on either side. A target without any field, or not in alive
+    where that is given, is missing and nothing of it is written; so is a source, which counts as changed.
+    Several edits of one field of a target must all expect what stands there; the greatest next is
+    written. Refuse violations first: this function doesn't know the libraries."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    now = fields.select("ordinal", "field", blank("value").alias("value"))
+    there = now.select("ordinal").distinct() if alive is None else now.select("ordinal").distinct().join(alive.select("ordinal"), "ordinal", "left_semi")
+    held = lambda who: there.select(F.col("ordinal").alias(who), F.lit(True).alias(f"{who}_there"))
+    value = lambda who: now.select(F.col("ordinal").alias(who), "field", "value")
+    mine = edits.join(value("target"), ["target", "field"], "left")
+    state = mine.groupBy("target").agg(F.bool_and(blank("expected") == blank("value")).alias("target_ok")).join(held("target"), "target", "left")
     if checks is not None:
-        theirs = checks.join(now.select(F.col("ordinal").alias("source"), "field", "value"), ["source", "field"], "left")
-        state = state.join(theirs.groupBy("target").agg(F.bool_and(F.coalesce("expected", F.lit("")) == F.coalesce("value", F.lit(""))).alias("source_ok")), "target", "left")
+        theirs = checks.join(value("source"), ["source", "field"], "left").join(held("source"), "source", "left")
+        state = state.join(theirs.groupBy("target").agg(F.bool_and(F.col("source_there").isNotNull() & (blank("expected") == blank("value"))).alias("source_ok")), "target", "left")
     else:
         state = state.withColumn("source_ok", F.lit(True))
-    status = F.when(F.col("there").isNull(), "target-missing").when(~F.coalesce("source_ok", F.lit(True)), "source-changed").when(~F.col("target_ok"), "target-changed").otherwise("written")
+    status = F.when(F.col("target_there").isNull(), "target-missing").when(~F.coalesce("source_ok", F.lit(True)), "source-changed").when(~F.col("target_ok"), "target-changed").otherwise("written")
     outcome = state.select("target", status.alias("status"))
-    good = edits.join(outcome.where("status = 'written'"), "target", "left_semi").select(F.col("target").alias("ordinal"), "field", F.col("next"))
-    after = fields.join(good, ["ordinal", "field"], "full_outer").select("ordinal", "field", F.coalesce("next", "value").alias("value"))
+    good = edits.join(outcome.where("status = 'written'"), "target", "left_semi").groupBy(F.col("target").alias("ordinal"), "field").agg(F.max(blank("next")).alias("next"))
+    after = fields.join(good.withColumn("hit", F.lit(True)), ["ordinal", "field"], "full_outer").select("ordinal", "field", F.when(F.col("hit"), F.col("next")).otherwise(F.col("value")).alias("value"))
     return outcome, after
 
 
 def revert(edits: DataFrame) -> DataFrame:
+    """The edits that take these back, where what they wrote still stands."""
     return edits.select("target", "field", F.col("next").alias("expected"), F.col("expected").alias("next"))
 
 
+def totals(outcome: DataFrame, statuses: list[str]) -> DataFrame:
+    """One row: how many targets have each status."""
+    return outcome.agg(*(F.count_if(F.col("status") == s).alias(s.replace("-", "_")) for s in statuses))
+
+
 def stale_links(matches: DataFrame, items: DataFrame, home: int) -> DataFrame:
     """Linked pairs that the rules don't match: what is offered for repair, and why the others are not."""
     slim = lambda side: items.select(F.col("ordinal").alias(f"{side}_ordinal"), F.struct("library_id", "item_key", "linked_items").alias(side))
@@ -87,10 +138,29 @@ def stale_links(matches: DataFrame, items: DataFrame, home: int) -> DataFrame:
     return rows.select("l_ordinal", "r_ordinal", reason.alias("reason"))
 
 
-def remove_links(items: DataFrame, removals: DataFrame) -> DataFrame:
-    """items without the links (ordinal, library_id, item_key) of the removals."""
-    gone = removals.groupBy("ordinal").agg(F.collect_set(F.struct(F.col("library_id").cast("int").alias("library_id"), "item_key")).alias("gone"))
-    return items.join(gone, "ordinal", "left").withColumn("linked_items", F.when(F.col("gone").isNull(), F.col("linked_items")).otherwise(F.array_except("linked_items", "gone"))).drop("gone")
+def _link_states(items: DataFrame, links: DataFrame) -> DataFrame:
+    holder = items.select("ordinal", F.coalesce("linked_items", F.array().cast("array<struct<library_id:int,item_key:string>>")).alias("held"), F.lit(True).alias("there"))
+    want = links.select("ordinal", F.col("library_id").cast("int").alias("library_id"), "item_key").distinct()
+    has = F.exists("held", lambda x: (x["library_id"] == F.col("library_id")) & (x["item_key"] == F.col("item_key")))
+    return want.join(holder, "ordinal", "left").withColumn("has", F.coalesce(has, F.lit(False)))
+
+
+def remove_links(items: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The removals (ordinal, library_id, item_key) with a status, and items without the links removed."""
+    status = F.when(F.col("there").isNull(), "target-missing").when(F.col("has"), "removed").otherwise("link-missing")
+    outcome = _link_states(items, removals).select("ordinal", "library_id", "item_key", status.alias("status"))
+    gone = outcome.where("status = 'removed'").groupBy("ordinal").agg(F.collect_set(F.struct("library_id", "item_key")).alias("gone"))
+    left = F.filter("linked_items", lambda x: ~F.array_contains("gone", x))
+    return outcome, items.join(gone, "ordinal", "left").withColumn("linked_items", F.when(F.col("gone").isNull(), F.col("linked_items")).otherwise(left)).drop("gone")
+
+
+def restore_links(items: DataFrame, restores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same links with a status, and items with those that were missing added at the end of their lists."""
+    status = F.when(F.col("there").isNull(), "target-missing").when(F.col("has"), "already-present").otherwise("restored")
+    outcome = _link_states(items, restores).select("ordinal", "library_id", "item_key", status.alias("status"))
+    back = outcome.where("status = 'restored'").groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("library_id", "item_key"))).alias("back"))
+    more = F.concat(F.coalesce("linked_items", F.array().cast("array<struct<library_id:int,item_key:string>>")), "back")
+    return outcome, items.join(back, "ordinal", "left").withColumn("linked_items", F.when(F.col("back").isNull(), F.col("linked_items")).otherwise(more)).drop("back")
 
 
 def fingerprint(records: DataFrame) -> DataFrame:
@@ -105,28 +175,9 @@ def stale_libraries(snapshot: DataFrame, current: DataFrame) -> DataFrame:
     return rows.select("library_id", why.alias("why")).where("why is not null")
 
 
-def chunks(rows: DataFrame, order: str) -> DataFrame:
-    """Session rows with the number of their transaction, 25 to each. A session is what a person
-    confirmed, so its rows are few and one window may order them."""
+def chunks(rows: DataFrame, order: str, by: str = "session") -> DataFrame:
+    """Each session's rows with the number of their transaction, 25 to each, in order. A session is what a
+    person confirmed, so its rows are few; sessions are spread over tasks."""
     from pyspark.sql.window import Window
 
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / CHUNK))
-
-
-def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries, and the malformed lines, of a JSON-lines log; blank lines are neither."""
-    rows = lines.where(t.trimmed(F.col("value")) != "").withColumn("e", F.from_json("value", LOG_SCHEMA))
-    good = F.coalesce(F.col("e.id").isNotNull() & F.col("e.action").isin(ACTIONS), F.lit(False))
-    return rows.where(good).select("e.*"), rows.where(~good).select("value")
-
-
-def mark_undone(entries: DataFrame, ids: DataFrame, at: str) -> DataFrame:
-    hit = ids.select("id", F.lit(True).alias("hit"))
-    return entries.join(hit, "id", "left").withColumn("undoneAt", F.when(F.col("hit") & F.col("action").isin(UNDOABLE), F.lit(at)).otherwise(F.col("undoneAt"))).drop("hit")
-
-
-def last_session(entries: DataFrame, action: str) -> DataFrame:
-    """The entries that one undo of this action reverses: all of the latest session not undone."""
-    open_ = entries.where((F.col("action") == action) & F.col("undoneAt").isNull()).withColumn("unit", F.coalesce("session", "id"))
-    last = open_.agg(F.max_by("unit", F.struct("at", "id")).alias("unit"))
-    return open_.join(last, "unit", "left_semi").drop("unit")
+    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / CHUNK))

@@ -15,6 +15,15 @@ def scan(records: DataFrame, libraries: DataFrame) -> DataFrame:
     return rows.select([t.absent(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes])
 
 
+def linked_refs(records: DataFrame, libraries: DataFrame) -> DataFrame:
+    """records with linked_items, the references that their relation_uris (…/<prefix>/items/<key>) resolve to;
+    libraries (prefix, library_id) tells which are known; others are dropped."""
+    each = records.select("ordinal", F.posexplode("relation_uris").alias("pos", "uri")).select("ordinal", "pos", F.regexp_extract("uri", r"/((?:users|groups)/[^/]+)/items/([A-Za-z0-9]+)$", 1).alias("prefix"), F.regexp_extract("uri", r"/items/([A-Za-z0-9]+)$", 1).alias("item_key"))
+    known = each.join(libraries, "prefix").groupBy("ordinal").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("library_id").cast("int").alias("library_id"), "item_key").alias("ref")))), lambda x: x["ref"]).alias("linked_items"))
+    none = F.array().cast("array<struct<library_id:int,item_key:string>>")
+    return records.drop("linked_items").join(known, "ordinal", "left").withColumn("linked_items", F.coalesce("linked_items", none))
+
+
 def normalize_items(items: DataFrame) -> DataFrame:
     """items with normalized_title, title_words, creator_keys, year and the five identifiers."""
     extra = {label: t.extra_identifier(F.col("extra"), label) for label in ("PMID", "PMCID", "arXiv", "DOI")}

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only a local session,
+    where all of them are one machine, may go without: it keeps its tables in the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shelfmark"
+    return path.rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written to the shared folder and read again: its lineage ends there, and a lost executor
+    costs a read rather than the work above."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/shelfmark-{os.getuid()}"
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,8 +23,7 @@ FROM (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(floor(p_partkey / 4.0) AS BIGI
 
 def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items schema from `part`: one corporate creator, identifiers, links, and title variants."""
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
-    rows = spark.sql(PART_ITEMS)
+    rows = spark.sql(PART_ITEMS.replace("FROM part)", "FROM {part})"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
     return rows.selectExpr(
         "ordinal", "library_id", "library_name", "item_key", "version", "item_type", "title", "date", "doi", "isbn", "extra",
         "IF(creator IS NULL, array(), array(named_struct('last_name', creator, 'first_name', CAST(NULL AS STRING), 'field_mode', 1))) AS creators",
@@ -35,18 +34,39 @@ def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def libraries(items: DataFrame) -> DataFrame:
     return items.select("library_id", "library_name").distinct()
 
-#: Field records of the same items, in both dialects too; a book has no ISSN field.
+
+#: Field records of the same items, in both dialects too; a book has no ISSN field, and some values are absent.
 PART_FIELDS = """
 SELECT ordinal, 'title' AS field, coalesce(title, '') AS value FROM items
 UNION ALL SELECT ordinal, 'DOI', coalesce(doi, '') FROM items
 UNION ALL SELECT ordinal, 'date', coalesce(substring(date, 1, 10), '') FROM items
 UNION ALL SELECT ordinal, 'volume', CAST(ordinal % 3 AS STRING) FROM items
-UNION ALL SELECT ordinal, 'issue', CASE WHEN ordinal % 5 < 2 THEN '' ELSE CAST(ordinal % 2 AS STRING) END FROM items
+UNION ALL SELECT ordinal, 'issue', CASE WHEN ordinal % 10 = 1 THEN NULL WHEN ordinal % 5 < 2 THEN '' ELSE CAST(ordinal % 2 AS STRING) END FROM items
 UNION ALL SELECT ordinal, 'pages', CASE WHEN ordinal % 7 = 0 THEN '' WHEN ordinal % 2 = 0 THEN '1-10' ELSE '1 – 10' END FROM items
 UNION ALL SELECT ordinal, 'ISSN', CASE WHEN ordinal % 4 = 0 THEN '' ELSE '0021-9010' END FROM items WHERE item_type <> 'book'
+UNION ALL SELECT ordinal, 'publisher', CASE WHEN ordinal % 3 = 0 THEN '' ELSE 'Marsh & Sons' END FROM items WHERE item_type = 'thesis'
 """
 
 
 def part_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part_items(spark, sf_dir).createOrReplaceTempView("items")
-    return spark.sql(PART_FIELDS)
+    return spark.sql(PART_FIELDS.replace("FROM items", "FROM {items}"), items=part_items(spark, sf_dir))
+
+
+#: Creators, numbers and notes of all kinds from `customer`, in both dialects too. The 10-digit numbers end in
+#: any digit or X, the 13-digit ones in any digit, so some are valid.
+PEOPLE = r"""
+SELECT k AS ordinal, k % 13 = 0 AS nobody, CASE WHEN k % 11 = 0 THEN 1 WHEN k % 11 = 1 THEN NULL ELSE 0 END AS mode,
+  CASE k % 9 WHEN 0 THEN 'Müller' WHEN 1 THEN 'de la Peña' WHEN 2 THEN 'O''Brien ' WHEN 3 THEN 'Åström & Søn (ÅS)' WHEN 4 THEN ' Ñandú ' WHEN 5 THEN 'The Institute of Wetland Studies, Inc.' WHEN 6 THEN '<i>Kovács</i>' WHEN 7 THEN '...' ELSE concat('Name', CAST(k % 40 AS STRING)) END AS last,
+  CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Élodie' WHEN 2 THEN 'jan' WHEN 3 THEN '' ELSE ' Ana-María' END AS first,
+  CASE k % 3 WHEN 0 THEN concat(substring(CAST(1000000000 + k * 7919 AS STRING), 2, 9), CASE WHEN k % 11 = 10 THEN 'X' ELSE CAST(k % 11 AS STRING) END)
+    WHEN 1 THEN concat('978-', substring(CAST(1000000000 + k * 104729 AS STRING), 2, 9), '-', CAST(k % 10 AS STRING)) ELSE concat('ISBN ', substring(CAST(1000000000 + k AS STRING), 2, 8)) END AS isbn,
+  concat('a note', CASE WHEN k % 2 = 0 THEN chr(10) ELSE concat(chr(13), chr(10)) END, CASE k % 6 WHEN 0 THEN concat('PMID: PMID: ', CAST(k AS STRING)) WHEN 1 THEN concat(' pmcid : pmc', CAST(k AS STRING), ' ') WHEN 2 THEN concat('arXiv:arXiv:2101.', CAST(k AS STRING), 'V2')
+    WHEN 3 THEN concat('DOI: none', chr(10), 'DOI: https://doi.org/10.5/', CAST(k AS STRING), 'A') WHEN 4 THEN concat('PMID:', chr(10), 'PMID: ', CAST(k AS STRING)) ELSE 'PMIDs: 3' END, chr(10), 'last: line') AS extra
+FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) c
+"""
+
+
+def people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ordinal, creators, isbn, extra."""
+    rows = spark.sql(PEOPLE.replace("FROM customer)", "FROM {customer})"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return rows.selectExpr("ordinal", "IF(nobody, array(), array(named_struct('last_name', last, 'first_name', first, 'field_mode', mode))) AS creators", "isbn", "extra")
