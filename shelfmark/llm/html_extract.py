@@ -24,45 +24,78 @@ from pyspark.sql import functions as F
 from . import crf
 from .quality_rules import batches_by_size
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: The attributes of a tag, in runs without a way back, so that open quotes cost no more than their length.
+_ATTRS = re.compile(r"""(?:[^'">]++|"[^"]*+"|'[^']*+'){0,400}+>""")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-label|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 #: Elements of html (fixed by its standard): without content, whose text is no markup, inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow ms msub msup mtext noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose text isn't the page's: drawings, the choices of forms, what scripts fill in.
+_UNREAD = frozenset("svg select datalist template canvas audio video".split())
 #: What an opening tag closes when it is still open (fixed by the standard).
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _SPACE = re.compile(r"\s+")
+#: Ancestors that are features by themselves, and of these the ones that tell little.
+_TOLD = "article main section nav header footer aside form button fieldset figure figcaption table ul ol li dl p h1 h2 h3 h4 h5 h6 blockquote pre head dialog label details address menu div".split()
+_TAG = {t: 1 << i for i, t in enumerate(_TOLD)}
+_PLAIN = sum(_TAG[t] for t in ("p", "div", "li", "ul"))
+#: Words of class names and ids, by what they tell (our own list).
+_HINTS = {
+    "good": "article content post story entry main body text prose blog news detail",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc tabs pager pagination skip",
+    "top": "header masthead banner topbar logo brand hero",
+    "foot": "footer foot bottom copyright legal colophon",
+    "side": "sidebar aside side rail widget related recommended popular trending more promo teaser",
+    "ad": "ad ads advert advertisement advertising sponsor sponsored sponsors dfp promoted",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription paywall toast",
+    "form": "form search login signin signup register contact input",
+    "talk": "comment comments disqus reply replies respond discussion reviews review reaction",
+    "share": "share social sharing follow tags tag meta byline author date",
+    "hidden": "hidden none",
+}
+_KINDS = list(_HINTS)
+_HINT = {w: 1 << _KINDS.index(k) for k, ws in _HINTS.items() for w in ws.split()}
+_HIDDEN, _DROPPED = 1 << _KINDS.index("hidden"), 1 << len(_KINDS)
 
 
 class Block:
-    __slots__ = ("text", "linked", "tags", "names")
+    """A leaf block: its text, how much of it is linked, its element, its ancestors and what their names hint
+    at, both as sets of bits."""
+
+    __slots__ = ("text", "linked", "leaf", "tags", "hints")
 
-    def __init__(self, text: str, linked: int, tags: tuple[str, ...], names: frozenset[str]):
-        self.text, self.linked, self.tags, self.names = text, linked, tags, names
+    def __init__(self, text: str, linked: int, leaf: str, tags: int, hints: int):
+        self.text, self.linked, self.leaf, self.tags, self.hints = text, linked, leaf, tags, hints
 
 
-def _names(attrs: str) -> frozenset[str]:
-    out = set()
-    if attrs and "=" in attrs or "hidden" in attrs:
+@lru_cache(maxsize=4096)
+def _hints(attrs: str) -> int:
+    out = 0
+    if "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
             if key == "hidden" or key == "style" and "display:none" in value.replace(" ", "").lower():
-                out.add("hidden")
+                out |= _HIDDEN
             elif key != "style":
-                out.update(w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
-    return frozenset(out)
+                for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)):
+                    out |= _HINT.get(w.lower(), 0)
+    return out
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in its order. Raw text elements (scripts, styles, forms' lists and so
-    on) and the head have none; unclosed elements end with their parents; a lone '<' is text."""
+    """The leaf blocks of a page in its order. Scripts, styles, the fields of forms and drawings have none;
+    unclosed elements end with their parents; a lone '<' is text; a tag whose quotes don't close ends at the
+    next '>'. What an element inherits is kept with it, so the time grows with the page's length alone."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, int, int]] = []  # tag, and the bits of it and its ancestors
+    opened: dict[str, int] = {}
     buf: list[str] = []
-    linked, links = 0, 0
+    linked, end = 0, len(page)
+    last = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -70,29 +103,33 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(buf))).strip()
             buf.clear()
             if text:
-                out.append(Block(text, linked, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)) if stack else frozenset()))
+                out.append(Block(text, linked, *(stack[-1] if stack else ("none", 0, 0))))
             linked = 0
 
     def text(s: str) -> None:
         nonlocal linked
+        if stack and stack[-1][2] & _DROPPED:
+            return
         buf.append(s)
-        if links:
+        if opened.get("a"):
             linked += len(s.strip())
 
     def close(tag: str) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                if any(t not in INLINE for t, _ in stack[i:]):
-                    flush()
-                links -= sum(t == "a" for t, _ in stack[i:])
-                del stack[i:]
-                return
-
-    at, end = 0, len(page)
+        if not opened.get(tag):
+            return
+        at = len(stack) - 1
+        while stack[at][0] != tag:
+            at -= 1
+        if any(t not in INLINE for t, _, _ in stack[at:]):
+            flush()
+        for t, _, _ in stack[at:]:
+            opened[t] -= 1
+        del stack[at:]
+
+    at = 0
     while at < end:
         m = _TOKEN.search(page, at)
-        if m is None:
+        if m is None or m[2] is not None and m.end() > last:
             text(page[at:])
             break
         if m.start() > at:
@@ -100,16 +137,18 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        tag = m[2].lower()
+        rest = _ATTRS.match(page, at)
+        stop = rest.end() if rest else page.index(">", at) + 1
+        attrs, at, tag = page[at : stop - 1], stop, m[2].lower()
         if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+            if tag in ("br", "p") and not opened.get(tag):
                 text(" ") if tag == "br" else flush()
             else:
                 close(tag)
             continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end if tag in ("script", "style", "textarea", "title") else at
+        if tag in RAW:
+            stop = _END[tag].search(page, at)
+            at = stop.end() if stop else end
             continue
         if tag == "br":
             text("\n")
@@ -118,140 +157,192 @@ def blocks(page: str) -> list[Block]:
             if tag == "hr":
                 flush()
             continue
-        if tag in ("body", "html"):
-            if any(t == tag for t, _ in stack):
-                continue
+        if tag in ("body", "html") and opened.get(tag):
+            continue
         for other in _CLOSES.get(tag, ()):
-            if any(t == other for t, _ in stack):
-                close(other)
-        if tag in _ENDS_P and any(t == "p" for t, _ in stack):
+            close(other)
+        if tag in _ENDS_P:
             close("p")
-        if tag == "body" and any(t == "head" for t, _ in stack):
+        if tag == "body":
             close("head")
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in _UNREAD:
             flush()
-        if tag == "a":
-            links += 1
-        stack.append((tag, _names(m[3])))
+        _, tags, hints = stack[-1] if stack else ("", 0, 0)
+        stack.append((tag, tags | _TAG.get(tag, 0), hints | (_hints(attrs) if attrs else 0) | (_DROPPED if tag in _UNREAD else 0)))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
-#: Words of class names and ids, by what they tell (our own list).
-_HINTS = {
-    "good": "article content post story entry main body text prose blog news detail",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc tabs pager pagination skip",
-    "top": "header masthead banner topbar logo brand hero",
-    "foot": "footer foot bottom copyright legal colophon",
-    "side": "sidebar aside side rail widget related recommended popular trending more promo teaser",
-    "ad": "ad ads advert advertisement advertising sponsor sponsored sponsors dfp promoted",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay banner newsletter subscribe subscription paywall toast",
-    "form": "form search login signin signup register contact input",
-    "talk": "comment comments disqus reply replies respond discussion reviews review reaction",
-    "share": "share social sharing follow tags tag meta byline author date",
-    "hidden": "hidden none",
-}
-_HINT = {w: k for k, ws in _HINTS.items() for w in ws.split()}
-_STOCK = re.compile(r"©|copyright|all rights|cookie|subscribe|sign in|log in|newsletter|advert|sponsor|click here|read more|share|comment|reply|privacy|terms", re.I)
+_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_LEGAL = re.compile(r"©|copyright|all rights reserved|\(c\) \d{4}", re.I)
+_STOCK = re.compile(r"cookie|subscribe|sign (?:in|up)|log ?in|newsletter|advert|sponsor|click here|read (?:more|next)|share|comments?\b|reply|privacy|terms|imprint|contact us|follow us|menu|search", re.I)
+
+
+_INSIDE, _OUTSIDE = (sum(_TAG[t] for t in ts.split()) for ts in ("article main", "nav header footer aside form button dialog"))
+_GOOD = 1 << _KINDS.index("good")
+
+
+@lru_cache(maxsize=4096)
+def _of_ancestors(tags: int, hints: int) -> tuple[str, ...]:
+    out = [f"in-{t}" for t, bit in _TAG.items() if tags & bit]
+    out += [f"name-{k}" for i, k in enumerate(_KINDS) if hints >> i & 1]
+    if tags & _INSIDE and not tags & _OUTSIDE and not hints & ~_GOOD:
+        out.append("inside")
+    return tuple(out if hints or tags & ~_PLAIN else [*out, "untold"])
 
 
 def features(page: list[Block]) -> list[list[str]]:
-    out = []
-    n = len(page)
+    out, shape = [], []
+    n, longest = len(page), max((len(b.text) for b in page), default=1)
+    for b in page:
+        chars, share = len(b.text), b.linked / len(b.text)
+        size = 0 if chars < 20 else 1 if chars < 60 else 2 if chars < 160 else 3 if chars < 400 else 4
+        shape.append((size, 0 if share < 0.05 else 1 if share < 0.4 else 2, b.text[-1] in ".!?…\"”»:"))
+    count = f"of{0 if n < 3 else 1 if n < 7 else 2 if n < 20 else 3}"
     for i, b in enumerate(page):
-        f = ["bias"]
-        tags = set(b.tags)
-        f += [f"in-{t}" for t in tags if t in _TOLD]
-        f.append("leaf-" + (b.tags[-1] if b.tags else "none"))
-        hints = {_HINT[w] for w in b.names if w in _HINT}
-        f += [f"name-{h}" for h in hints]
-        if not hints and not tags & _TOLD - {"p", "div", "li", "ul"}:
-            f.append("untold")
-        size = 0 if len(b.text) < 20 else 1 if len(b.text) < 60 else 2 if len(b.text) < 160 else 3 if len(b.text) < 400 else 4
-        share = b.linked / len(b.text)
-        f += [f"size{size}", "link" + ("0" if share < 0.05 else "1" if share < 0.4 else "2")]
-        f.append("stop" if b.text[-1] in ".!?…\"”»" else "open")
+        size, link, stop = shape[i]
+        told = _of_ancestors(b.tags, b.hints)
+        f = ["bias", "leaf-" + b.leaf, *told, f"size{size}", f"link{link}", "stop" if stop else "open", count, f"size{size}-link{link}-{stop}", f"part{4 * i // n}"]
+        if told and told[-1] == "untold":
+            f.append(f"untold-size{size}-link{link}-{stop}")
+        if 4 * len(b.text) > longest:
+            f.append("long")
+        if size < 3 and _LEGAL.search(b.text):
+            f.append("legal")
         if size < 3 and _STOCK.search(b.text):
-            f.append("stock")
-        if i == 0:
-            f.append("first")
-        if i == n - 1:
-            f.append("last")
+            f += ["stock", f"stock{size}"]
+        f.append("first" if i == 0 else "after-{}-{}".format(*shape[i - 1]))
+        f.append("last" if i == n - 1 else "before-{}-{}".format(*shape[i + 1]))
         out.append(f)
     return out
 
 
-_TOLD = frozenset("article main section nav header footer aside form button fieldset figure figcaption table ul ol li dl p h1 h2 h3 h4 h5 h6 blockquote pre head dialog label details address menu div".split())
-
-
-def training_pages(n: int = 300, seed: int = 11) -> list[tuple[str, set[str]]]:
-    """Generated pages, each with the set of its article's block texts. Layouts mix semantic elements and
-    plain divisions with telling names, and put every kind of other block before, in and after the article."""
+def training_pages(n: int = 420, seed: int = 11) -> list[tuple[str, set[str]]]:
+    """Generated pages, each with the set of its article's block texts. Articles are prose of one to many
+    paragraphs, lists, verse, dialogue, questions and tables; pages mark their parts by elements, by names
+    of classes, or not at all, and put other blocks before, in and after the article."""
     rnd = random.Random(seed)
+    pick = rnd.choice
 
     def word() -> str:
-        return "".join(rnd.choice("bdfghklmnprstvz") + rnd.choice("aeiouéöí") for _ in range(rnd.randint(1, 4)))
+        return "".join(pick("bdfghklmnprstvz") + pick("aeiouéöí") for _ in range(rnd.randint(1, 4)))
 
     def words(lo: int, hi: int) -> str:
         return " ".join(word() for _ in range(rnd.randint(lo, hi)))
 
-    def sentence() -> str:
-        return words(1, 20).capitalize() + rnd.choice("....?!")
+    def sentence(lo: int = 2, hi: int = 22) -> str:
+        return words(lo, hi).capitalize() + pick("....?!")
+
+    def prose() -> str:
+        return " ".join(sentence() for _ in range(pick([1, 1, 2, 3, 4, 8])))
 
-    def link() -> str:
-        return f'<a href="/{word()}">{words(1, 3)}</a>'
+    def any_text() -> str:
+        kind = rnd.random()
+        if style != "bare" and rnd.random() < 0.06:  # what a page says elsewhere too, as the article's own words
+            return pick(["All rights reserved.", f"Copyright 2011 {words(1, 2)}.", f"Read more in {words(1, 4)}.", f"The cookie {words(1, 9)}.", f"Share the {words(1, 6)}.", f"No comments {words(0, 3)}."])
+        return prose() if kind < 0.82 else words(1, 50) if kind < 0.9 else words(2, 40).upper() if kind < 0.94 else pick([", ", " - ", " / ", " · "]).join(word() for _ in range(rnd.randint(3, 30)))
 
-    def items() -> str:
-        return "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rnd.randint(2, 7))) + "</ul>"
+    def link(text: str = "") -> str:
+        return f'<a href="/{word()}">{text or words(1, 3)}</a>'
 
-    def para(body: str) -> str:
-        return f"<p>{body}" + rnd.choice(["</p>", "</p>", "", "<br>"])
+    def links() -> str:
+        some = [link() for _ in range(rnd.randint(2, 8))]
+        return pick(["<ul>" + "".join(f"<li>{x}</li>" for x in some) + "</ul>", "<ul><li>" + "<li>".join(some) + "</ul>", pick([" ", " | ", "<br>"]).join(some), "".join(f"<div>{x}</div>" for x in some)])
 
-    def pick(*names: str) -> str:
-        return f'{rnd.choice(["class", "class", "id"])}="{rnd.choice(names)}"'
+    def named(tag: str, names: str, body: str) -> str:
+        """An element that its name tells, or one of a name that tells nothing, or of none."""
+        if style == "bare" and tag not in ("form", "button"):
+            return f"<div>{body}</div>"
+        name = pick(names.split())
+        if rnd.random() < 0.25:
+            name = pick([f"{name}-{word()}", f"js-{name}", f"{word()} {name}", f"{name}Box"])
+        return f'<{tag} {pick(["class", "class", "id"])}="{name}">{body}</{tag}>'
 
     def other(kind: str) -> str:
-        s = " ".join(sentence() for _ in range(rnd.randint(1, 3)))
-        return {
-            "menu": lambda: rnd.choice([f"<nav>{items()}</nav>", f"<div {pick('menu', 'main-nav', 'navbar', 'breadcrumb')}>{items()}</div>", f"<nav {pick('top')}>{link()} | {link()}</nav>"]),
-            "top": lambda: rnd.choice([f"<header><h1>{words(1, 4)}</h1>{link()}</header>", f"<div {pick('header', 'masthead', 'site-header')}><p>{s}</p></div>", f"<header><div {pick('logo')}>{words(1, 2)}</div><p>{s}</p></header>"]),
-            "side": lambda: rnd.choice([f"<aside><h3>{words(1, 3)}</h3>{items()}<p>{s}</p></aside>", f"<div {pick('sidebar', 'widget', 'related-posts')}><p>{s}</p>{items()}</div>"]),
-            "ad": lambda: rnd.choice([f"<div {pick('ad', 'ads', 'advert', 'sponsored', 'ad-slot')}>{s}</div>", f"<div {pick('advertisement')}><p>{s}</p></div>", f"<aside {pick('ad', 'promo')}>{s}</aside>"]),
-            "notice": lambda: rnd.choice([f"<div {pick('cookie-notice', 'consent', 'gdpr-banner', 'newsletter', 'notice')}><p>{s}</p><button>{words(1, 2)}</button></div>", f'<div role="alert">{s}</div>', f"<dialog><p>{s}</p></dialog>"]),
-            "form": lambda: f"<form {pick('search', 'login', 'contact')}><label>{words(1, 3)}</label><input name=x><p>{s}</p><button>{words(1, 2)}</button><textarea>{s}</textarea></form>",
-            "talk": lambda: rnd.choice([f"<section {pick('comments', 'discussion')}><h2>{words(1, 3)}</h2>" + "".join(f"<div {pick('comment', 'reply')}><b>{word()}</b><p>{sentence()} {sentence()}</p></div>" for _ in range(rnd.randint(1, 4))) + "</section>", f"<div {pick('comments', 'comment-list')}>" + "".join(f"<article {pick('comment')}><p>{sentence()} {sentence()}</p></article>" for _ in range(rnd.randint(1, 4))) + "</div>", f"<ol {pick('comment-list', 'replies')}><li><p>{s}</p></li></ol>"]),
-            "share": lambda: f"<div {pick('share', 'social-links')}>{link()} {link()}</div>",
-            "foot": lambda: rnd.choice([f"<footer>&copy; {word()}.example &middot; {s}</footer>", f"<div {pick('footer', 'site-footer', 'legal')}><p>{s}</p>{items()}</div>", f"<footer><p>{s}</p>{items()}</footer>"]),
-        }[kind]()
+        s = prose() if rnd.random() < 0.5 else sentence(2, 8)
+        by = style == "semantic" and rnd.random() < 0.8
+        if kind == "menu":
+            return f"<nav>{links()}</nav>" if by else named("div", "menu main-nav navbar breadcrumb topnav", links())
+        if kind == "top":
+            body = pick([f"<h1>{words(1, 4)}</h1>{link()}", f"<p>{words(1, 6)}</p>", f"<div>{link()}</div><p>{sentence(2, 8)}</p>", f"<p>{s}</p>"])
+            return f"<header>{body}</header>" if by else named("div", "header masthead site-header logo brand", body)
+        if kind == "side":
+            body = f"<h3>{pick([words(1, 3), 'Read next', 'More ' + word(), 'Related'])}</h3>" + pick([links(), f"<p>{s}</p>", f"<p>{s}</p>{links()}"])
+            return f"<aside>{body}</aside>" if by else named("div", "sidebar widget related-posts rail recommended", body)
+        if kind == "ad":
+            body = pick([s, f"<p>{s}</p>", f"<p>Advertisement</p><p>{link(words(2, 8))}</p>", f"Sponsored: {link(s)}"])
+            return named(pick(["div", "div", "aside"]) if style != "bare" else "div", "ad ads advert sponsored advertisement promo", body)
+        if kind == "notice":
+            body = pick([f"<p>{s}</p><button>{words(1, 2)}</button>", f"<p>We use cookies {words(1, 9)}.</p>", f"<p>Subscribe to our newsletter {words(0, 5)}.</p>"])
+            return pick([f'<div role="alert">{body}</div>', f"<dialog>{body}</dialog>"]) if by else named("div", "cookie-notice consent gdpr newsletter notice popup", body)
+        if kind == "form":
+            return named("form", "search login contact signup", f"<label>{pick([words(1, 3), 'Search', 'Sign in'])}</label><input name=x>{pick(['', f'<p>{s}</p>'])}<select><option>{word()}<option>{word()}</select><button>{words(1, 2)}</button><textarea>{s}</textarea>")
+        if kind == "talk":
+            each = [f"<b>{word()}</b><p>{sentence()} {sentence()}</p>" for _ in range(rnd.randint(1, 4))]
+            head = f"<h2>{pick([words(1, 3), 'Comments', str(len(each)) + ' comments', 'Leave a reply'])}</h2>"
+            if by:
+                return f'<section {pick(["class", "id"])}="{pick(["comments", "discussion", "replies"])}">{head}' + "".join(pick([f"<article>{x}</article>", f"<div>{x}</div>"]) for x in each) + "</section>"
+            return named("div", "comments comment-list discussion replies", head * rnd.randint(0, 1) + "".join(f'<{tag} class="{pick(["comment", "reply", word()])}">{x}</{tag}>' for tag, x in ((pick(["div", "li", "article"]), x) for x in each)))
+        if kind == "share":
+            return named("div", "share social-links tags byline", pick([f"{link()} {link()}", f"Share {link()} {link()}", f"<span>{word()} {rnd.randint(1, 28)}.{rnd.randint(1, 12)}.20{rnd.randint(10, 24)}</span>"]))
+        body = pick([f"&copy; 20{rnd.randint(10, 24)} {words(1, 3)}", f"Copyright 20{rnd.randint(10, 24)} {words(1, 2)}. All rights reserved.", f"<p>{s}</p>{links()}", f"<p>{sentence(2, 9)}</p>", f"{links()}<p>All rights reserved</p>", f"{link('Privacy')} {link('Terms')} {link()}"])
+        return f"<footer>{body}</footer>" if by else named("div", "footer site-footer legal copyright", body)
 
     out = []
     for _ in range(n):
+        style = pick(["semantic", "semantic", "named", "named", "bare"])
         want: list[str] = []
-        title, body = words(1, 12), []
-        if rnd.random() < 0.8:
-            want.append(title)
-            body.append(f"<h1>{title}</h1>")
-        for _ in range(rnd.choice([1, 1, 2, 3, 5, 9])):
+        body: list[str] = []
+
+        def add(text: str, shown: str) -> None:
+            want.append(text)  # noqa: B023
+            body.append(shown)  # noqa: B023
+
+        def part() -> None:
             kind = rnd.random()
-            text = " ".join(sentence() for _ in range(rnd.choice([1, 1, 2, 4, 8]))) if rnd.random() > 0.12 else rnd.choice([word() + "***", words(3, 40).upper() + "!!", " | ".join(word() for _ in range(9)), words(1, 30)])
-            want.append(text)
-            if kind < 0.75:
-                body.append(para(text.replace(" ", " <b>", 1) if rnd.random() < 0.15 and " " in text else text))
-            elif kind < 0.83:
-                body.append(f"<h2>{text}</h2>")
-            elif kind < 0.9:
-                body.append(f"<ul><li>{text}</li></ul>")
-            elif kind < 0.95:
-                body.append(f"<blockquote><p>{text}</p></blockquote>")
+            if kind < 0.62:
+                text = any_text()
+                shown = text.replace(" ", " <b>", 1) if rnd.random() < 0.1 else text
+                add(text, f"<p>{shown}" + pick(["</p>", "</p>", ""]) if style != "bare" or rnd.random() < 0.5 else f"<div>{shown}</div>")
+            elif kind < 0.7:
+                text = words(1, 8)
+                add(text, f"<h2>{text}</h2>" if rnd.random() < 0.8 else f"<h3>{text}</h3>")
+            elif kind < 0.8:
+                tag, rows = pick(["ul", "ol"]), [pick([words(1, 5), sentence(2, 9), any_text()]) for _ in range(rnd.randint(1, 6))]
+                want.extend(rows)  # noqa: B023
+                body.append(f"<{tag}>" + "".join(f"<li>{x}" + pick(["</li>", ""]) for x in rows) + f"</{tag}>")  # noqa: B023
+            elif kind < 0.86:
+                rows = [words(2, 7) + pick(["", ",", ".", ""]) for _ in range(rnd.randint(2, 9))]
+                add(" ".join(rows), "<p>" + "<br>".join(rows) + "</p>")
+            elif kind < 0.92:
+                text = prose()
+                add(text, f"<blockquote><p>{text}</p></blockquote>")
             else:
-                body.append(f"<table><tr><td>{text}</td></tr></table>")
-        for kind in rnd.sample(["ad", "share", "side", "form", "notice"], rnd.choice([0, 0, 1, 2])):
+                rows = [pick([words(1, 3), sentence(2, 8), str(rnd.randint(1, 900)) + " " + word()]) for _ in range(rnd.randint(1, 6))]
+                want.extend(rows)  # noqa: B023
+                body.append(pick(["<table><tr>" + "".join(f"<td>{x}</td>" for x in rows) + "</tr></table>", "<dl>" + "".join(f"<{d}>{x}</{d}>" for d, x in ((pick(["dt", "dd"]), x) for x in rows)) + "</dl>"]))  # noqa: B023
+
+        if rnd.random() < 0.75:
+            title = words(1, 12)
+            add(title, f"<h1>{title}</h1>" if style != "bare" or rnd.random() < 0.7 else f"<div>{title}</div>")
+        for _ in range(pick([1, 1, 1, 2, 3, 5, 9])):
+            part()
+        for kind in rnd.sample(["ad", "share", "side", "form", "notice"], pick([0, 0, 0, 1, 2])) if style != "bare" else []:
             body.insert(rnd.randint(1, len(body)), other(kind))
-        wrap = rnd.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<div class="post-content">{}</div>', '<div id="content"><div class="entry">{}</div></div>', '<div class="article-body">{}</div>', "<div>{}</div>"])
-        before = [other(k) for k in ("top", "menu", "notice", "ad", "form", "side") if rnd.random() < 0.5]
-        after = [other(k) for k in ("talk", "share", "side", "ad", "form", "foot", "notice") if rnd.random() < 0.5]
-        page = "<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t='</p>';</script></head><body>" + "".join(before) + wrap.format("".join(body)) + "".join(after)
-        out.append((page + rnd.choice(["</body></html>", ""]), {_SPACE.sub(" ", w) for w in want}))
+        whole = "".join(body)
+        if style == "semantic":
+            whole = pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"]).format(whole)
+        elif style == "named":
+            whole = pick(['<div class="post-content">{}</div>', '<div id="content"><div class="entry">{}</div></div>', '<div class="article-body">{}</div>', '<main class="w">{}</main>', '<section class="story">{}</section>', "<div><div>{}</div></div>"]).format(whole)
+        else:
+            whole = pick(["<div>{}</div>", "<div><div>{}</div></div>", "{}", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>"]).format(whole)
+        often = 0.25 if rnd.random() < 0.2 else 0.5
+        before = [other(k) for k in ("top", "menu", "notice", "ad", "form", "side") if rnd.random() < often and (style != "bare" or k in ("top", "menu", "notice"))]
+        after = [other(k) for k in ("talk", "share", "side", "ad", "form", "foot", "notice") if rnd.random() < often and (style != "bare" or k in ("foot", "share", "notice"))]
+        if rnd.random() < 0.1:  # nothing but the article
+            before, after = [], []
+        out.append(("<html><body>" * rnd.randint(0, 1) + "".join(before) + whole + "".join(after), {_SPACE.sub(" ", w) for w in want}))
     return out
 
 
@@ -262,7 +353,7 @@ def model() -> crf.Crf:
         bs = blocks(page)
         sequences.append(features(bs))
         gold.append([int(b.text in want) for b in bs])
-    return crf.train(sequences, gold, l2=0.3)
+    return crf.train(sequences, gold, l2=0.1)
 
 
 def main_texts(pages: list[str], field: crf.Crf) -> list[str]:
@@ -281,7 +372,8 @@ def extract(pages: DataFrame) -> DataFrame:
     character references decoded, white space inside a block made one space.
 
     A null or empty page, and one without an article, gives an empty text; null ids and urls stay null;
-    repeated rows give repeated rows; an empty table gives no rows; other columns are dropped."""
+    repeated rows give repeated rows; pages of any length and depth are read whole, in time that grows with
+    their length; an empty table gives no rows; other columns, whatever their names, are dropped."""
     field = model()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("text"), F.col("url").cast("string").alias("url"))
 
