@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 
 from collections.abc import Callable, Iterator
@@ -14,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+
 #: Characters that end a word besides the space: tab, line feed, vertical tab, form feed, carriage return.
 _SPACES = "\t\n\x0b\x0c\r"
 
@@ -45,24 +44,6 @@ def py_crc_mod(value: int, m: int) -> int:
     return zlib.crc32(str(value).encode()) % m
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session. Only where none is
-    set, as in tests on one machine, a temporary folder is taken."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext._conf.get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/shelfmark-{os.getuid()}"
-    return path.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame written to the shared folder and read again: its lineage ends there, and a lost
-    executor costs a read rather than the work above."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -118,3 +99,6 @@ def keep_rows(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarr
                 yield part.filter(pa.array(judge([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+__all__ = ["WordHashes", "crc_mod", "id_text", "keep_rows", "mix64", "py_crc_mod", "ranges", "stored", "table", "words_of"]

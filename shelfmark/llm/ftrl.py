@@ -194,9 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, spec: Spec, held_o
     Features are taken where the rows lie; the sample's features, at most about max_rows rows, meet in
     one task, sorted by a hash of the id, so the result doesn't depend on the partitioning."""
     gold = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(crc_mod(F.col("doc_id"), held_out_mod) != 0)
-    n = gold.count()
+    n, blank = gold.count(), replace(spec, weights=(np.zeros(0, np.int64), np.zeros(0)), bias=0.0)
     if not n:
-        return replace(spec, weights=(np.zeros(0, np.int64), np.zeros(0)), bias=0.0)
+        return blank
     rate = min(1.0, spec.max_rows / n)
     order = F.xxhash64("doc_id")
     gold = gold.where(F.pmod(order, F.lit(1 << 20)) < int(rate * (1 << 20)) if rate < 1 else F.lit(True))
@@ -218,6 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, spec: Spec, held_o
         yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.append(w, bias))], ["i", "w"])
 
     fitted = rows.mapInArrow(features, "at long, y double, f binary").repartition(1).sortWithinPartitions("at", "y", "f").mapInArrow(fit, "i long, w double").toArrow()
+    if not fitted.num_rows:  # labels without documents
+        return blank
     i, w = fitted.column("i").to_numpy(), fitted.column("w").to_numpy()
     at = np.flatnonzero(i == -1)[0]
     keep = i >= 0

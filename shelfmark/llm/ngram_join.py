@@ -366,9 +366,10 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8, tolerance: float
     """One row, with all its columns, of each class of `near_duplicates`: the one of the least id, null ids
     last, and of those the one of the least set and text hash. Rows are told apart by id and text, so a
     row without an id stays where its class has no other, and an id whose texts head two classes stays
-    twice; of rows with the same id and text any one stays."""
+    twice; of rows with the same id and text any one stays. An empty table gives no rows; other columns,
+    whatever their names, stay as they are."""
     _, small = _classes(docs, threshold, tolerance, block, id_col, text_col)
     first = small.groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("head_id"), "head.copy_key")
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    rows = rows.join(first, (F.col("_key") == F.col("copy_key")) & F.col("_id").eqNullSafe(F.col("head_id")), "left_semi")
-    return rows.dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
+    rows = rows.join(first, (F.col("key") == F.col("copy_key")) & F.col("id").eqNullSafe(F.col("head_id")), "left_semi")
+    return rows.dropDuplicates(["id", "key"]).select("row.*")

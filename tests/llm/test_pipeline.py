@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -98,3 +99,28 @@ def test_deduplicate_keeps_one_row_of_each_class(spark):
     got = Counter((r.doc_id, r.text) for r in got.collect())
     assert got - Counter([(None, one), (None, near)]) == Counter([(4, two), (5, three), (5, four), (None, "some short text")])
     assert got[None, one] + got[None, near] == 1
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, columns of the operators' own names; empty tables."""
+    def prose(seed: int, sentences: int = 8) -> str:
+        rnd = random.Random(seed)
+        word = lambda: "".join(rnd.choice("bdfglmnrst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4)))
+        return " ".join(" ".join(word() for _ in range(rnd.randint(5, 14))).capitalize() + "." for _ in range(sentences))
+
+    one, long = prose(1), prose(2, 4000)
+    rows = [(1, one), (1, one), (None, prose(3)), (3, None), (4, ""), (5, long)]
+    docs = spark.createDataFrame([(i, t, "a", "b", 0.5, 7) for i, t in rows], "doc_id long, text string, _id string, node string, score double, key int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for name, frame in (("full", docs), ("empty", docs.limit(0))):
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/full")
+        assert kept.columns == docs.columns
+    kept = sorted(map(tuple, kept.collect()), key=str)
+    assert kept == sorted(((i, t, "a", "b", 0.5, 7) for i, t in [(1, one), (None, prose(3)), (5, long)]), key=str)
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert {r["doc_id"] for r in packed} == {1, None, 5}
