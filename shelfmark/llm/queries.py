@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, html_extract, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, toxicity
-from .common import table
+from . import ann, bpe, chat_format, html_extract, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from .common import crc_mod, table
 
 
 def vocabulary(name: str) -> str:
@@ -66,7 +66,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_ann, op4_quality, op5_rules, op6_packing, op7_toxicity, op8_chat, op9_lm, op10_ngram_join)}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle.prove(merkle.document_leaves(table(spark, sf_dir, "documents"), lower, crc_mod(F.col("doc_id").cast("long"), 5) == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_ann, op4_quality, op5_rules, op6_packing, op7_toxicity, op8_chat, op9_lm, op10_ngram_join, op13_merkle)}
 
 _CHAT_SQL = r"""
 WITH turns AS (
@@ -113,5 +118,45 @@ SELECT d.doc_id, c.class_id, x.copy_id, x.n_copies, coalesce(n.n_links, 0) AS n_
 FROM keyed d JOIN nodes x USING (k) JOIN class c ON c.a = x.copy_id LEFT JOIN n ON n.a = x.copy_id
 """
 
+def _merkle_sql(levels: int = 7) -> str:
+    """The levels of the trees of sources one after the other, then those of the tree of subroots; 16^7 leaves
+    to a source at most."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    nibbles = "flatten([[ascii(c) & 15, ascii(c) >> 4] FOR c IN string_split(CAST(doc_id AS STRING), '')])"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {nibbles}), lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1])), 4294967295)"
+    part = lambda c: f"coalesce(CAST(strlen(CAST({c} AS STRING)) AS STRING) || ':' || CAST({c} AS STRING), '-')"
+    leaf = lambda text: f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = [f"""RECURSIVE d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS shown FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d), s0 AS (SELECT source AS tree, pos, leaf AS h FROM r)"""]
+    def rise(a: str, b: str) -> str:
+        return f"""{b} AS (SELECT tree, pos // 16 AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {a}) GROUP BY tree, pos // 16)"""
+    sql += [rise(f"s{k}", f"s{k + 1}") for k in range(levels)]
+    sql.append(f"t0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, h, tree AS source FROM s{levels})")
+    sql += [rise(f"t{k}", f"t{k + 1}") for k in range(levels)]
+    # each row with the nodes of its run on each level, its own left out; a level without siblings is a lone node's and folds to itself
+    def beside(at: str, k: int, level: str, tree: str, pos: str) -> str:
+        return f"""p{k} AS (SELECT x.*, y.l AS l{k}, y.r AS r{k} FROM {at} x JOIN (SELECT a.tree, a.pos,
+    CASE WHEN any_value(a.n) > 1 THEN coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') END AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {level}) a JOIN {level} b ON a.tree IS NOT DISTINCT FROM b.tree AND a.pos // 16 = b.pos // 16 GROUP BY a.tree, a.pos) y
+  ON y.tree IS NOT DISTINCT FROM x.{tree} AND y.pos = x.{pos} // {16 ** (k % levels)})"""
+    sql.append("q AS (SELECT r.*, t0.pos AS place, 0 AS top FROM r JOIN t0 ON r.source IS NOT DISTINCT FROM t0.source)")
+    sql += [beside("q" if k == 0 else f"p{k - 1}", k, f"s{k}" if k < levels else f"t{k - levels}", "source" if k < levels else "top", "pos" if k < levels else "place") for k in range(2 * levels)]
+    fold = "shown"
+    sql_folds = []
+    for k in range(2 * levels):
+        sql_folds.append(f"f{k} AS (SELECT *, CASE WHEN l{k} IS NULL THEN {fold} ELSE sha256(l{k} || {fold} || r{k}) END AS v{k} FROM {f'p{2 * levels - 1}' if k == 0 else f'f{k - 1}'})")
+        fold = f"v{k}"
+    siblings = " || ".join(f"coalesce(l{k}, '') || CASE WHEN l{k} IS NULL THEN '' ELSE r{k} END" for k in range(2 * levels))
+    return "WITH " + ",\n".join(sql + sql_folds) + f"""
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256({siblings}) AS proof_sha256, {fold} AS folded_root, {fold} = t.h AS verified
+FROM f{2 * levels - 1} f JOIN s{levels} s ON s.tree IS NOT DISTINCT FROM f.source CROSS JOIN t{levels} t"""
+
+
 #: Only where SQL can say what the query says; the others are held against brute force in the tests.
-ORACLE_SQL = {"op8_chat": _CHAT_SQL, "op10_ngram_join": _JOIN_SQL}
+ORACLE_SQL = {"op8_chat": _CHAT_SQL, "op10_ngram_join": _JOIN_SQL, "op13_merkle": _merkle_sql()}
