@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, html_extract, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, toxicity
+from . import ann, bpe, chat_format, fingerprint, html_extract, lm_scoring, merkle, ngram_join, packing, quality_classifier, quality_rules, toxicity
 from .common import crc_mod, table
 
 
@@ -66,12 +66,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return merkle.prove(merkle.document_leaves(table(spark, sf_dir, "documents"), lower, crc_mod(F.col("doc_id").cast("long"), 5) == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_ann, op4_quality, op5_rules, op6_packing, op7_toxicity, op8_chat, op9_lm, op10_ngram_join, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_html, op3_ann, op4_quality, op5_rules, op6_packing, op7_toxicity, op8_chat, op9_lm, op10_ngram_join, op11_fingerprint, op13_merkle)}
 
 _CHAT_SQL = r"""
 WITH turns AS (
