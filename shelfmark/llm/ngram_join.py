@@ -185,7 +185,7 @@ def _read_docs(docs: DataFrame) -> DataFrame:
                 at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), key, pa.array(node, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "copy_key", "node", "sig"])
 
-    return docs.withColumn("copy_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, copy_key long, node long, sig binary")
+    return docs.select("doc_id", "text", "copy_key").mapInArrow(run, "doc_id long, copy_key long, node long, sig binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -243,13 +243,22 @@ def _candidate_forest(rows: DataFrame, least: list[int]) -> DataFrame:
 
 
 def _with_shingles(rows: DataFrame) -> DataFrame:
-    """rows: text, node and others -> the shingle keys in the text's place. A text of another node, of a
-    document with the same id, goes."""
+    """rows: text, node and others -> the shingle keys in the text's place. A node that stands there again,
+    for a repeated row, is read once by a task, or once in `most` nodes; a text of another node, whose hash
+    is the same by chance, goes."""
     others = [c for c in rows.columns if c != "text"]
+    most = 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for b in batches:
+            new = []
+            for node in b.column(1).to_pylist():
+                new.append(node not in seen)
+                seen.add(node)
+            if len(seen) > most:
+                seen.clear()
+            b = b.filter(pa.array(new, pa.bool_()))
             keys = [shingles(t, hashes) for t in b.column(0).to_pylist()]
             own = pa.array([node_of(k) for k in keys], pa.int64()).to_numpy() == b.column(1).to_numpy(zero_copy_only=False)
             out = pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary()), *(b.column(i) for i in range(1, b.num_columns))], ["keys", *others])
@@ -324,7 +333,7 @@ def _compare(keys: list[np.ndarray], own: np.ndarray, inside: bool, threshold: f
 def _classes(docs: DataFrame, threshold: float, tolerance: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The documents as read, and node, copy_id, n_copies, head, root, n_links of each node: root is the
     class, head the first of the node's rows, null ids last."""
-    docs = id_text(docs, id_col, text_col)
+    docs = id_text(docs, id_col, text_col).withColumn("copy_key", F.xxhash64("text"))
     least = least_matches(threshold, tolerance)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "copy_key")
     read = stored(_read_docs(docs), "nj-docs")
@@ -335,8 +344,10 @@ def _classes(docs: DataFrame, threshold: float, tolerance: float, block: int, id
     met = met.select("bucket", "band", "node", "own", "lo", "hi", "sig").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
     groups = components(_candidate_forest(met, least), "nj-groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "root").join(nodes.select("node", "copy_id"), "node")
-    texts = docs.join(members, docs["doc_id"].eqNullSafe(members["copy_id"])).select("text", "node", "root", "n")
+    members = groups.join(sizes, "root").join(nodes.select("node", F.col("head.doc_id").alias("head_id"), F.col("head.copy_key").alias("head_key")), "node")
+    # by the text's hash, so rows without an id, or with one id, don't all meet
+    same = (docs["copy_key"] == members["head_key"]) & docs["doc_id"].eqNullSafe(members["head_id"])
+    texts = docs.join(members, same).select("text", "node", "root", "n")
     rows = _blocks(_with_shingles(texts), "n", block).repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     links = stored(_verified(rows, threshold, least), "nj-links")
     classes = components(links.select("a", "b"), "nj-classes")

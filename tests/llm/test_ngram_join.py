@@ -109,3 +109,21 @@ def test_chain_of_versions(spark):
     assert {r[4] for r in want} == {1, 2} and {r[1] for r in want} == {0}
     got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_rows_without_an_id_or_of_one_id_are_read_once(spark, monkeypatch):
+    """Texts of the groups' nodes are met by their hash: as many rows as nodes, whatever the ids."""
+    docs = [(None if i % 3 else 7, text) for i, (_, text) in enumerate(sample(9))] * 2
+    read, real = [], ngram_join._with_shingles
+
+    def counted(rows):
+        read.append((rows.count(), rows.select("node").distinct().count()))
+        return real(rows)
+
+    monkeypatch.setattr(ngram_join, "_with_shingles", counted)
+    got = ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    named = brute([(k, t) for k, (_, t) in enumerate(docs)])
+    ids = dict(enumerate(i for i, _ in docs))
+    assert sorted((r["doc_id"] or 0, r["n_copies"], r["n_links"]) for r in got.collect()) == sorted((ids[k] or 0, n, links) for k, _, _, n, links in named)
+    (rows, nodes), = read
+    assert nodes > 30 and rows <= 3 * nodes  # each row stands there twice, some three times or more
