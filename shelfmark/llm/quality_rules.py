@@ -11,13 +11,13 @@ Repetition is counted exactly: five-word windows are numbered by pairwise factor
 from __future__ import annotations
 
 import random
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from . import crf
@@ -105,8 +105,8 @@ class Lines:
         same[self.line_at[:-1]] = 0
         share = np.add.reduceat(np.column_stack([shape, same]), at, axis=0) / n[:, None]
         doc_lines = np.repeat(np.searchsorted([2, 4, 9], self.lines_of, side="right"), self.lines_of)
-        ends = np.array(["stop" if w[-1:] in ".!?…" else "comma" if w[-1:] in ",;:" else "open" for w in self.kinds])[self.codes[self.line_at[1:] - 1]]
-        begins = np.array(["cap" if w[:1].isupper() else "low" if w[:1].islower() else "sign" for w in self.kinds])[self.codes[at]]
+        ends = np.array(["stop" if w[-1:] in _STOPS else "comma" if w[-1:] in _COMMAS else "open" for w in self.kinds])[self.codes[self.line_at[1:] - 1]]
+        begins = np.array(["cap" if w[:1].isupper() else "low" if w[:1].islower() else "other" if w[:1] > "\xff" and w[:1].isalpha() else "sign" for w in self.kinds])[self.codes[at]]
         size = np.searchsorted([2, 4, 8, 16, 32], n, side="right")
         long = np.searchsorted([3, 5, 8, 14], share[:, 6], side="right")
         bins = np.searchsorted([1e-9, 0.1, 0.3, 0.6], share, side="left")
@@ -125,8 +125,11 @@ class Lines:
         return out
 
 
-#: What is no letter, digit or mark of ordinary prose.
-_SIGN = re.compile(r"[^\w\s.,;:!?'\"()\[\]\-–—…/‘’“”«»]|_")
+#: What is no letter with its marks, digit or punctuation of ordinary prose in any script: of punctuation
+#: outside Latin-1 and the general block all is ordinary.
+_SIGN = regex.compile(r"[^\w\s\p{M}\p{P}\u200c\u200d]|(?=[\x00-\xff\u2000-\u206f])[\p{P}--[.,;:!?¡¿'\"()\[\]\-–—…/‘’“”«»]]", regex.VERSION1)
+_STOPS = ".!?…।॥。！？．｡؟۔։።។"
+_COMMAS = ",;:、，；：،؛"
 
 
 def _shape(w: str) -> tuple[int, ...]:
@@ -134,7 +137,7 @@ def _shape(w: str) -> tuple[int, ...]:
     if core.isalpha():
         return (False, False, len(core) > 1 and core.isupper(), False, False, False, min(len(w), 40), core[0].isupper())
     letters = [c for c in w if c.isalpha()]
-    return (bool(_SIGN.search(w)), w.endswith("!!"), len(letters) > 1 and w.upper() == w, w == "|", any(c.isdigit() for c in w), any(c in "{}[]=;\\" for c in w), min(len(w), 40), bool(letters) and letters[0].isupper())
+    return (bool(_SIGN.search(w)), w.endswith("!!"), len(letters) > 1 and w.isupper(), w == "|", any(c.isdigit() for c in w), any(c in "{}[]=;\\" for c in w), min(len(w), 40), bool(letters) and letters[0].isupper())
 
 
 def training_documents(n: int = 500, seed: int = 7) -> list[list[tuple[str, int]]]:
@@ -244,10 +247,72 @@ def training_documents(n: int = 500, seed: int = 7) -> list[list[tuple[str, int]
     return out
 
 
+#: Some letters, and marks that follow them, of scripts; their stop and comma; whether words are
+#: set apart by spaces.
+SCRIPTS = [
+    ("कखगचजटडतदनपबमयरलवसहअआइउए", "ािीुूेैोौंँः", "।", ",", True),  # Devanagari
+    ("কখগচজটডতদনপবমযরলসহঅআই", "ািীুূেৈোৌং", "।", ",", True),  # Bengali
+    ("கஙசஞடணதநபமயரலவழளறனஅஆஇ", "ாிீுூெேைொ்", ".", ",", True),  # Tamil
+    ("กขคงจชซดตถทนบปพมยรลวสหอ", "ะัาิีึืุู่้", "", "", False),  # Thai
+    ("ابتثجحخدذرزسشصطعغفقكلمنهوي", "", ".", "،", True),  # Arabic
+    ("אבגדהוזחטיכלמנסעפצקרשת", "", ".", ",", True),  # Hebrew
+    ("აბგდევზთიკლმნოპრსტუფქ", "", ".", ",", True),  # Georgian
+    ("አበገደሀወዘሐጠየከለመነሰፈ", "", "።", "፣", True),  # Ethiopic
+    ("абвгдежзиклмнопрстуфхцч", "", ".", ",", True),  # Cyrillic
+    ("αβγδεζηθικλμνξοπρστυφχ", "\u0301", ".", ",", True),  # Greek, decomposed
+    ("aeioubcdfghlmnprstv", "\u0301\u0300\u0302\u0308\u0327", ".", ",", True),  # Latin, decomposed
+    ("가나다라마바사아자차카타파하고노도", "", ".", ",", True),  # Hangul
+    ("天地人山水大小中上下日月火木金土年生学国", "", "。", "，", False),  # Han
+    ("あいうえおかきくけこさしすせそたちつてとのはをん", "", "。", "、", False),  # Kana
+]
+
+
+def documents_in_other_scripts(n: int = 170, seed: int = 11) -> list[list[tuple[str, int]]]:
+    """As training_documents, of prose in the letters of other scripts, with spoilt lines of the same letters
+    beside it, and of messages in lower case without punctuation."""
+    rnd = random.Random(seed)
+    pick = rnd.choice
+
+    def prose(script: tuple) -> str:
+        letters, marks, stop, comma, spaced = script
+
+        def word() -> str:
+            if rnd.random() < 0.05:
+                return str(rnd.randint(1, 2030))
+            return "".join(pick(letters) + (pick(marks) if marks and rnd.random() < 0.5 else "") for _ in range(rnd.randint(1, 5)))
+
+        def sentence() -> str:
+            ws = [word() + comma * (rnd.random() < 0.1) for _ in range(pick([3, 5, 8, 12, 18]))]
+            if letters[0].upper() != letters[0]:
+                ws[0] = ws[0].capitalize()
+            said = (" " if spaced else "").join(ws) + pick([stop, stop, stop, "?", "!"])
+            return said if spaced or rnd.random() < 0.3 else said + " "
+
+        return (" " if spaced else "").join(sentence() for _ in range(pick([1, 2, 3, 6, 12]))).strip()
+
+    out = []
+    for k in range(n):
+        doc: list[tuple[str, int]] = []
+        script = SCRIPTS[k % len(SCRIPTS)]
+        if rnd.random() < 0.15:
+            letters = "aeioubcdfghlmnprstv"
+            message = lambda: " ".join("".join(pick(letters) for _ in range(rnd.randint(1, 8))) for _ in range(rnd.randint(6, 30)))
+            doc = [(message(), CONTENT) for _ in range(rnd.randint(1, 4))]
+        for _ in range(0 if doc else rnd.randint(1, 4)):
+            line = prose(script)
+            if rnd.random() < 0.25:
+                sign = pick("#*$%&|<>~^=_+")
+                doc.append((" ".join(w + sign * rnd.randint(1, 3) for w in line.split(" ")) if " " in line else sign.join(line[:60]), BOILERPLATE))
+            else:
+                doc.append((line, CONTENT))
+        out.append(doc)
+    return out
+
+
 @lru_cache(maxsize=1)
 def model() -> crf.Crf:
     sequences, gold = [], []
-    for doc in training_documents():
+    for doc in training_documents() + documents_in_other_scripts():
         lines = Lines(["\n".join(x for x, _ in doc)])
         sequences.append(lines.features())
         gold.append([label for _, label in doc])
@@ -291,7 +356,8 @@ def quality_rules(docs: DataFrame, min_content_share: float = 0.5, id_col: str =
     as content), base_failed (fewer than 10 words, or over 20 % of them repeated) and kept (base passed,
     and the content share reaches min_content_share).
 
-    A line without a word has no label and counts nowhere. Null and empty texts fail; repeated rows give
+    Of words longer than 40 signs the field knows no more than that. A line without a word has no label and
+    counts nowhere. Null and empty texts fail; repeated rows give
     repeated results; texts of any length are read whole; an empty table gives no rows; other columns,
     whatever their names, are dropped."""
     field = model()

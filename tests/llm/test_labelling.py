@@ -3,6 +3,7 @@ than those of the tables."""
 
 import itertools
 import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -109,3 +110,27 @@ def test_other_texts(spark):
     got = quality_rules.quality_rules(rows).collect()
     assert sorted(r["n_words"] for r in got) == [0, 210_000, 210_000] and all(r["base_failed"] for r in got)
     assert [r["kept"] for r in quality_rules.kept_documents(rows).collect()] == []
+
+
+SCRIPTS = {
+    "Devanagari": "आज सुबह नदी के किनारे बहुत लोग जमा हुए थे। गाँव के मुखिया ने कहा कि पानी का स्तर कल से घट रहा है।",
+    "Bengali": "আজ সকালে নদীর ধারে অনেক মানুষ জড়ো হয়েছিল। গ্রামের প্রধান বলেছেন যে জলের স্তর গতকাল থেকে কমছে।",
+    "Tamil": "இன்று காலை ஆற்றின் கரையில் பல மக்கள் கூடினர். கிராமத் தலைவர் நீர் மட்டம் நேற்று முதல் குறைந்து வருகிறது என்று கூறினார்.",
+    "decomposed Latin": unicodedata.normalize("NFD", "Le maire a déclaré hier que l'été serait très sec, et que les réserves d'eau étaient déjà épuisées à moitié."),
+    "Cyrillic": "Сегодня утром на берегу реки собралось много людей. Глава деревни сказал, что уровень воды со вчерашнего дня падает.",
+    "Arabic": "تجمع كثير من الناس صباح اليوم على ضفة النهر. وقال رئيس القرية إن مستوى المياه ينخفض منذ أمس، وإن المدارس ستفتح يوم الاثنين.",
+    "Hebrew": "הבוקר התאספו אנשים רבים על גדת הנהר. ראש הכפר אמר שמפלס המים יורד מאז אתמול ובתי הספר ייפתחו ביום שני.",
+    "Greek": "Σήμερα το πρωί πολλοί άνθρωποι συγκεντρώθηκαν στην όχθη του ποταμού. Ο πρόεδρος είπε ότι η στάθμη πέφτει από χθες.",
+    "Hangul": "오늘 아침 강가에 많은 사람들이 모였다. 마을 이장은 어제부터 물이 줄고 있다고 말했다. 학교는 월요일에 다시 문을 연다고 한다.",
+    "Ethiopic": "ዛሬ ጠዋት ብዙ ሰዎች በወንዙ ዳር ተሰበሰቡ። የመንደሩ አለቃ የውሃው መጠን ከትናንት ጀምሮ እየቀነሰ ነው አሉ።",
+    "Thai": "เช้านี้มีคนมากมายมารวมตัวกันที่ริมแม่น้ำ ผู้ใหญ่บ้านบอกว่าระดับน้ำลดลงตั้งแต่เมื่อวาน โรงเรียนจะเปิดในวันจันทร์ เด็ก ๆ ดีใจมาก ทุกคนกลับบ้าน และ พักผ่อน ก่อน ค่ำ",
+    "Han": "\n".join(["今天早上许多人聚集在河边，看着上涨的水。", "村长说，从昨天开始水位已经下降。", *(f"{c}天过去了，老人们又说起从前的故事，大家安静地听着。" for c in "一二三四五六七八九")]),
+    "a message": "hey are you coming over later tonight\ni was thinking we could order something and watch that film\nlet me know when you leave work so i can start",
+}
+SPOILT = ["आज## सुबह## नदी** के$$ किनारे## बहुत## लोग** जमा## हुए$$ थे## गाँव** के##", "if (x == 1) { y = [2]; }\nreturn foo.bar();\nvar q = [x];\n#id { color: 0 }\nvar z = [y];", "Click here to subscribe\nCopyright 2020 Example Inc. All rights reserved.\nSign in to share this page"]
+
+
+def test_texts_of_many_scripts_are_kept():
+    texts = [*SCRIPTS.values(), *SPOILT]
+    kept = quality_rules.judge(texts, quality_rules.model(), 0.5)[-1].tolist()
+    assert dict(zip(SCRIPTS, kept)) == dict.fromkeys(SCRIPTS, True) and kept[len(SCRIPTS) :] == [False] * len(SPOILT)
