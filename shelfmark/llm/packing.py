@@ -1,7 +1,7 @@
 """Packing token sequences into windows of a fixed capacity.
 
-Documents are tokenised where they are read and packed there, in loads of a fixed number of windows, so
-nothing is shuffled and a task holds one load at a time. In each load the pieces are spread over k
+Documents are tokenised where they are read and packed there, in loads of a fixed number of windows and of
+documents, so nothing is shuffled and a task holds one load at a time. In each load the pieces are spread over k
 windows by Karmarkar-Karp multiway differencing; k rises while a window exceeds the capacity. The
 emptiest windows are then cut up to fill the room left in the others, and what is left over is cut into
 sequences whose lengths are powers of two, which need no padding.
@@ -16,9 +16,10 @@ import sys
 import unicodedata
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -227,10 +228,42 @@ def pack_load(sizes: list[int], capacity: int = 4096) -> list[list[tuple[int, in
     return whole + kept
 
 
+def pack_rows(sizes: list[int], capacity: int = 4096) -> list[list[tuple[int, int, int]]]:
+    """pack_load of documents of any size: short ones that follow each other, up to a sixteenth of the capacity
+    together, are one size for the differencing and lie in order where it is laid, so its work follows the
+    ids and not the documents."""
+    least, groups, open_, total = capacity // 16, [], [], 0
+    for i, n in enumerate(sizes):
+        if n >= least:
+            groups.append([i])
+            continue
+        open_.append(i)
+        total += n
+        if total >= least:
+            groups.append(open_)
+            open_, total = [], 0
+    if open_:
+        groups.append(open_)
+    ends = [list(accumulate(sizes[i] for i in g)) for g in groups]
+    out = []
+    for pieces in pack_load([e[-1] for e in ends], capacity):
+        seq = []
+        for g, start, n in pieces:
+            k = bisect_right(ends[g], start)
+            while n:
+                i, first = groups[g][k], ends[g][k] - sizes[groups[g][k]]
+                take = min(n, ends[g][k] - start)
+                if take:
+                    seq.append((i, start - first, take))
+                start, n, k = start + take, n - take, k + 1
+        out.append(seq)
+    return out
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096, windows_per_load: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096, windows_per_load: int = 128, rows_per_load: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length (in the document's ids, its end id included), the crc32
     of the piece's ids, doc_tokens, and the sequence and offset where the piece lies.
 
@@ -249,7 +282,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, size, seq
             out = []
-            packed = pack_load([len(h[1]) // 4 for h in held], capacity)
+            packed = pack_rows([len(h[1]) // 4 for h in held], capacity)
             spare: dict[int, int] = {}
             for pieces in packed:
                 if not last and sum(p[2] for p in pieces) < capacity:
@@ -274,7 +307,7 @@ def pack(docs: DataFrame, vocab_path: str, end_id: int = 2, capacity: int = 4096
                     # of a very long document all but the end goes at once, in full windows
                     held.append((doc, ids, 0, n))
                     size += n
-                    if size >= limit:
+                    if size >= limit or len(held) >= rows_per_load:
                         yield flush(False)
         if held:
             yield flush(True)

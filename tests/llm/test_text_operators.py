@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from shelfmark.llm import bpe, chat_format, html_extract, packing, quality_classifier, quality_rules, toxicity
 from shelfmark.llm.common import py_crc_mod
 from shelfmark.llm.queries import vocabulary
@@ -82,6 +84,32 @@ def test_packing_holds_each_id_once(spark):
     assert max(used.values()) <= 4096 and all(n == 4096 or n & (n - 1) == 0 for n in used.values())
 
 
+def test_packing_many_short_documents(spark):
+    """Work and memory follow the ids: 65,536 documents of an id or two take no more than a few megabytes."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    for sizes in ([1] * 65_536, [rnd.choice([1, 2, 3, 40, 255, 256, 300, 5000]) for _ in range(4000)], [], [1], [4096, 1, 8192]):
+        tracemalloc.start()
+        packed = packing.pack_rows(sizes)
+        assert tracemalloc.get_traced_memory()[1] < 60_000_000
+        tracemalloc.stop()
+        cut = {}
+        for seq in packed:
+            n = sum(p[2] for p in seq)
+            assert n <= 4096 and all(p[2] > 0 for p in seq) and (n == 4096 or n & (n - 1) == 0)
+            for i, start, length in seq:
+                cut.setdefault(i, []).append((start, length))
+        assert set(cut) == set(range(len(sizes)))
+        for i, pieces in cut.items():
+            pieces.sort()
+            assert [p[0] for p in pieces] == [sum(p[1] for p in pieces[:k]) for k in range(len(pieces))] and sum(p[1] for p in pieces) == sizes[i]
+    rows = packing.pack(spark.range(200_000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text").coalesce(1), vocabulary("word_bpe_49k.json"))
+    told = rows.groupBy("sequence_id").agg(F.count("*").alias("n"), F.max("offset").alias("last")).collect()
+    assert rows.select("doc_id").distinct().count() == 200_000 and sum(r["n"] for r in told) == 200_000
+    assert all(r["last"] == r["n"] - 1 for r in told) and sum(r["n"] < 4096 for r in told) <= 12
+
+
 def test_packing_nulls_and_empty_tables(spark):
     schema, path = "doc_id long, text string, start string", vocabulary("word_bpe_49k.json")
     got = packing.pack(spark.createDataFrame([(None, None, "x"), (4, "", None), (4, "", None)], schema), path).collect()
