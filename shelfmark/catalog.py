@@ -287,7 +287,7 @@ def link_changes(spark: SparkSession, d: str) -> DataFrame:
     return tell("remove", removed).unionByName(tell("restore", restored)).unionByName(size("remove", after)).unionByName(size("restore", again))
 
 
-def _log(spark: SparkSession, d: str) -> DataFrame:
+def _log(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Lines of a log from `events`: entries of three actions, some undone or without changes, blank and broken lines."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("long").alias("k"))
     id_ = F.lpad(F.col("k").cast("string"), 9, "0")
@@ -299,7 +299,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     made = F.struct(F.struct(F.lit(2).alias("libraryID"), F.lit("A").alias("itemKey")).alias("source"), F.when(F.col("k") % 2 == 0, target).alias("created"))
     bring = F.to_json(F.struct(id_.alias("id"), F.lit("import").alias("action"), F.array(made).alias("rows"), undone))
     line = F.when(F.col("k") % 10 == 0, "  ").when(F.col("k") % 10 == 1, F.concat(F.lit('{"id": '), id_)).when(F.col("k") % 10 == 2, F.lit('{"id": "x", "action": "shout"}')).when(F.col("k") % 10 < 6, bring).otherwise(meta)
-    return e.select(line.alias("value"))
+    return e.select(line.alias("value"), *more)
 
 
 def log_entries(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Recall check, import plans, compare-and-swap change sets, copies and link repair, as DataFrames.
-Nothing here changes a table: each function returns the new state or the outcome of a change."""
+Nothing here changes a table: each function returns the new state or the outcome of a change, which
+execution.py commits."""
 
 from __future__ import annotations
 
@@ -89,32 +90,50 @@ def violations(edits: DataFrame, items: DataFrame, home: int, names: DataFrame |
     return rows.select("target", "field", why.alias("why")).where("why is not null").distinct()
 
 
-def apply_edits(fields: DataFrame, edits: DataFrame, checks: DataFrame | None = None, alive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Compare and swap: edits (target, field, expected, next) are written for a target only if all of
-    its expected values, and its sources' (checks: target, source, field, expected), still stand.
-    Returns target and status, and the fields after the change.
+def checked_edits(fields: DataFrame, edits: DataFrame, checks: DataFrame | None = None, alive: DataFrame | None = None, items: DataFrame | None = None, home: int | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Compare and swap: edits (target, field, expected, next) are for writing only if all of their target's
+    expected values, and its sources' (checks: target, source, field, expected), still stand. Returns
+    target, status and detail, and what is to be written: ordinal, field, value.
 
     Absent values and empty ones are the same, on either side. A target without any field, or not in alive
     where that is given, is missing and nothing of it is written; so is a source, which counts as changed.
-    Several edits of one field of a target must all expect what stands there; the greatest next is
-    written. Refuse violations first: this function doesn't know the libraries."""
+    A target with two different edits of one field is refused whole, and, where items and home are given,
+    so is one with an edit that `violations` finds."""
     blank = lambda c: F.coalesce(c, F.lit(""))
+    edits = edits.select("target", "field", blank("expected").alias("expected"), blank("next").alias("next")).distinct()
     now = fields.select("ordinal", "field", blank("value").alias("value"))
     there = now.select("ordinal").distinct() if alive is None else now.select("ordinal").distinct().join(alive.select("ordinal"), "ordinal", "left_semi")
     held = lambda who: there.select(F.col("ordinal").alias(who), F.lit(True).alias(f"{who}_there"))
     value = lambda who: now.select(F.col("ordinal").alias(who), "field", "value")
-    mine = edits.join(value("target"), ["target", "field"], "left")
-    state = mine.groupBy("target").agg(F.bool_and(blank("expected") == blank("value")).alias("target_ok")).join(held("target"), "target", "left")
+    each = edits.groupBy("target", "field").agg(F.count("*").alias("times"), F.min("expected").alias("expected"))
+    mine = each.join(value("target"), ["target", "field"], "left").withColumn("moved", F.when(F.col("expected") != blank("value"), F.col("field")))
+    state = mine.groupBy("target").agg(F.max("times").alias("times"), F.min("moved").alias("moved")).join(held("target"), "target", "left")
     if checks is not None:
         theirs = checks.join(value("source"), ["source", "field"], "left").join(held("source"), "source", "left")
-        state = state.join(theirs.groupBy("target").agg(F.bool_and(F.col("source_there").isNotNull() & (blank("expected") == blank("value"))).alias("source_ok")), "target", "left")
+        wrong = F.when(F.col("source_there").isNull() | (blank("expected") != blank("value")), F.struct("source", "field"))
+        state = state.join(theirs.groupBy("target").agg(F.min(wrong).alias("wrong")), "target", "left")
     else:
-        state = state.withColumn("source_ok", F.lit(True))
-    status = F.when(F.col("target_there").isNull(), "target-missing").when(~F.coalesce("source_ok", F.lit(True)), "source-changed").when(~F.col("target_ok"), "target-changed").otherwise("written")
-    outcome = state.select("target", status.alias("status"))
-    good = edits.join(outcome.where("status = 'written'"), "target", "left_semi").groupBy(F.col("target").alias("ordinal"), "field").agg(F.max(blank("next")).alias("next"))
-    after = fields.join(good.withColumn("hit", F.lit(True)), ["ordinal", "field"], "full_outer").select("ordinal", "field", F.when(F.col("hit"), F.col("next")).otherwise(F.col("value")).alias("value"))
-    return outcome, after
+        state = state.withColumn("wrong", F.lit(None).cast("struct<source:bigint,field:string>"))
+    if items is not None:
+        why = violations(edits, items, home, names).groupBy("target").agg(F.min(F.concat("field", F.lit(": "), "why")).alias("why"))
+        state = state.join(why, "target", "left")
+    else:
+        state = state.withColumn("why", F.lit(None).cast("string"))
+    refused = F.coalesce("why", F.when(F.col("times") > 1, F.lit("two edits of one field")))
+    gone = F.col("target_there").isNull()
+    status = F.when(refused.isNotNull(), "refused").when(gone, "target-missing").when(F.col("wrong").isNotNull(), "source-changed").when(F.col("moved").isNotNull(), "target-changed").otherwise("written")
+    detail = F.when(refused.isNotNull(), refused).when(gone, "The record is gone or in the trash.").when(F.col("wrong").isNotNull(), F.concat(F.col("wrong.field"), F.lit(" of source "), F.col("wrong.source"), F.lit(" isn't what it was."))).when(F.col("moved").isNotNull(), F.concat("moved", F.lit(" isn't what it was.")))
+    outcome = state.select("target", status.alias("status"), detail.alias("detail"))
+    good = edits.join(outcome.where("status = 'written'"), "target", "left_semi").select(F.col("target").alias("ordinal"), "field", F.col("next").alias("value"))
+    return outcome, good
+
+
+def apply_edits(fields: DataFrame, edits: DataFrame, checks: DataFrame | None = None, alive: DataFrame | None = None, items: DataFrame | None = None, home: int | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Target and status of checked_edits, and the fields after the change."""
+    outcome, good = checked_edits(fields, edits, checks, alive, items, home, names)
+    good = good.select("ordinal", "field", F.col("value").alias("next"), F.lit(True).alias("hit"))
+    after = fields.join(good, ["ordinal", "field"], "full_outer").select("ordinal", "field", F.when(F.col("hit"), F.col("next")).otherwise(F.col("value")).alias("value"))
+    return outcome.select("target", "status"), after
 
 
 def revert(edits: DataFrame) -> DataFrame:
@@ -138,26 +157,31 @@ def stale_links(matches: DataFrame, items: DataFrame, home: int) -> DataFrame:
     return rows.select("l_ordinal", "r_ordinal", reason.alias("reason"))
 
 
-def _link_states(items: DataFrame, links: DataFrame) -> DataFrame:
-    holder = items.select("ordinal", F.coalesce("linked_items", F.array().cast("array<struct<library_id:int,item_key:string>>")).alias("held"), F.lit(True).alias("there"))
+def _link_states(items: DataFrame, links: DataFrame, home: int | None) -> DataFrame:
+    """The links asked for, each once, with `has` and `bar`, why it may not be touched."""
+    gone = F.coalesce("deleted", F.lit(False)) if "deleted" in items.columns else F.lit(False)
+    none = F.array().cast("array<struct<library_id:int,item_key:string>>")
+    holder = items.select("ordinal", F.col("library_id").alias("_library"), F.coalesce("linked_items", none).alias("held"), (~gone).alias("there"))
     want = links.select("ordinal", F.col("library_id").cast("int").alias("library_id"), "item_key").distinct()
     has = F.exists("held", lambda x: (x["library_id"] == F.col("library_id")) & (x["item_key"] == F.col("item_key")))
-    return want.join(holder, "ordinal", "left").withColumn("has", F.coalesce(has, F.lit(False)))
+    bar = F.when(~F.coalesce("there", F.lit(False)), "target-missing").when(F.col("_library") != (F.col("_library") if home is None else F.lit(home)), "not-home")
+    return want.join(holder, "ordinal", "left").withColumn("has", F.coalesce(has, F.lit(False))).withColumn("bar", bar)
 
 
-def remove_links(items: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The removals (ordinal, library_id, item_key) with a status, and items without the links removed."""
-    status = F.when(F.col("there").isNull(), "target-missing").when(F.col("has"), "removed").otherwise("link-missing")
-    outcome = _link_states(items, removals).select("ordinal", "library_id", "item_key", status.alias("status"))
+def remove_links(items: DataFrame, removals: DataFrame, home: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The removals (ordinal, library_id, item_key) with a status, and items without the links removed. A record
+    in the trash (deleted, if items tells) is missing, and with home only records of that library are touched."""
+    status = F.coalesce("bar", F.when(F.col("has"), "removed").otherwise("link-missing"))
+    outcome = _link_states(items, removals, home).select("ordinal", "library_id", "item_key", status.alias("status"))
     gone = outcome.where("status = 'removed'").groupBy("ordinal").agg(F.collect_set(F.struct("library_id", "item_key")).alias("gone"))
     left = F.filter("linked_items", lambda x: ~F.array_contains("gone", x))
     return outcome, items.join(gone, "ordinal", "left").withColumn("linked_items", F.when(F.col("gone").isNull(), F.col("linked_items")).otherwise(left)).drop("gone")
 
 
-def restore_links(items: DataFrame, restores: DataFrame) -> tuple[DataFrame, DataFrame]:
+def restore_links(items: DataFrame, restores: DataFrame, home: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The same links with a status, and items with those that were missing added at the end of their lists."""
-    status = F.when(F.col("there").isNull(), "target-missing").when(F.col("has"), "already-present").otherwise("restored")
-    outcome = _link_states(items, restores).select("ordinal", "library_id", "item_key", status.alias("status"))
+    status = F.coalesce("bar", F.when(F.col("has"), "already-present").otherwise("restored"))
+    outcome = _link_states(items, restores, home).select("ordinal", "library_id", "item_key", status.alias("status"))
     back = outcome.where("status = 'restored'").groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("library_id", "item_key"))).alias("back"))
     more = F.concat(F.coalesce("linked_items", F.array().cast("array<struct<library_id:int,item_key:string>>")), "back")
     return outcome, items.join(back, "ordinal", "left").withColumn("linked_items", F.when(F.col("back").isNull(), F.col("linked_items")).otherwise(more)).drop("back")

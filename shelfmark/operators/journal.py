@@ -1,4 +1,4 @@
-"""The log of sessions: JSON lines, appended as one write, read back with malformed lines apart."""
+"""The log of sessions: JSON lines in segments, one for each append, read back with malformed lines apart."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.versions import Tables, Version
 
 #: Fixed values.
 ACTIONS = ["import", "undo", "update_metadata", "revert_metadata", "remove_link", "restore_link"]
 UNDOABLE = ["import", "update_metadata", "remove_link"]
+LINES, MARKS = "segment long, line long, value string", "id string, undoneAt string"
 REF = "struct<libraryID:int,itemKey:string,title:string,libraryName:string>"
 ENTRY = (
     f"id string, action string, confirmedAt string, at string, session string, status string, detail string, target {REF}, linked {REF}, uri string, reverses string, "
@@ -20,8 +22,8 @@ ENTRY = (
 
 
 def entry_id(at: Column, seed: Column) -> Column:
-    """A time and four hexadecimal digits of a seed's hash: entries sort by time."""
-    return F.concat(at, F.lit("-"), F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(seed), F.lit(0xFFFF)))), 4, "0"))
+    """A time and a seed's 64-bit hash: entries sort by time, and those of one time differ by their seeds."""
+    return F.concat(at, F.lit("-"), F.lpad(F.lower(F.hex(F.xxhash64(seed))), 16, "0"))
 
 
 def session_name(confirmed_at: Column) -> Column:
@@ -54,9 +56,10 @@ def link_entries(outcomes: DataFrame) -> DataFrame:
 
 
 def reversal_entries(entries: DataFrame, outcomes: DataFrame, action: str, at: str) -> DataFrame:
-    """For each entry taken back (outcomes: reverses, status) what became of it: an undo, a revert_metadata
-    or a restore_link entry."""
-    rows = entries.select(F.col("id").alias("reverses")).join(outcomes, "reverses")
+    """For each entry taken back (outcomes: reverses, status, and target where entries may share an id) what
+    became of it: an undo, a revert_metadata or a restore_link entry."""
+    on = ["reverses", *(["target"] if "target" in outcomes.columns else [])]
+    rows = entries.select(F.col("id").alias("reverses"), *on[1:]).join(outcomes, on)
     return rows.select(entry_id(F.lit(at), F.col("reverses")).alias("id"), F.lit(action).alias("action"), "reverses", F.lit(at).alias("at"), "status")
 
 
@@ -66,22 +69,75 @@ def serialized(entries: DataFrame) -> DataFrame:
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Adds the entries to the log's folder in one job: they land whole or not at all."""
+    """Adds the entries to a folder of plain lines in one job; `Log` keeps their order and what was undone."""
     serialized(entries).write.mode("append").text(path)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The entries and the malformed lines of a log; both empty where there is none."""
+    """The entries and the malformed lines of a folder of plain lines; both empty where there is none."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
     return parse(spark.read.text(path) if there else spark.createDataFrame([], "value string"))
 
 
+class Log:
+    """A log in a shared folder. An append is a segment, and a line's place is its segment and its number in
+    it; lines are never rewritten but by `compact`, as marks of what was undone are rows of their own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.tables = spark, Tables(spark, path)
+
+    def append(self, entries: DataFrame) -> None:
+        """All entries, in the order of their ids, or none: one commit."""
+        self.append_lines(serialized(entries.orderBy("id")))
+
+    def append_lines(self, lines: DataFrame) -> None:
+        """value: lines of a log, well formed or not."""
+
+        def make(base: Version | None) -> tuple[dict, None]:
+            rows = lines.select(F.lit(base.number + 1 if base else 1).cast("long").alias("segment"), F.monotonically_increasing_id().alias("line"), "value")
+            if base is not None:
+                return {"changed": {"lines": rows}}, None
+            none = self.spark.createDataFrame([], MARKS)
+            return {"whole": {"lines": rows, "marks": none, "malformed": rows.limit(0)}, "keys": {"lines": [], "marks": ["id"], "malformed": []}}, None
+
+        self.tables.update(make)
+
+    def read(self) -> tuple[DataFrame, DataFrame]:
+        """The entries, with segment and line, and the malformed lines; both empty where there is no log."""
+        version = self.tables.latest()
+        if version is None:
+            return parse(self.spark.createDataFrame([], LINES))
+        entries, malformed = parse(self.tables.table(version, "lines"))
+        marks = self.tables.table(version, "marks").withColumnRenamed("undoneAt", "mark")
+        mark = F.when(F.col("action").isin(UNDOABLE), F.col("mark"))
+        entries = entries.join(marks, "id", "left").withColumn("undoneAt", F.coalesce(mark, "undoneAt")).select(*entries.columns)
+        return entries, malformed.unionByName(self.tables.table(version, "malformed"))
+
+    def mark_undone(self, ids: DataFrame, at: str) -> None:
+        """The undoable entries with these ids (id) are undone at that time."""
+        rows = ids.select("id", F.lit(at).alias("undoneAt")).distinct()
+        self.tables.update(lambda base: (None if base is None else {"changed": {"marks": rows}}, None))
+
+    def compact(self) -> None:
+        """One folder of well-formed lines, with the marks in them, in their places; malformed ones apart."""
+
+        def make(base: Version | None) -> tuple[dict | None, None]:
+            if base is None:
+                return None, None
+            entries, malformed = self.read()
+            value = F.to_json(F.struct(*(c for c in entries.columns if c not in ("segment", "line"))))
+            return {"whole": {"lines": entries.select("segment", "line", value.alias("value")), "malformed": malformed.select("segment", "line", "value"), "marks": self.spark.createDataFrame([], MARKS)}}, None
+
+        self.tables.update(make)
+
+
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries, and the malformed lines, of lines of JSON; blank lines are neither."""
+    """Entries, and the malformed lines, of lines of JSON (value; other columns stay); blank lines are neither."""
+    place = [c for c in lines.columns if c != "value"]
     rows = lines.where(t.trimmed(F.col("value")) != "").withColumn("e", F.from_json("value", ENTRY))
     good = F.coalesce(F.col("e.id").isNotNull() & F.col("e.action").isin(ACTIONS), F.lit(False))
-    return rows.where(good).select("e.*"), rows.where(~good).select("value")
+    return rows.where(good).select(*place, "e.*"), rows.where(~good).select(*place, "value")
 
 
 def mark_undone(entries: DataFrame, ids: DataFrame, at: str) -> DataFrame:
@@ -92,14 +148,16 @@ def mark_undone(entries: DataFrame, ids: DataFrame, at: str) -> DataFrame:
 def last_session(entries: DataFrame, action: str) -> DataFrame:
     """The entries that one undo of this action takes back: all of the latest session that is not undone. Of
     metadata only written ones with changes count, of links only removed ones with their uri; an entry
-    without a session is one of its own."""
+    without a session is one of its own. The latest is the one that stands last in the log; entries without
+    a place stand by their ids."""
     done = F.lit(True)
     if action == "update_metadata":
         done = (F.col("status") == "written") & (F.size("changes") > 0)
     if action == "remove_link":
         done = (F.col("status") == "removed") & F.col("uri").isNotNull()
     left = entries.where((F.col("action") == action) & F.col("undoneAt").isNull() & done).withColumn("unit", F.coalesce("session", "id"))
-    last = left.agg(F.max_by("unit", "id").alias("unit"))
+    place = F.struct("segment", "line") if "segment" in entries.columns else F.col("id")
+    last = left.agg(F.max_by("unit", place).alias("unit"))
     return left.join(last, "unit", "left_semi").drop("unit")
 
 

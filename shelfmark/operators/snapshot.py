@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import text as t
+from ..plans.versions import Tables, Version
 from . import linkage
 
 VERSION = 1
-META, LIBRARIES, WORKS = "schemaVersion int, scannedAt string", "library_id int, name string, version long, local_change string", "id string, confidence string, canonical struct<library_id:int,item_key:string,version:bigint>, items array<struct<library_id:int,item_key:string,version:bigint>>"
+META, LIBRARIES, WORKS = "schemaVersion int, scannedAt string", "library_id int, name string, version bigint, local_change string", "id string, confidence string, canonical struct<library_id:int,item_key:string,version:bigint>, items array<struct<library_id:int,item_key:string,version:bigint>>"
 
 
 @dataclass
@@ -29,27 +29,37 @@ def create(items: DataFrame, works: DataFrame, libraries: DataFrame, scanned_at:
     rows = works.join(items.select("ordinal", ref.alias("ref"), linkage.link_key(F.col("library_id"), F.col("item_key")).alias("key"), t.type_rank(F.col("item_type")).alias("rank")), "ordinal")
     out = rows.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("key", "ref"))).alias("members"), F.max("confidence").alias("confidence"), F.min_by("ref", F.struct("rank", "key")).alias("canonical"))
     ids, refs = F.array_join(F.transform("members", lambda m: m["key"]), "|"), F.transform("members", lambda m: m["ref"])
-    return Snapshot(scanned_at, libraries.select("library_id", "name", "version", "local_change"), out.select(ids.alias("id"), "confidence", "canonical", refs.alias("items")))
+    shelf = libraries.select(F.col("library_id").cast("int").alias("library_id"), "name", F.col("version").cast("long").alias("version"), "local_change")
+    return Snapshot(scanned_at, shelf, out.select(ids.alias("id"), "confidence", "canonical", refs.alias("items")))
 
 
 def save(snapshot: Snapshot, path: str) -> None:
-    """The tables first, the meta row last, so that a half-written snapshot has none."""
-    spark = snapshot.works.sparkSession
-    snapshot.works.write.mode("overwrite").parquet(f"{path}/works")
-    snapshot.libraries.write.mode("overwrite").parquet(f"{path}/libraries")
-    spark.createDataFrame([(VERSION, snapshot.scanned_at)], META).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    """A new generation: its tables first, the manifest last, so a save that dies leaves the one before."""
+    note = {"schemaVersion": VERSION, "scannedAt": snapshot.scanned_at}
+    change = {"whole": {"works": snapshot.works, "libraries": snapshot.libraries}, "note": note}
+    Tables(snapshot.works.sparkSession, path).update(lambda _: (change, None))
+
+
+def is_snapshot(tables: Tables, version: Version) -> bool:
+    """Of this version and shape."""
+    note, said = version.note, version.tables
+    if note.get("schemaVersion") != VERSION or not isinstance(note.get("scannedAt"), str) or not {"works", "libraries"} <= said.keys():
+        return False
+    return all(_shape(tables.table(version, name)) == shape for name, shape in (("libraries", LIBRARIES), ("works", WORKS)))
+
+
+def _shape(rows: DataFrame) -> str:
+    return ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
 
 
 def load(spark: SparkSession, path: str) -> Snapshot | None:
-    """None where there is no snapshot, or none of this version and shape."""
-    try:
-        meta = spark.read.schema(META).json(f"{path}/meta").first()
-        libraries, works = (spark.read.parquet(f"{path}/{x}") for x in ("libraries", "works"))
-        if meta is None or meta["schemaVersion"] != VERSION or meta["scannedAt"] is None:
-            return None
-        return Snapshot(meta["scannedAt"], libraries.select("library_id", "name", "version", "local_change"), works.select("id", "confidence", "canonical", "items"))
-    except AnalysisException:
+    """The newest generation whose manifest and files are whole. None where there is none, where it is not of
+    this version and shape, or where a program of another version has put its meta row beside it."""
+    tables = Tables(spark, path)
+    version = tables.latest(sound=True)
+    if version is None or not is_snapshot(tables, version) or not tables.foreign_rows("meta", META).where(F.coalesce(F.col("schemaVersion"), F.lit(0)) != VERSION).isEmpty():
         return None
+    return Snapshot(version.note["scannedAt"], tables.table(version, "libraries"), tables.table(version, "works"))
 
 
 def work_for(snapshot: Snapshot, refs: DataFrame) -> DataFrame:
