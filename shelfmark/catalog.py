@@ -28,6 +28,12 @@ def _matches(items: DataFrame) -> DataFrame:
     return linkage.match_pairs(linkage.with_items(linkage.candidate_pairs(items), items))
 
 
+def _exact(items: DataFrame) -> DataFrame:
+    """The works of exact edges, from the blocks of links and identifiers alone."""
+    pairs = linkage.candidate_pairs(items, kinds=linkage.ASSERTED)
+    return clustering.works_exact(items, linkage.match_pairs(linkage.with_items(pairs, items)))
+
+
 def _rules() -> Column:
     return F.array_join(F.transform("evidence", lambda e: e["rule"]), ",")
 
@@ -72,12 +78,13 @@ def audit_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def find_copies(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    return linkage.find_copies(items.where("ordinal % 100 = 0"), items).select("l_ordinal", "r_ordinal", "verdict", "tier")
+    index = linkage.block_index(items, f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}", 32)
+    return linkage.find_copies(items.where("ordinal % 100 = 0"), items, index, 32).select("l_ordinal", "r_ordinal", "verdict", "tier")
 
 
 def works_exact(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    return clustering.works_exact(items, _matches(items))
+    return _exact(items)
 
 
 def works_restricted(spark: SparkSession, d: str) -> DataFrame:
@@ -87,23 +94,23 @@ def works_restricted(spark: SparkSession, d: str) -> DataFrame:
 
 def work_rollup(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    out = clustering.roll_up(items, clustering.works_exact(items, _matches(items)))
+    out = clustering.roll_up(items, _exact(items))
     return out.select("work", "work_id", F.array_join(F.transform("library_ids", lambda x: x.cast("string")), ",").alias("library_ids"), "canonical", "doi_conflict")
 
 
 def missing_from_home(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    return clustering.missing_from(items, clustering.works_exact(items, _matches(items)), HOME)
+    return clustering.missing_from(items, _exact(items), HOME)
 
 
 def coverage_matrix(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    return clustering.coverage(items, clustering.works_exact(items, _matches(items)), LIBRARIES)
+    return clustering.coverage(items, _exact(items), LIBRARIES)
 
 
 def also_in(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
-    return clustering.also_in(items, clustering.works_exact(items, _matches(items)))
+    return clustering.also_in(items, _exact(items))
 
 
 def _types() -> Column:
@@ -182,7 +189,7 @@ def _recall(items: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, D
 def near_misses(spark: SparkSession, d: str) -> DataFrame:
     """Over the works of exact edges, which SQL can tell; import_plan takes the restricted ones."""
     items = _items(spark, d)
-    return _recall(items, clustering.works_exact(items, _matches(items)))[2].drop("evidence")
+    return _recall(items, _exact(items))[2].drop("evidence")
 
 
 def import_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -331,7 +338,7 @@ def link_preview(spark: SparkSession, d: str) -> DataFrame:
 def snapshot_lookup(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot written and loaded again, asked for every item and for unknown ones; it knows no name of library 4."""
     items = _items(spark, d)
-    works = clustering.works_exact(items, _matches(items)).withColumn("confidence", F.lit(None).cast("string"))
+    works = _exact(items).withColumn("confidence", F.lit(None).cast("string"))
     libraries = items.groupBy("library_id").agg(F.min("library_name").alias("name"), F.max("version").alias("version"), F.lit(None).cast("string").alias("local_change")).where("library_id <> 4")
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     snapshot.save(snapshot.create(items, works, libraries, "2024-05-01T00:00:00Z"), path)

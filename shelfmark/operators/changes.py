@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.storage import stored
 from . import linkage
 from .difference import FIELDS
 
@@ -22,10 +23,7 @@ def near_misses(items: DataFrame, candidates: DataFrame, home: int) -> tuple[Dat
     record that matches, and the others' near misses: home records, the first reason that holds, its rank,
     and why the rules don't match them. Types and denials don't count here."""
     pairs = linkage.widened_pairs(items.join(candidates.select("ordinal"), "ordinal", "left_semi").unionByName(items.where(F.col("library_id") == home)), home)
-    both = linkage.with_items(pairs, items)
-    judged = linkage.match_pairs(both).select("l_ordinal", "r_ordinal", "verdict", "title_rel", "evidence")
-    both = both.join(judged, ["l_ordinal", "r_ordinal"])
-    present = both.where("verdict = 'match'").groupBy("l_ordinal").agg(F.min("r_ordinal").alias("home_ordinal"))
+    both = linkage.match_pairs(linkage.with_items(pairs, items), keep=True)
     union, common = F.size(F.array_union("l.title_words", "r.title_words")), F.size(F.array_intersect("l.title_words", "r.title_words"))
     overlap = (union > 0) & ((2 * common >= union) | (union - common <= 2))
     creator = F.arrays_overlap("l.creator_keys", "r.creator_keys")
@@ -33,9 +31,12 @@ def near_misses(items: DataFrame, candidates: DataFrame, home: int) -> tuple[Dat
     opening = (F.size("l.title_words") >= 3) & (F.size("r.title_words") >= 3) & (F.slice("l.title_words", 1, 3) == F.slice("r.title_words", 1, 3))
     holds = [F.size(linkage.shared_identifiers("l", "r", True)) > 0, F.col("title_rel").isin("equivalent", "addition-only"), (F.col("title_rel") == "substitution") & creator & overlap, opening & (creator | years)]
     rank = F.coalesce(*(F.when(h, i) for i, h in enumerate(holds)))
-    missed = both.join(present, "l_ordinal", "left_anti").withColumn("rank", rank).where("rank is not null")
     why = F.array_join(F.transform("evidence", lambda e: e["detail"]), " ")
-    return present, missed.select("l_ordinal", "r_ordinal", F.element_at(F.array(*map(F.lit, REASONS)), F.col("rank") + 1).alias("reason"), "rank", why.alias("evidence"))
+    judged = both.select("l_ordinal", "r_ordinal", (F.col("verdict") == "match").alias("matches"), rank.alias("rank"), why.alias("evidence"))
+    judged = stored(judged.where("matches or rank is not null"), "near-misses")  # each pair is judged once
+    present = judged.where("matches").groupBy("l_ordinal").agg(F.min("r_ordinal").alias("home_ordinal"))
+    missed = judged.where("rank is not null").join(present, "l_ordinal", "left_anti")
+    return present, missed.select("l_ordinal", "r_ordinal", F.element_at(F.array(*map(F.lit, REASONS)), F.col("rank") + 1).alias("reason"), "rank", "evidence")
 
 
 def import_plan(candidates: DataFrame, present: DataFrame, missed: DataFrame) -> DataFrame:

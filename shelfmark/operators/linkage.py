@@ -78,9 +78,18 @@ def is_candidate(a: str, b: str) -> Column:
 SLIM = ["ordinal", "library_id", "item_key", "item_type", "normalized_title", "title_words", "creator_keys", "year", "linked_items", *t.IDENTIFIERS]
 
 
-def candidate_pairs(items: DataFrame, across_libraries: bool = True, block: int = 4096) -> DataFrame:
+#: Kinds of block keys; blocks of the dated kinds count only for years that are compatible.
+ASSERTED, DATED = ["link", *t.IDENTIFIERS], ["creator", "title"]
+
+
+def _kind(key: Column) -> Column:
+    return F.substring_index(key, ":", 1)
+
+
+def candidate_pairs(items: DataFrame, across_libraries: bool = True, block: int = 4096, kinds: list[str] | None = None) -> DataFrame:
     """l_ordinal, r_ordinal (left before right) and order_key, the place of the pair in the order in which
-    blocks are met.
+    blocks are met. With kinds only blocks of these kinds count: those ASSERTED are enough for exact matches,
+    as these share an identifier or are linked.
 
     Blocks meet by an equi-join on the key. In blocks of creators and titles the year is part of the join:
     the left rows stand at their year, the right ones at theirs and both neighbours', rows without a year
@@ -88,6 +97,8 @@ def candidate_pairs(items: DataFrame, across_libraries: bool = True, block: int
     dealt over parts, and the right ones go to each, so no task holds a hub's block whole. What meets so
     satisfies is_candidate; keys alone are shuffled."""
     keys = block_keys(items)
+    if kinds is not None:
+        keys = keys.where(_kind(F.col("block_key")).isin(kinds))
     first = keys.groupBy("block_key").agg(F.min(F.struct("ordinal", "key_pos")).alias("at"), F.count("*").alias("n")).where("n > 1")
     keys = keys.join(first, "block_key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     y, bare = F.col("year"), F.array(F.lit(0))
@@ -151,8 +162,9 @@ def _ev(*rows: tuple[str, Column | str]) -> Column:
     return F.array(*(F.struct(F.lit(r).alias("rule"), (F.lit(d) if isinstance(d, str) else d).alias("detail")) for r, d in rows))
 
 
-def match_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs with l and r -> verdict, tier, evidence, the relations, linked, and the same by rules alone.
+def match_pairs(pairs: DataFrame, keep: bool = False) -> DataFrame:
+    """pairs with l and r -> verdict, tier, evidence, the relations, linked, and the same by rules alone. keep: l and
+    r stay.
 
     The ladder is one CASE: the first true row decides. Identifiers come before the denials but types;
     a substituted title turns a shared identifier into a review; links ask for a review unless the
@@ -187,15 +199,52 @@ def match_pairs(pairs: DataFrame) -> DataFrame:
     stale = _ev(("§8.0a", F.when(title.isin("substitution", "missing"), "The link is probably stale.").otherwise("Wrong identifier or type.")))
     ruled = F.col("by_rules.evidence")
     result = F.when(~F.col("linked"), F.col("by_rules")).when(F.col("by_rules.verdict") == "match", _said("match", "exact", F.concat(tier0, ruled))).otherwise(_said("review", "review", F.concat(tier0, ruled, stale)))
-    return base.withColumn("result", result).select("l_ordinal", "r_ordinal", *[c for c in ("order_key",) if c in pairs.columns], "result.verdict", "result.tier", "result.evidence", "title_rel", "type_rel", "linked", F.col("by_rules.verdict").alias("rules_verdict"))
+    return base.withColumn("result", result).select("l_ordinal", "r_ordinal", *[c for c in ("order_key",) if c in pairs.columns], "result.verdict", "result.tier", "result.evidence", "title_rel", "type_rel", "linked", F.col("by_rules.verdict").alias("rules_verdict"), *(["l", "r"] if keep else []))
+
+
+BUCKETS = 256
+
+
+def block_index(items: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The block keys of items, written in folders by a hash of the key and sorted by it, so a search opens only
+    its keys' folders and in them only the row groups that can hold its keys."""
+    rows = block_keys(items).withColumn("bucket", _bucket(buckets))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "block_key").write.partitionBy("bucket").parquet(path)
+    return items.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("block_key"), F.lit(buckets)).cast("int")
+
+
+def search_pairs(sources: DataFrame, index: DataFrame, buckets: int = BUCKETS, asked: int = 64) -> DataFrame:
+    """l_ordinal (a source) and r_ordinal (an item of another library): the candidate pairs of the sources alone, once
+    each. Of an index made by `block_index` only the sources' folders are read, if their numbers, at most
+    `buckets`, are few (`asked`); the pairs that meet are those of the sources' blocks."""
+    mine = block_keys(sources)
+    if "bucket" in index.columns:
+        mine = mine.withColumn("bucket", _bucket(buckets))
+        numbers = [r["bucket"] for r in mine.select("bucket").distinct().collect()]
+        if len(numbers) <= asked:
+            index = index.where(F.col("bucket").isin(numbers))
+    on = ["block_key", *(["bucket"] if "bucket" in index.columns else [])]
+    a = mine.select(*on, F.col("ordinal").alias("l_ordinal"), F.col("library_id").alias("l_lib"), F.col("year").alias("l_year"), (F.col("key_pos") == 0).alias("l_own"))
+    b = index.select(*on, F.col("ordinal").alias("r_ordinal"), F.col("library_id").alias("r_lib"), F.col("year").alias("r_year"), (F.col("key_pos") == 0).alias("r_own"))
+    kind, missing = _kind(F.col("block_key")), F.lit(-2)
+    # a dated block meets a source's year, its neighbours' and the rows without one by equality; a source without a year all of it
+    dated = kind.isin(DATED) & F.col("l_year").isNotNull()
+    years = a.where(dated).withColumn("slot", F.explode(F.array(F.col("l_year") - 1, F.col("l_year"), F.col("l_year") + 1, missing)))
+    pairs = years.join(b.where(kind.isin(DATED)).withColumn("slot", F.coalesce("r_year", missing)), [*on, "slot"]).drop("slot")
+    pairs = pairs.unionByName(a.where(~dated).join(b, on))
+    pairs = pairs.where((F.col("l_lib") != F.col("r_lib")) & ((F.col("l_own") != F.col("r_own")) | (kind != "link")))
+    return pairs.select("l_ordinal", "r_ordinal").distinct()
 
 
-def find_copies(sources: DataFrame, items: DataFrame) -> DataFrame:
+def find_copies(sources: DataFrame, items: DataFrame, index: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """The copies of each source item (some rows of items) in other libraries: match, review and related
-    results, the source as l_ordinal."""
-    pairs = candidate_pairs(items).select("l_ordinal", "r_ordinal")
-    both = pairs.unionByName(pairs.select(F.col("r_ordinal").alias("l_ordinal"), F.col("l_ordinal").alias("r_ordinal")))
-    mine = both.join(sources.select(F.col("ordinal").alias("l_ordinal")), "l_ordinal", "left_semi")
+    results, the source as l_ordinal. index: the items' `block_index`, if there is one."""
+    own = items.join(sources.select("ordinal"), "ordinal", "left_semi")
+    mine = search_pairs(own, block_keys(items) if index is None else index, buckets)
     return match_pairs(with_items(mine, items)).where(F.col("verdict").isin("match", "review", "related"))
 
 
