@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import HOME
-from .operators import changes, execution, journal
+from .operators import difference, execution, journal, linkage, rescan
 from .plans.storage import shared_dir, stored
 from .plans.versions import Tables, Version
-from .sources.items import PART_FIELDS, PART_ITEMS, part_fields, part_items
+from .sources import records
+from .sources.items import PART_FIELDS, PART_ITEMS, PART_RECORDS, TYPE_NAMES, part_fields, part_items, part_records, type_names
 
 
 def _tables(spark: SparkSession, name: str) -> Tables:
@@ -106,13 +107,84 @@ def log_store(spark: SparkSession, d: str) -> DataFrame:
     return each.unionByName(last).groupBy("segment", "action", "state").agg(F.count("*").alias("n"))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (import_outcomes, edit_outcomes, versions_read, log_store)
+def rescan_works(spark: SparkSession, d: str) -> DataFrame:
+    """The works of exact edges, brought up to date from an index that lacked every 41st record and had other
+    titles and no identifiers for every 43rd."""
+    now = catalog._items(spark, d)
+    old = part_items(spark, d).where("ordinal % 41 <> 0").withColumns({c: F.when(F.col("ordinal") % 43 == 0, F.lit(v)).otherwise(F.col(c)) for c, v in (("title", "An older title"), ("doi", None), ("extra", None))})
+    index = rescan.build(linkage.normalize_items(old), exact=True)
+    return rescan.rescan(index, now, exact=True).works.select("ordinal", "work")
+
+
+def typed_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Field records of typed records, whole, under the base names and the types' own."""
+    return records.field_rows(part_records(spark, d), type_names(spark)).select("ordinal", "field", "name", "value")
+
+
+def typed_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Differences over the records of strong pairs only, whose types may name a field each in its way."""
+    items = catalog._items(spark, d)
+    partners = stored(difference.strong_partners(catalog._matches(items), items, HOME), "partners")
+    refs = partners.select(F.col("target").alias("ordinal")).unionByName(partners.select(F.col("source").alias("ordinal")))
+    fields = stored(records.field_rows(part_records(spark, d), type_names(spark), refs), "typed-fields")
+    rows = difference.compare(partners, fields)
+    return rows.select("target", "field", "class", "target_name", F.col("n_alternatives").cast("long").alias("n_alternatives"), "first_alternative")
+
+
+def typed_write(spark: SparkSession, d: str) -> DataFrame:
+    """Publishers of all records that have such a field set to 'Delta', under each type's own name."""
+    wide, names = part_records(spark, d), type_names(spark)
+    edits = wide.where("ordinal % 2 = 0").select(F.col("ordinal").alias("target"), F.lit("publisher").alias("field"), F.lit("Delta").alias("value"))
+    named = records.own_names(edits, wide, names).where("name is not null").select(F.col("target").alias("ordinal"), "name", "value")
+    after = records.written(wide, named)
+    return after.groupBy("item_type").agg(*(F.count_if(F.col(c) == "Delta").alias(c) for c in ("publisher", "university", "institution", "repository")))
+
+
+def library_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Four libraries, each a store of its own with columns of its own: 2 lacks `extra`, 3 has tags, 4 is a feed
+    and not read. One record of library 3 is edited after the scan began."""
+    items = part_items(spark, d).withColumns({"modified": F.concat(F.lit("2024-01-"), F.lpad((F.col("ordinal") % 28 + 1).cast("string"), 2, "0")), "is_regular": F.col("ordinal") % 12 != 1, "top_level": F.lit(True), "deleted": F.col("ordinal") % 10 == 3})
+    libraries = {}
+    for k in catalog.LIBRARIES:
+        rows = items.where(F.col("library_id") == k).drop("library_id", "library_name")
+        libraries[k] = _tables(spark, f"library-{k}")
+        libraries[k].commit(None, {"items": rows.drop("extra") if k == 2 else rows.withColumn("tags", F.array(F.lit("x"))) if k == 3 else rows}, keys={"items": ["ordinal"]})
+    shelf = spark.createDataFrame([(k, f"Library {k}", "user" if k == 1 else "feed" if k == 4 else "group") for k in catalog.LIBRARIES], "library_id int, library_name string, library_type string")
+    pins = records.pinned(libraries)
+    third = libraries[3]
+    third.commit(pins[3], changed={"items": third.table(pins[3], "items").where("ordinal = 6").withColumn("extra", F.lit("edited"))})
+    got = records.scan(libraries, shelf, pins)
+    stale = records.stale(got, libraries, shelf).withColumn("stale", F.lit(True)).select("library_id", "stale")
+    each = got.items.groupBy("library_id").agg(F.count("*").alias("n"), F.count("extra").alias("with_extra"), F.count_if(F.col("extra") == "edited").alias("edited"), F.count("tags").alias("with_tags"))
+    return each.join(got.libraries.select("library_id", "name", "local_change"), "library_id").join(stale, "library_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (import_outcomes, edit_outcomes, versions_read, log_store, rescan_works, typed_fields, typed_differences, typed_write, library_scan)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOW = f"items AS ({PART_ITEMS}), s AS (SELECT *, ordinal % 31 = 0 AS gone, ordinal % 23 = 0 AS trash FROM items)"
 _LINES = "lines AS (SELECT CAST(event_id AS BIGINT) AS k, k % 10 AS r, CASE WHEN k % 3 = 0 THEN 'now' WHEN k % 100 > 90 THEN 'later' ELSE 'open' END AS state FROM events)"
 
+def _typed(wide: str) -> str:
+    """A row for each field that a record's type has, as field_rows reads it; sorted: a date's sortable form."""
+    value = lambda n, b: "coalesce(nullif(substr(date, 12), ''), substr(date, 1, 10))" if b == "date" else f'"{n}"'
+    each = [(kind, *((f, f) if isinstance(f, str) else f)) for kind, fields in TYPE_NAMES.items() for f in fields]
+    return " UNION ALL ".join(f"SELECT ordinal, '{b}' AS field, '{n}' AS name, coalesce({value(n, b)}, '') AS value, {'substr(date, 1, 10)' if b == 'date' else 'NULL'} AS sorted FROM {wide} WHERE item_type = '{kind}'" for kind, n, b in each)
+
+
+_PLAIN = catalog._norm("value")
+_KEPT = "regexp_replace(upper(value), '[^0-9X]', '', 'g')"
+_COMPACT = r"regexp_replace(regexp_replace(lower(value), '[\x{2010}-\x{2015}\x{2212}]', '-', 'g'), '\s+', '', 'g')"
+_TYPED_KEY = f"CASE WHEN trim(value) = '' THEN NULL WHEN sorted IS NOT NULL THEN sorted WHEN field = 'ISBN' THEN coalesce({catalog._isbn(_KEPT)}, {_PLAIN}) WHEN field = 'url' THEN trim(value) WHEN field = 'edition' THEN {_COMPACT} ELSE {catalog._FIELD_KEY} END"
+_TYPED_DIFF = catalog._diff(f"SELECT ordinal, field, value, {_TYPED_KEY} AS key, NULL AS kind FROM ({_typed(f'({PART_RECORDS})')})")
+_OWN_NAME = "CASE WHEN not_offered THEN NULL WHEN field = 'publisher' THEN CASE item_type WHEN 'thesis' THEN 'university' WHEN 'report' THEN 'institution' WHEN 'preprint' THEN 'repository' ELSE 'publisher' END ELSE field END"
+
 ORACLE_SQL = {
+    "rescan_works": catalog.ORACLE_SQL["works_exact"],
+    "typed_fields": f"WITH items AS ({PART_ITEMS}), wide AS ({PART_RECORDS}) SELECT ordinal, field, name, value FROM ({_typed('wide')})",
+    "typed_differences": f"WITH {_TYPED_DIFF} SELECT target, field, class, {_OWN_NAME} AS target_name, n_alternatives, first_alternative FROM diff JOIN n ON ordinal = target",
+    "typed_write": f"WITH items AS ({PART_ITEMS}) SELECT item_type, count(*) FILTER (WHERE e AND item_type IN ('book', 'document')) AS publisher, count(*) FILTER (WHERE e AND item_type = 'thesis') AS university, count(*) FILTER (WHERE e AND item_type = 'report') AS institution, count(*) FILTER (WHERE e AND item_type = 'preprint') AS repository FROM (SELECT item_type, ordinal % 2 = 0 AS e FROM items) GROUP BY item_type",
+    "library_scan": f"WITH items AS ({PART_ITEMS}), k AS (SELECT *, ordinal % 12 <> 1 AND ordinal % 10 <> 3 AS kept FROM items WHERE library_id < 4) SELECT library_id, count(*) FILTER (WHERE kept) AS n, CASE WHEN library_id = 2 THEN 0 ELSE count(extra) FILTER (WHERE kept) END AS with_extra, CAST(0 AS BIGINT) AS edited, CASE WHEN library_id = 3 THEN count(*) FILTER (WHERE kept) ELSE 0 END AS with_tags, 'Library ' || library_id AS name, count(*) || '|' || max('2024-01-' || lpad(CAST(ordinal % 28 + 1 AS STRING), 2, '0')) AS local_change, library_id = 3 AS stale FROM k GROUP BY library_id",
     "import_outcomes": f"""WITH {_NOW}, p AS (SELECT s.*, (row_number() OVER (ORDER BY ordinal) - 1) // CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS chunk FROM s WHERE ordinal % 4 IN (1, 3)),
 home AS (SELECT * FROM s WHERE library_id = {HOME} AND NOT gone AND NOT trash),
 o AS (SELECT CASE WHEN chunk > 2 THEN 'cancelled' WHEN gone OR trash THEN 'source-missing' WHEN ordinal % 29 = 0 OR (chunk > 0 AND ordinal % 37 = 0) THEN 'stale-source'

@@ -70,3 +70,35 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ordinal, creators, isbn, extra."""
     rows = spark.sql(PEOPLE.replace("FROM customer)", "FROM {customer})"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
     return rows.selectExpr("ordinal", "IF(nobody, array(), array(named_struct('last_name', last, 'first_name', first, 'field_mode', mode))) AS creators", "isbn", "extra")
+
+
+#: Fixed values for the fixture: of each type the fields it has, under its own names (name, base); a document has
+#: the base names of all.
+_COMMON = ["title", "abstractNote", "date", "url", "language", "rights"]
+TYPE_NAMES = {
+    "journalArticle": [*_COMMON, "publicationTitle", "journalAbbreviation", "volume", "issue", "pages", "DOI", "ISSN"],
+    "preprint": [*_COMMON, ("repository", "publisher"), "place", "DOI"],
+    "book": [*_COMMON, "volume", "edition", "place", "publisher", "ISBN"],
+    "thesis": [*_COMMON, ("university", "publisher"), "place"],
+    "report": [*_COMMON, ("institution", "publisher"), "place", "pages"],
+    "document": [*_COMMON, "publicationTitle", "journalAbbreviation", "volume", "issue", "pages", "DOI", "ISSN", "edition", "place", "publisher", "ISBN"],
+}
+
+
+def type_names(spark: SparkSession) -> DataFrame:
+    rows = [(kind, *(f if isinstance(f, tuple) else (f, f))) for kind, fields in TYPE_NAMES.items() for f in fields]
+    return spark.createDataFrame(rows, "item_type string, name string, base string")
+
+
+#: Wide records of the same items, in both dialects: all columns are there for all types, as stores have them.
+PART_RECORDS = """
+SELECT ordinal, item_type, title, CASE WHEN ordinal % 3 = 0 THEN 'On glazes.' END AS "abstractNote", concat('Journal ', CAST(ordinal % 2 AS STRING)) AS "publicationTitle", 'J.' AS "journalAbbreviation",
+  CAST(ordinal % 3 AS STRING) AS volume, CASE WHEN ordinal % 5 < 2 THEN '' ELSE CAST(ordinal % 2 AS STRING) END AS issue, CASE WHEN ordinal % 2 = 0 THEN '1-10' ELSE '1 – 10' END AS pages, date, doi AS "DOI", isbn AS "ISBN",
+  CASE WHEN ordinal % 4 = 0 THEN '' ELSE '0021-9010' END AS "ISSN", CASE WHEN ordinal % 7 = 0 THEN 'https://example.org/a' END AS url, CASE WHEN ordinal % 3 = 0 THEN '' ELSE 'Marsh & Sons' END AS publisher,
+  CASE WHEN ordinal % 3 = 1 THEN 'Marsh University' ELSE '' END AS university, 'Marsh Institute' AS institution, CASE WHEN ordinal % 2 = 0 THEN 'arXiv' END AS repository, 'Hue' AS place, CASE WHEN ordinal % 11 = 1 THEN '2' END AS edition, 'en' AS language, CASE WHEN ordinal % 6 = 0 THEN 'free' END AS rights
+FROM items
+"""
+
+
+def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(PART_RECORDS.replace('"', "`").replace("FROM items", "FROM {items}"), items=part_items(spark, sf_dir).select("*"))

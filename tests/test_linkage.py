@@ -137,3 +137,39 @@ def test_rounds_of_bounded_groups_equal_the_plain_replay(spark, most):
     got = {r["ordinal"]: (r["work"], r["confidence"]) for r in clustering.works_restricted(items, matches, most=most).collect()}
     assert got == plain_works(rows, edges)
     assert len({w for w, _ in got.values()}) > 3
+
+
+@pytest.mark.parametrize("kind", ["star", "chain", "mixed"])
+def test_large_components_merge_in_rounds(spark, kind):
+    """None of them is replayed in one task: stars and chains, with few conflicts and with many."""
+    rnd = random.Random(len(kind))
+    pick = lambda *c: rnd.choice(c)
+    n = 18
+    years = {"star": (2000, 2001), "chain": (None, None, None, 2000, 2005), "mixed": (None, 2000, 2001, 2003)}[kind]
+    rows = [(k, "journalarticle", pick(*[None] * 8, "10.5555/a", "10.5555/b"), None, pick(None, None, None, "1", "2") if kind == "mixed" else None, pick(*years)) for k in range(n)]
+    pairs = {"star": [(0, k) for k in range(1, n)], "chain": [(k, k + 1) for k in range(n - 1)], "mixed": sorted(rnd.sample([(a, b) for a in range(n) for b in range(a + 1, n)], 40))}[kind]
+    edges = [(a, b, "exact" if rnd.random() < 0.04 else "high") for a, b in pairs]
+    items = spark.createDataFrame(rows, "ordinal long, item_type string, doi string, isbn13 string, pmid string, year int")
+    matches = spark.createDataFrame([(a, b, "match", t, (a, 0, a, b)) for a, b, t in edges], "l_ordinal long, r_ordinal long, verdict string, tier string, order_key struct<block:long,pos:int,left:long,right:long>")
+    got = {r["ordinal"]: (r["work"], r["confidence"]) for r in clustering.works_restricted(items, matches, most=2).collect()}
+    assert got == plain_works(rows, edges)
+
+
+def test_search_by_a_stored_index(spark, tmp_path):
+    """The pairs of the sources alone, each from its blocks; of the index only their folders are read."""
+    rnd = random.Random(3)
+    pick = lambda *c: rnd.choice(c)
+    rows = [item(n, title=pick("", "Tide mills", "Salt pans"), date=pick(None, "1990", "1991", "1993"), doi=pick(None, None, "10.5555/a", "10.5555/b"), creators=pick([], [("Ode", "A", 0)], [("Ode", "A", 0), ("Rae", "B", 0)])) for n in range(80)]
+    items = linkage.normalize_items(spark.createDataFrame(rows, SCHEMA)).cache()
+    every = linkage.candidate_pairs(items).select("l_ordinal", "r_ordinal").collect()
+    want = sorted({(a, b) for x, y in every for a, b in ((x, y), (y, x)) if a % 9 == 0})
+    sources = items.where("ordinal % 9 = 0")
+    index = linkage.block_index(items, f"file://{tmp_path}/blocks", 16)
+    for got in (linkage.search_pairs(sources, index, 16), linkage.search_pairs(sources, index, 16, asked=0), linkage.search_pairs(sources, linkage.block_keys(items))):
+        assert sorted(map(tuple, got.collect())) == want
+    one = linkage.search_pairs(items.where("ordinal = 9"), index, 16)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    asked = {r["bucket"] for r in index.join(linkage.block_keys(items.where("ordinal = 9")).select("block_key"), "block_key").select("bucket").distinct().collect()}
+    assert "PartitionFilters: [bucket" in plan and len(asked) <= 5
+    found = linkage.find_copies(items.where("ordinal = 9"), items, index, 16)
+    assert sorted(map(tuple, found.select("r_ordinal", "verdict").collect())) == sorted(map(tuple, linkage.find_copies(items.where("ordinal = 9"), items).select("r_ordinal", "verdict").collect()))
