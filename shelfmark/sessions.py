@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import HOME
-from .operators import difference, execution, journal, linkage, rescan
+from .operators import changes, clustering, difference, execution, journal, linkage, previews, reports, rescan
 from .plans.storage import shared_dir, stored
 from .plans.versions import Tables, Version
 from .sources import records
@@ -159,7 +159,53 @@ def library_scan(spark: SparkSession, d: str) -> DataFrame:
     return each.join(got.libraries.select("library_id", "name", "local_change"), "library_id").join(stale, "library_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
 
 
-_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (import_outcomes, edit_outcomes, versions_read, log_store, rescan_works, typed_fields, typed_differences, typed_write, library_scan)
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    items = catalog._items(spark, d)
+    matches, works = stored(catalog._matches(items), "matches"), catalog._exact(items)
+    return reports.audit_report(items, works, matches, clustering.missing_from(items, works, HOME))
+
+
+def copies_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of every hundredth item."""
+    items = catalog._items(spark, d)
+    sources = items.where("ordinal % 100 = 0")
+    pairs = stored(linkage.search_pairs(sources, linkage.block_keys(items)), "searched")
+    copies = stored(linkage.match_pairs(linkage.with_items(pairs, items)).where(F.col("verdict").isin("match", "review", "related")), "copies")
+    fields = part_fields(spark, d).withColumn("key", F.when(F.trim("value") != "", difference.field_key(F.col("field"), F.col("value"))))
+    return reports.copies_report(sources, copies, reports.copy_differences(copies, fields), pairs, items)
+
+
+def copy_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Of all confirmed pairs, field by field."""
+    items = catalog._items(spark, d)
+    copies = catalog._matches(items).where("verdict = 'match'")
+    fields = part_fields(spark, d).withColumn("key", F.when(F.trim("value") != "", difference.field_key(F.col("field"), F.col("value"))))
+    return reports.copy_differences(copies, fields)
+
+
+def import_report(spark: SparkSession, d: str) -> DataFrame:
+    """What became of a plan whose sources changed, checked row by row."""
+    items = part_items(spark, d)
+    now = items.where("ordinal % 31 <> 0").select("ordinal", (F.col("version") + F.when(F.col("ordinal") % 29 == 0, 1).otherwise(0)).alias("version"), (F.col("ordinal") % 23 == 0).alias("deleted"))
+    said = changes.precheck(catalog._plan(items), now, items.where("ordinal % 19 = 0").select("ordinal"))
+    said = said.withColumn("status", F.when(F.col("ordinal") > 1500, "cancelled").otherwise(F.col("status"))).withColumn("detail", F.when(F.col("status") == "stale-source", "read it again"))
+    return reports.outcome_report(said, items, "Created")
+
+
+def fill_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.fill_summary(previews.fill_edits(catalog._compared(spark, d)[3]))
+
+
+def undo_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Of a log's import entries, each of up to fifteen rows."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("long").alias("k"))
+    ref = lambda key: F.struct(F.lit(2).alias("libraryID"), key.alias("itemKey"))
+    row = F.struct(F.struct(F.lit(2).alias("libraryID"), F.lit("A").alias("itemKey"), F.lit(1).cast("long").alias("version"), F.when(F.col("k") % 7 > 0, F.concat(F.lit("T"), F.col("k"))).alias("title")).alias("source"), F.when(F.col("k") % 3 > 0, ref(F.col("k").cast("string"))).alias("created"))
+    entries = e.groupBy(F.floor(F.col("k") / 15).cast("string").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    return reports.undo_question(entries.withColumn("action", F.lit("import")).withColumn("confirmedAt", F.when(F.col("id") % 2 == 0, "noon")))
+
+
+_ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (import_outcomes, edit_outcomes, versions_read, log_store, rescan_works, typed_fields, typed_differences, typed_write, library_scan, audit_report, copies_report, copy_differences, import_report, fill_summary, undo_questions)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NOW = f"items AS ({PART_ITEMS}), s AS (SELECT *, ordinal % 31 = 0 AS gone, ordinal % 23 = 0 AS trash FROM items)"
@@ -179,7 +225,28 @@ _TYPED_KEY = f"CASE WHEN trim(value) = '' THEN NULL WHEN sorted IS NOT NULL THEN
 _TYPED_DIFF = catalog._diff(f"SELECT ordinal, field, value, {_TYPED_KEY} AS key, NULL AS kind FROM ({_typed(f'({PART_RECORDS})')})")
 _OWN_NAME = "CASE WHEN not_offered THEN NULL WHEN field = 'publisher' THEN CASE item_type WHEN 'thesis' THEN 'university' WHEN 'report' THEN 'institution' WHEN 'preprint' THEN 'repository' ELSE 'publisher' END ELSE field END"
 
+_MANY = lambda n, one, many: f"{n} || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {many}' END"
+_DETAILS = "list_aggregate([CASE r WHEN 'Tier 0' THEN 'Linked by a person.' WHEN 'D6' THEN 'Item types incompatible.' WHEN 'D1' THEN 'DOIs differ.' WHEN 'D2' THEN 'ISBNs differ.' WHEN 'D3' THEN 'PMIDs differ.' WHEN 'D5' THEN 'Years differ by more than one.' WHEN 'D7' THEN 'Title words substituted.' WHEN '§8.1' THEN 'Titles differ although an identifier is shared.' WHEN '§8.0a' THEN CASE WHEN title_rel IN ('substitution', 'missing') THEN 'The link is probably stale.' ELSE 'Wrong identifier or type.' END WHEN 'Tier 3' THEN 'One word differs by one letter.' WHEN 'Tier 4' THEN CASE WHEN type_rel = 'related' THEN 'Related types without further agreement.' ELSE 'Not enough agreement.' END ELSE r END FOR r IN string_split(rules, ',')], 'string_agg', ' ')"
+_FIELDS = f"f AS (SELECT ordinal, field, coalesce(value, '') AS value, {catalog._FIELD_KEY} AS key FROM ({PART_FIELDS}))"
+_PAIR_DIFF = """pd AS (SELECT * FROM (SELECT coalesce(a.l_ordinal, b.l_ordinal) AS l_ordinal, coalesce(a.r_ordinal, b.r_ordinal) AS r_ordinal, coalesce(a.field, b.field) AS field,
+  CASE WHEN (a.key IS NULL) <> (b.key IS NULL) THEN 'MISSING' WHEN a.key <> b.key THEN 'DIFFERENT' END AS class, coalesce(a.value, '') AS value, coalesce(b.value, '') AS other
+  FROM (SELECT l_ordinal, r_ordinal, f.* FROM cp JOIN f ON f.ordinal = l_ordinal) a FULL JOIN (SELECT l_ordinal, r_ordinal, f.* FROM cp JOIN f ON f.ordinal = r_ordinal) b ON a.l_ordinal = b.l_ordinal AND a.r_ordinal = b.r_ordinal AND a.field = b.field) WHERE class IS NOT NULL)"""
+
 ORACLE_SQL = {
+    "copy_differences": f"WITH {catalog._MATCH}, {_FIELDS}, cp AS (SELECT l_ordinal, r_ordinal FROM m WHERE verdict = 'match'), {_PAIR_DIFF} SELECT * FROM pd",
+    "audit_report": f"""WITH RECURSIVE {catalog._WORKS}, mi AS (SELECT work FROM works JOIN n USING (ordinal) GROUP BY work HAVING count(*) FILTER (WHERE library_id = {HOME}) = 0),
+mt AS (SELECT string_agg('- ' || t, chr(10) ORDER BY work) AS lines, count(*) AS shown, any_value(total) AS total FROM (SELECT work, coalesce(title, 'Untitled') || ' (' || library_name || ')' AS t, count(*) OVER () AS total FROM mi JOIN n ON ordinal = work ORDER BY work LIMIT 20)),
+lw AS (SELECT l_ordinal, r_ordinal, '- ' || coalesce(a.title, 'Untitled') || ' (' || a.library_name || ') / ' || coalesce(b.title, 'Untitled') || ' (' || b.library_name || '): ' || {_DETAILS} AS t, count(*) OVER () AS total FROM m JOIN n a ON a.ordinal = l_ordinal JOIN n b ON b.ordinal = r_ordinal WHERE linked AND rules_verdict <> 'match' ORDER BY 1, 2 LIMIT 25),
+lt AS (SELECT string_agg(t, chr(10) ORDER BY l_ordinal, r_ordinal) AS lines, count(*) AS shown, any_value(total) AS total FROM lw),
+c AS (SELECT count(*) AS pairs, count(*) FILTER (WHERE linked) AS linked FROM m), w AS (SELECT count(DISTINCT work) AS works FROM works)
+SELECT {_MANY('pairs', 'pair', 'pairs')} || ' compared, ' || {_MANY('works', 'work', 'works')} || ' found, ' || mt.total || ' of them not at home.' || chr(10) || chr(10) || {_MANY('linked', 'linked pair', 'linked pairs')} || ', ' || lt.total || ' of which the rules don''t match.' || chr(10) || chr(10)
+  || 'Linked but not matched, ' || lt.shown || ' of ' || lt.total || ':' || chr(10) || lt.lines || chr(10) || chr(10) || 'Not at home, ' || mt.shown || ' of ' || mt.total || ':' || chr(10) || mt.lines AS text FROM c, w, mt, lt""",
+    "import_report": f"""WITH items AS ({PART_ITEMS}), s AS (SELECT ordinal, title, CASE WHEN ordinal > 1500 THEN 'cancelled' WHEN ordinal % 31 = 0 OR ordinal % 23 = 0 THEN 'source-missing' WHEN ordinal % 29 = 0 THEN 'stale-source' WHEN ordinal % 19 = 0 THEN 'already-present' ELSE 'created' END AS s FROM items WHERE ordinal % 4 IN (1, 3))
+SELECT 'Created ' || count(*) FILTER (WHERE s = 'created') || ', skipped ' || count(*) FILTER (WHERE s NOT IN ('created', 'cancelled')) || ', failed 0' || CASE WHEN count(*) FILTER (WHERE s = 'cancelled') > 0 THEN ', not tried ' || count(*) FILTER (WHERE s = 'cancelled') ELSE '' END || '.'
+  || coalesce(chr(10) || chr(10) || string_agg('- ' || coalesce(title, 'Untitled') || ': ' || s || CASE WHEN s = 'stale-source' THEN ', read it again' ELSE '' END, chr(10) ORDER BY ordinal) FILTER (WHERE s NOT IN ('created', 'cancelled')), '') AS text FROM s""",
+    "fill_summary": f"WITH {catalog._DIFF} SELECT {_MANY('count(DISTINCT target)', 'record', 'records')} || ' can gain ' || {_MANY('count(*)', 'field', 'fields')} || '; nothing else is written.' AS text FROM diff WHERE {catalog._FILL}",
+    "undo_questions": f"""WITH r AS (SELECT CAST(event_id // 15 AS STRING) AS id, event_id // 15 AS e, event_id AS k, row_number() OVER (PARTITION BY event_id // 15 ORDER BY event_id) AS no FROM events WHERE event_id % 3 > 0)
+SELECT id, 'Move ' || {_MANY('count(*)', 'copy', 'copies')} || ' of ' || CASE WHEN any_value(e) % 2 = 0 THEN 'noon' ELSE 'an unknown time' END || ' to the trash?' || chr(10) || chr(10) || string_agg('- ' || CASE WHEN k % 7 > 0 THEN 'T' || k ELSE 'Untitled' END, chr(10) ORDER BY k) FILTER (WHERE no <= 10) || CASE WHEN count(*) > 10 THEN chr(10) || 'and ' || (count(*) - 10) || ' more' ELSE '' END AS text FROM r GROUP BY id""",
     "rescan_works": catalog.ORACLE_SQL["works_exact"],
     "typed_fields": f"WITH items AS ({PART_ITEMS}), wide AS ({PART_RECORDS}) SELECT ordinal, field, name, value FROM ({_typed('wide')})",
     "typed_differences": f"WITH {_TYPED_DIFF} SELECT target, field, class, {_OWN_NAME} AS target_name, n_alternatives, first_alternative FROM diff JOIN n ON ordinal = target",
