@@ -123,7 +123,7 @@ def _compared(spark: SparkSession, d: str, fields: DataFrame | None = None) -> t
     items = _items(spark, d)
     partners = stored(difference.strong_partners(_matches(items), items, HOME), "partners")
     fields = part_fields(spark, d) if fields is None else fields(items)
-    return items, partners, fields, difference.compare(partners, fields, items.select("ordinal", "item_type", _types().alias("creator_types")))
+    return items, partners, fields, stored(difference.compare(partners, fields, items.select("ordinal", "item_type", _types().alias("creator_types"))), "differences")
 
 
 def difference_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -197,6 +197,12 @@ def import_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.import_plan(*_recall(items, clustering.works_restricted(items, stored(_matches(items), "matches"))))
 
 
+def import_plan_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The import plan over the works of exact edges."""
+    items = _items(spark, d)
+    return changes.import_plan(*_recall(items, _exact(items)))
+
+
 def _plan(items: DataFrame) -> DataFrame:
     return items.where(F.col("library_id") != HOME).select("ordinal", "version", F.when(F.col("ordinal") % 4 == 2, "skip").otherwise("import").alias("decision"))
 
@@ -375,7 +381,7 @@ def stale_links(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     normalize_titles, normalize_identifiers, block_keys, candidate_pairs, candidate_pairs_widened, match_pairs, match_histogram, confirmed_pairs, audit_counters, find_copies,
-    works_exact, works_restricted, work_rollup, missing_from_home, coverage_matrix, also_in, difference_classes, difference_report, fillable_fields, near_misses, import_plan,
+    works_exact, works_restricted, work_rollup, missing_from_home, coverage_matrix, also_in, difference_classes, difference_report, fillable_fields, near_misses, import_plan, import_plan_exact,
     library_fingerprint, stale_libraries, cas_apply, cas_outcomes, undo_session, stale_links, creator_keys, isbn_canonical, extra_identifiers, linked_refs, difference_creators, difference_totals,
     fill_preview, reconcile_preview, reconcile_plan, import_precheck, import_chunks, created_items, trashed_items, edit_violations, link_changes, link_preview, log_entries, log_undo, log_created, snapshot_lookup,
 )
@@ -541,6 +547,7 @@ ORACLE_SQL = {
     "reconcile_preview": f"WITH {_DIFF} SELECT target, field, class, CASE WHEN tv = '' THEN '—' ELSE tv END AS target_display, coalesce(array_to_string(labels, '; '), '') AS choices, CAST(CASE WHEN {_FILL} THEN 0 ELSE -1 END AS INT) AS default_choice, {_OFFER} AS offerable, CAST(format_only AS INT) + CAST({_OFFER} AND class = 'MISSING' AND missing_in = 'target' AND field IN ('DOI', 'ISBN', 'ISSN') AS INT) + CAST(not_offered AS BIGINT) AS n_notes FROM diff",
     "reconcile_plan": f"WITH {_DIFF} SELECT target, field, tv AS expected, alts[target % 3] AS next, class FROM diff WHERE {_OFFER} AND target % 3 BETWEEN 1 AND n_alternatives",
     "near_misses": f"WITH RECURSIVE {_RECALL} SELECT l_ordinal, r_ordinal, ['shared-identifier', 'same-title', 'similar-title', 'same-opening-words'][rank + 1] AS reason, CAST(rank AS INT) AS rank FROM judged WHERE rank IS NOT NULL",
+    "import_plan_exact": f"WITH RECURSIVE {_RECALL}, c AS (SELECT l_ordinal, count(*) AS c FROM judged WHERE rank IS NOT NULL GROUP BY 1) SELECT ordinal, coalesce(c, 0) AS near_misses, CASE WHEN c IS NULL THEN 'import' ELSE 'skip' END AS decision FROM wanted LEFT JOIN c ON l_ordinal = ordinal WHERE ordinal NOT IN (SELECT l_ordinal FROM wm WHERE verdict = 'match')",
     "import_precheck": f"WITH {_ITEMS}, s AS (SELECT CASE WHEN ordinal % 31 = 0 OR ordinal % 23 = 0 THEN 1 WHEN ordinal % 29 = 0 THEN 2 WHEN ordinal % 19 = 0 THEN 3 ELSE 0 END AS s FROM items WHERE ordinal % 4 IN (1, 3)) SELECT count(*) FILTER (WHERE s = 0) AS created, count(*) FILTER (WHERE s = 1) AS source_missing, count(*) FILTER (WHERE s = 2) AS stale_source, count(*) FILTER (WHERE s = 3) AS already_present FROM s",
     "import_chunks": f"WITH {_ITEMS}, c AS (SELECT ordinal, ordinal % 12 AS session, (row_number() OVER (PARTITION BY ordinal % 12 ORDER BY ordinal) - 1) // 25 AS chunk FROM items WHERE ordinal % 4 IN (1, 3)) SELECT session, chunk, count(*) AS n, min(ordinal) AS first FROM c GROUP BY ALL",
     "created_items": f"WITH {_ITEMS} SELECT -ordinal AS ordinal, CAST({HOME} AS INT) AS library_id, 'copy of ' || library_id || ':' || item_key AS item_key, CAST(0 AS BIGINT) AS version, title, library_id || ':' || item_key AS linked FROM items WHERE ordinal % 4 IN (1, 3)",

@@ -28,7 +28,7 @@ def _nfkd(s: pd.Series) -> pd.Series:
 
 
 def decomposed(values: Column) -> Column:
-    """An array's strings with compatibility forms decomposed. Rows of ASCII alone are not sent to Python."""
+    """An array's strings with compatibility forms decomposed. Of rows of ASCII alone Python gets a null."""
     other = F.coalesce(F.exists(values, lambda x: x.rlike(r"[^\x00-\x7F]")), F.lit(False))
     return F.when(other, _nfkd(F.when(other, values))).otherwise(values)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.storage import stored
 
 #: Fixed values, in report order.
 FIELDS = ["title", "abstractNote", "publicationTitle", "journalAbbreviation", "volume", "issue", "pages", "date", "DOI", "ISBN", "ISSN", "url", "publisher", "place", "edition", "language", "rights"]
@@ -80,7 +81,10 @@ def compare(partners: DataFrame, fields: DataFrame, records: DataFrame | None =
     for c, kind in (("name", "string"), ("key", "string"), ("kinds", "array<string>")):
         if c not in fields.columns:
             fields = fields.withColumn(c, F.lit(None).cast(kind))
+    refs = partners.select(F.col("target").alias("ordinal")).unionByName(partners.select(F.col("source").alias("ordinal"))).distinct()
+    fields = fields.join(refs, "ordinal", "left_semi")
     keyed = fields.withColumns({"name": F.coalesce("name", "field"), "value": F.coalesce("value", F.lit(""))}).withColumn("key", F.when(t.trimmed(F.col("value")) != "", F.coalesce("key", field_key(F.col("field"), F.col("value")))))
+    keyed = stored(keyed.select("ordinal", "field", "name", "value", "key", "kinds"), "keyed-fields")  # both sides read it, keyed once
     mine = keyed.join(partners.select("target").distinct(), keyed["ordinal"] == F.col("target"), "left_semi").select(F.col("ordinal").alias("target"), "field", F.col("name").alias("target_name"), F.col("value").alias("target_value"), F.col("key").alias("target_key"))
     theirs = partners.join(keyed.select(F.col("ordinal").alias("source"), "field", "name", "value", "key", "kinds"), "source").where("key is not null")
     raws = F.array_sort(F.collect_list(F.struct("source", "value")))

@@ -102,3 +102,28 @@ FROM items
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PART_RECORDS.replace('"', "`").replace("FROM items", "FROM {items}"), items=part_items(spark, sf_dir).select("*"))
+
+
+#: Items of `documents`, in both dialects: persons with accents and particles, decomposed and not, up to three
+#: creators, organisations among them. Names are many, so blocks are small.
+DOCUMENT_ITEMS = """
+SELECT k AS ordinal, CAST(k % 4 + 1 AS INT) AS library_id, concat('Library ', CAST(k % 4 + 1 AS STRING)) AS library_name, concat('D', CAST(k AS STRING)) AS item_key, CAST(1 AS BIGINT) AS version,
+  CASE k % 6 WHEN 0 THEN 'book' WHEN 1 THEN 'thesis' WHEN 2 THEN 'document' WHEN 3 THEN 'conferencePaper' ELSE 'journalArticle' END AS item_type,
+  concat(CASE k % 5 WHEN 0 THEN 'Études of ' WHEN 1 THEN 'Etudes of ' WHEN 2 THEN '<i>Études</i>: ' ELSE 'Notes on ' END, source, ' in ', lang, CASE WHEN k % 9 = 0 THEN ', with maps' ELSE '' END) AS title,
+  CASE WHEN k % 23 = 0 THEN NULL ELSE CAST(1990 + k % 5 AS STRING) END AS date, CASE WHEN k % 40 = 0 THEN concat('10.7/', CAST(k % 360 AS STRING)) END AS doi, CAST(NULL AS STRING) AS isbn, CASE WHEN k % 55 = 0 THEN concat('PMID: ', CAST(k % 330 AS STRING)) END AS extra,
+  CASE WHEN k % 31 = 0 THEN NULL ELSE concat(CASE k % 4 WHEN 0 THEN 'Müller-' WHEN 1 THEN 'Mu\u0308ller ' WHEN 2 THEN 'de la Peña ' ELSE 'Åström' END, CAST(k % 60 AS STRING)) END AS last1, CASE k % 3 WHEN 0 THEN 'Élodie' WHEN 1 THEN 'e. m.' ELSE 'Ana' END AS first1,
+  CASE WHEN k % 3 = 1 THEN concat('Ñandú', CAST(k % 70 AS STRING)) END AS last2, CASE WHEN k % 2 = 0 THEN 'José' ELSE ' josé maría' END AS first2,
+  CASE WHEN k % 7 = 2 THEN concat('The Society (', CAST(k % 2 AS STRING), ') for Salt, Ltd. no ', CAST(k % 80 AS STRING)) END AS body,
+  CASE WHEN k % 77 = 0 AND k > 0 THEN k - 1 END AS linked
+FROM (SELECT CAST(doc_id AS BIGINT) AS k, source, lang FROM documents) d
+"""
+
+
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(DOCUMENT_ITEMS.replace("FROM documents)", "FROM {documents})"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    person = lambda n: f"IF(last{n} IS NULL, NULL, named_struct('last_name', last{n}, 'first_name', first{n}, 'field_mode', 0))"
+    return rows.selectExpr(
+        "ordinal", "library_id", "library_name", "item_key", "version", "item_type", "title", "date", "doi", "isbn", "extra",
+        f"filter(array({person(1)}, {person(2)}, IF(body IS NULL, NULL, named_struct('last_name', body, 'first_name', CAST(NULL AS STRING), 'field_mode', 1))), x -> x IS NOT NULL) AS creators",
+        "IF(linked IS NULL, array(), array(named_struct('library_id', CAST(linked % 4 + 1 AS INT), 'item_key', concat('D', CAST(linked AS STRING))))) AS linked_items",
+    )
