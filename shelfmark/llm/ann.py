@@ -274,6 +274,17 @@ def _boxes(placed: DataFrame, cast) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 HITS = "query_id long, vec_id long, score double"
 
 
+def _least_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
+    """The places of rows that are among the `most` least ids of their vector."""
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()
+    _, copy, n = np.unique(raw, return_inverse=True, return_counts=True)
+    if n.max(initial=0) <= most:
+        return np.arange(len(ids))
+    order = np.lexsort((ids, copy))
+    start = np.cumsum(n) - n
+    return np.sort(order[np.arange(len(ids)) - np.repeat(start, n) < most])
+
+
 def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, confidence: float = 0.88, block: int = 8192, sample_rows: int = 65_536, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by query_mod its k nearest other
     rows by inner product in double precision, nearest first, ties to the smaller id; all other rows if
@@ -310,10 +321,13 @@ def search(vectors: DataFrame, query_mod: int = 20, k: int = 20, confidence: flo
                 by = np.lexsort((*x.T, ids)) if len(np.unique(ids)) < len(ids) else np.arange(len(ids))
                 same = np.zeros(len(ids), bool)
                 same[1:] = (ids[by][1:] == ids[by][:-1]) & (x[by][1:] == x[by][:-1]).all(1)
-                own = pa.array(by[~same])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(cast.value.place(x[by[~same]])[0])], ["id", "v", "cell"])
+                mine = by[~same]
+                mine = mine[_least_copies(ids[mine], x[mine], k + 1)]
+                own = pa.array(mine)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(cast.value.place(x[mine])[0])], ["id", "v", "cell"])
 
-    # copies of a vector share a cell; only those of the k + 1 least ids can be among anyone's k nearest
+    # copies of a vector share a cell; only those of the k + 1 least ids can be among anyone's k nearest, and of
+    # these each batch has sent on no more than its own k + 1
     copies = Window.partitionBy("cell", "h", "v").orderBy("id")
     rows = good.mapInArrow(place, f"id long, v {kind}, cell long").withColumn("h", F.xxhash64("v"))
     rows = rows.withColumn("r", F.dense_rank().over(copies)).where(F.col("r") <= k + 1).withColumn("last", F.lag("id").over(copies)).where(F.col("last").isNull() | (F.col("last") != F.col("id")))

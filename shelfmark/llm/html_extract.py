@@ -25,7 +25,8 @@ from . import crf
 from .quality_rules import batches_by_size
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-#: The attributes of a tag, in runs without a way back, so that open quotes cost no more than their length.
+#: The attributes of a tag, in runs without a way back, so that open quotes cost no more than their length; a
+#: tag of over 400 runs (of quoted values and what stands between them) ends at its next >.
 _ATTRS = re.compile(r"""(?:[^'">]++|"[^"]*+"|'[^']*+'){0,400}+>""")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-label|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")

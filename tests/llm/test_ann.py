@@ -88,3 +88,15 @@ def test_odd_vectors_take_no_part(spark):
 def test_chi_square():
     assert ann.chi_square_cdf(np.array(15.507), 8) == pytest.approx(0.95, abs=1e-4)
     assert ann.stop_ratio(0.95, 8) == pytest.approx(15.507, abs=1e-2)
+
+
+def test_of_a_hot_vector_a_batch_sends_on_its_least_ids():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 5))
+    x[100:350] = x[7]
+    ids = rng.permutation(1000)[:400]
+    kept = ann._least_copies(ids, x, 21)
+    hot = np.flatnonzero((x == x[7]).all(1))
+    want = sorted(set(range(400)) - set(hot.tolist()) | set(hot[np.argsort(ids[hot])[:21]].tolist()))
+    assert kept.tolist() == want and ann._least_copies(ids, x, 400).tolist() == list(range(400))
+    assert ann._least_copies(ids[:0], x[:0], 3).tolist() == []
