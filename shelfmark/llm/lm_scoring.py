@@ -29,6 +29,8 @@ START, END = 0xFE, 0xFF
 #: The end of a text among the words; no word holds a line feed.
 END_WORD = "\n"
 WORD, WINDOW = 0, 1
+#: Text read at once, in characters: a worker holds some hundred bytes for each.
+_CHARS = 500_000
 
 
 class Reader:
@@ -91,7 +93,7 @@ def _counts(docs: DataFrame, mod: int, held: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(got[0]), kind, np.int32)), *map(pa.array, got)], ["kind", "key", "n_all", "n_train"])
 
         for b in batches:
-            for ids, texts in batches_by_size(b):
+            for ids, texts in batches_by_size(b, _CHARS):
                 read(texts)
                 train = np.array([i is None or py_crc_mod(i, mod) != held for i in ids])
                 for kind, codes, keys, n in ((WORD, read.word_codes, read.words, read.n_words), (WINDOW, read.window_codes, read.windows, read.n_bytes)):
@@ -192,7 +194,7 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, hot: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, row = Reader(), TaskContext.get().partitionId() << 40
         for b in batches:
-            for ids, texts in batches_by_size(b):
+            for ids, texts in batches_by_size(b, _CHARS):
                 read(texts)
                 m, out = len(ids), []
                 rows = np.arange(row, row + m)
