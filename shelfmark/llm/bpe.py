@@ -4,7 +4,8 @@ Each distinct word is first cut greedily into the longest vocabulary entries. A
 merging by rank would reach exactly if each of its adjacent token pairs is compatible, i.e. if merging
 the two tokens' joined bytes yields the same two tokens; all pairs of a batch of words are tested at
 once with array operations that undo merges down the two tokens' facing edges. Words with a failing
-pair, and only those, are merged exactly. Texts never leave the row's task: there is no shuffle.
+pair, and only those, are merged exactly; of a long word only what stands around its failing pairs, as
+far as the pairs at its borders then fit. Texts never leave the row's task: there is no shuffle.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _NONE = np.zeros(0, np.int32)
 _NEVER = 1 << 62
+#: Words of more bytes are dealt with one by one, this many starting points at a time.
+LONG, STARTS = 1 << 10, 1 << 16
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -68,6 +71,7 @@ class Bpe:
             codes.append(self.token[a] << 32 | self.token[b])
             made.append(self.token[a + b])
         self.left, self.right = np.array(left), np.array(right)
+        self.width = np.fromiter(map(len, self.token), np.int64, len(self.token))
         order = np.argsort(np.array(codes, np.int64), kind="stable")
         self.codes, self.made = np.array(codes, np.int64)[order], np.array(made, np.int64)[order]
         self.merge = dict(zip(codes, made, strict=True))
@@ -149,6 +153,52 @@ class Bpe:
         order = np.argsort(owner, kind="stable")
         return (np.concatenate(tokens) if tokens else owner)[order], owner[order]
 
+    def propose_long(self, raw: bytes) -> np.ndarray:
+        """The tokens of one long word's cut into longest entries. The longest entry is found at many
+        places together, and the cut then goes from place to place."""
+        after, entry = self.trie
+        tokens, at = [], 0
+        while at < len(raw):
+            n = min(STARTS, len(raw) - at)
+            text = np.frombuffer(raw[at : at + n + int(self.width.max())], np.uint8)
+            best, node, here = text[:n].astype(np.int64), after[0, text[:n]], np.arange(1, n + 1)
+            live = np.arange(n)
+            while len(live):
+                live, node, here = (x[here < len(text)] for x in (live, node, here))
+                node = after[node, text[here]]
+                live, node, here = (x[node > 0] for x in (live, node, here + 1))
+                t = entry[node]
+                hit = t >= 0
+                best[live[hit]] = t[hit]
+            end, k, path = (np.arange(n) + self.width[best]).tolist(), 0, []
+            while k < n:
+                path.append(k)
+                k = end[k]
+            tokens.append(best[path])
+            at += k
+        return np.concatenate(tokens)
+
+    def encode_long(self, raw: bytes) -> np.ndarray:
+        """The tokens of one long word: proposed, all pairs verified; the tokens around each failing pair are
+        merged exactly, and as long as a pair still fails there, twice as many. Time and memory grow with
+        the word where pairs that fail stand apart."""
+        tok, around = self.propose_long(raw), 4
+        while True:
+            distinct, back = np.unique(tok[:-1] << 32 | tok[1:], return_inverse=True)
+            bad = np.flatnonzero(~self.compatible(distinct >> 32, distinct & 0xFFFFFFFF)[back]) + 1
+            if not len(bad):
+                return tok
+            lo, hi = np.maximum(bad - around, 0), np.minimum(bad + around, len(tok))
+            cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+            lo, hi = lo[np.append(0, cut)], hi[np.append(cut - 1, len(hi) - 1)]
+            edge = ranges(self.width[tok])
+            mended = self.exact([raw[s:e] for s, e in zip(edge[lo].tolist(), edge[hi].tolist(), strict=True)])
+            parts, done = [], 0
+            for s, e, new in zip(lo.tolist(), hi.tolist(), mended, strict=True):
+                parts += [tok[done:s], new]
+                done = e
+            tok, around = np.concatenate([*parts, tok[done:]]).astype(np.int64), 2 * around
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What each pair merges to, _NEVER if to nothing; tokens under 0 stand for none."""
         code = a.astype(np.int64) << 32 | b
@@ -213,6 +263,10 @@ class Bpe:
         """Ids of each distinct word as 32-bit integers: proposed, verified together, merged exactly where
         that fails."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) > LONG]
+        whole = [self.id_of[self.encode_long(raw[i])].tobytes() for i in long]
+        for i in long:
+            raw[i] = b""
         flat, owner = self.propose(raw)
         inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
         pair = flat[inner] << 32 | flat[inner + 1]
@@ -224,6 +278,8 @@ class Bpe:
         failing = np.unique(owner[inner[~good]]).tolist()
         for i, tokens in zip(failing, self.exact([raw[i] for i in failing]), strict=True):
             out[i] = self.id_of[tokens].tobytes()
+        for i, ids in zip(long, whole, strict=True):
+            out[i] = ids
         return out
 
     def decode(self, ids: np.ndarray, edges: np.ndarray) -> list[str]:

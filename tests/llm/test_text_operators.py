@@ -59,6 +59,23 @@ def test_bpe_verification_finds_what_greedy_cuts_wrongly():
     assert wrong  # else the test shows nothing
 
 
+@pytest.mark.parametrize("starts", [7, 1 << 16])
+def test_bpe_long_words_are_mended_where_pairs_fail(monkeypatch, starts):
+    monkeypatch.setattr(bpe, "STARTS", starts)
+    b, rnd = bpe.load(vocabulary("byte_bpe_50k.json")), random.Random(8)
+    alphabets = ["ab", "the in", "abcdefghinorst", "-=", "0123", "éßaü", "\n ", "x"]
+    words = ["".join(rnd.choice(rnd.choice(alphabets)) for _ in range(rnd.randint(1, 90))).encode() for _ in range(300)] + ["".join(rnd.choice(a) for _ in range(3000)).encode() for a in alphabets]
+    for w in words:
+        assert b.propose_long(w).tolist() == b.propose([w])[0].tolist()
+        assert b.encode_long(w).tolist() == b._exact_long(w)
+
+
+def test_bpe_of_a_very_long_word_equals_the_library():
+    t, encode, rnd = library("byte_bpe_50k.json"), bpe.encoder(vocabulary("byte_bpe_50k.json")), random.Random(9)
+    for word in ("".join(rnd.choice("abcdefghinorst") for _ in range(200_000)), "nan" * 40_000, "<|endoftext|>" + "漢字" * 20_000):
+        assert encode([word])[0].tolist() == t.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_nulls_repeats_and_empty_tables(spark):
     schema, path = "doc_id long, text string, ids string, decoded string", vocabulary("byte_bpe_50k.json")
     got = bpe.bpe_round_trip(spark.createDataFrame([(1, None, "x", "y"), (None, "a", None, None), (None, "a", None, None)], schema), path).collect()
