@@ -25,9 +25,9 @@ from . import crf
 from .quality_rules import batches_by_size
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-#: The attributes of a tag, in runs without a way back, so that open quotes cost no more than their length; a
-#: tag of over 400 runs (of quoted values and what stands between them) ends at its next >.
-_ATTRS = re.compile(r"""(?:[^'">]++|"[^"]*+"|'[^']*+'){0,400}+>""")
+#: The attributes of a tag, in runs without a way back.
+_ATTRS = re.compile(r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+>""")
+_MARK = re.compile("['\">]")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-label|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 #: Elements of html (fixed by its standard): without content, whose text is no markup, inside a line.
@@ -87,6 +87,31 @@ def _hints(attrs: str) -> int:
     return out
 
 
+class _TagEnds:
+    """Where the tags of a page end. Once one's quotes don't close, the ways through quotes that lead
+    nowhere are remembered, so that a page of such tags is still read in time by its length."""
+
+    def __init__(self, page: str):
+        self.page, self.all_close, self.lost = page, True, set()
+
+    def __call__(self, at: int) -> int:
+        page = self.page
+        if self.all_close:
+            if m := _ATTRS.match(page, at):
+                return m.end()
+            self.all_close = False
+        way, here = [], at
+        while (m := _MARK.search(page, here)) and m.start() not in self.lost:
+            if m[0] == ">":
+                return m.end()
+            way.append(m.start())
+            here = page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        self.lost.update(way)
+        return page.index(">", at) + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in its order. Scripts, styles, the fields of forms and drawings have none;
     unclosed elements end with their parents; a lone '<' is text; a tag whose quotes don't close ends at the
@@ -96,7 +121,7 @@ def blocks(page: str) -> list[Block]:
     opened: dict[str, int] = {}
     buf: list[str] = []
     linked, end = 0, len(page)
-    last = page.rfind(">")
+    last, tag_end = page.rfind(">"), _TagEnds(page)
 
     def flush() -> None:
         nonlocal linked
@@ -138,8 +163,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         if m[2] is None:
             continue
-        rest = _ATTRS.match(page, at)
-        stop = rest.end() if rest else page.index(">", at) + 1
+        stop = tag_end(at)
         attrs, at, tag = page[at : stop - 1], stop, m[2].lower()
         if m[1]:
             if tag in ("br", "p") and not opened.get(tag):
@@ -175,13 +199,16 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+_BLOCKY = re.compile("<(?:p|div|ul|h[1-6]|article)")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 _LEGAL = re.compile(r"©|copyright|all rights reserved|\(c\) \d{4}", re.I)
+#: What stands over the comments of readers.
+_TALK = re.compile(r"(?:\d+ )?(?:comments?|replies|responses|discussion|leave a (?:reply|comment)|join the (?:discussion|conversation))(?: \(?\d+\)?)?:?", re.I)
 _STOCK = re.compile(r"cookie|subscribe|sign (?:in|up)|log ?in|newsletter|advert|sponsor|click here|read (?:more|next)|share|comments?\b|reply|privacy|terms|imprint|contact us|follow us|menu|search", re.I)
 
 
 _INSIDE, _OUTSIDE = (sum(_TAG[t] for t in ts.split()) for ts in ("article main", "nav header footer aside form button dialog"))
-_GOOD = 1 << _KINDS.index("good")
+_GOOD, _H1 = 1 << _KINDS.index("good"), _TAG["h1"]
 
 
 @lru_cache(maxsize=4096)
@@ -201,6 +228,7 @@ def features(page: list[Block]) -> list[list[str]]:
         size = 0 if chars < 20 else 1 if chars < 60 else 2 if chars < 160 else 3 if chars < 400 else 4
         shape.append((size, 0 if share < 0.05 else 1 if share < 0.4 else 2, b.text[-1] in ".!?…\"”»:"))
     count = f"of{0 if n < 3 else 1 if n < 7 else 2 if n < 20 else 3}"
+    headlines, talk = sum(bool(b.tags & _H1) for b in page), False
     for i, b in enumerate(page):
         size, link, stop = shape[i]
         told = _of_ancestors(b.tags, b.hints)
@@ -209,8 +237,16 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append(f"untold-size{size}-link{link}-{stop}")
         if 4 * len(b.text) > longest:
             f.append("long")
+        if b.tags & _H1:
+            where = "inside" if b.tags & _INSIDE else "header" if b.tags & _TAG["header"] else "outside"
+            f += [f"headline-{where}", f"headline-{where}-{'only' if headlines == 1 else 'of-some'}"]
+        if talk:
+            f.append("below-talk")
+        elif size < 2 and _TALK.fullmatch(b.text):
+            talk = True
+            f.append("talk")
         if size < 3 and _LEGAL.search(b.text):
-            f.append("legal")
+            f += ["legal", "legal-" + told[-1]] if told else ["legal"]
         if size < 3 and _STOCK.search(b.text):
             f += ["stock", f"stock{size}"]
         f.append("first" if i == 0 else "after-{}-{}".format(*shape[i - 1]))
@@ -254,7 +290,7 @@ def training_pages(n: int = 420, seed: int = 11) -> list[tuple[str, set[str]]]:
     def named(tag: str, names: str, body: str) -> str:
         """An element that its name tells, or one of a name that tells nothing, or of none."""
         if style == "bare" and tag not in ("form", "button"):
-            return f"<div>{body}</div>"
+            return f"<p>{body}</p>" if rnd.random() < 0.4 and not _BLOCKY.search(body) else f"<div>{body}</div>"
         name = pick(names.split())
         if rnd.random() < 0.25:
             name = pick([f"{name}-{word()}", f"js-{name}", f"{word()} {name}", f"{name}Box"])
@@ -281,10 +317,10 @@ def training_pages(n: int = 420, seed: int = 11) -> list[tuple[str, set[str]]]:
             return named("form", "search login contact signup", f"<label>{pick([words(1, 3), 'Search', 'Sign in'])}</label><input name=x>{pick(['', f'<p>{s}</p>'])}<select><option>{word()}<option>{word()}</select><button>{words(1, 2)}</button><textarea>{s}</textarea>")
         if kind == "talk":
             each = [f"<b>{word()}</b><p>{sentence()} {sentence()}</p>" for _ in range(rnd.randint(1, 4))]
-            head = f"<h2>{pick([words(1, 3), 'Comments', str(len(each)) + ' comments', 'Leave a reply'])}</h2>"
+            head = f"<h2>{pick([words(1, 3) if style != 'bare' else 'Discussion', 'Comments', str(len(each)) + ' comments', 'Leave a reply'])}</h2>"
             if by:
                 return f'<section {pick(["class", "id"])}="{pick(["comments", "discussion", "replies"])}">{head}' + "".join(pick([f"<article>{x}</article>", f"<div>{x}</div>"]) for x in each) + "</section>"
-            return named("div", "comments comment-list discussion replies", head * rnd.randint(0, 1) + "".join(f'<{tag} class="{pick(["comment", "reply", word()])}">{x}</{tag}>' for tag, x in ((pick(["div", "li", "article"]), x) for x in each)))
+            return named("div", "comments comment-list discussion replies", head * (style == "bare" or rnd.random() < 0.5) + "".join(f'<{tag} class="{pick(["comment", "reply", word()])}">{x}</{tag}>' for tag, x in ((pick(["div", "li", "article"]), x) for x in each)))
         if kind == "share":
             return named("div", "share social-links tags byline", pick([f"{link()} {link()}", f"Share {link()} {link()}", f"<span>{word()} {rnd.randint(1, 28)}.{rnd.randint(1, 12)}.20{rnd.randint(10, 24)}</span>"]))
         body = pick([f"&copy; 20{rnd.randint(10, 24)} {words(1, 3)}", f"Copyright 20{rnd.randint(10, 24)} {words(1, 2)}. All rights reserved.", f"<p>{s}</p>{links()}", f"<p>{sentence(2, 9)}</p>", f"{links()}<p>All rights reserved</p>", f"{link('Privacy')} {link('Terms')} {link()}"])
@@ -295,6 +331,7 @@ def training_pages(n: int = 420, seed: int = 11) -> list[tuple[str, set[str]]]:
         style = pick(["semantic", "semantic", "named", "named", "bare"])
         want: list[str] = []
         body: list[str] = []
+        hero = ""
 
         def add(text: str, shown: str) -> None:
             want.append(text)  # noqa: B023
@@ -325,12 +362,21 @@ def training_pages(n: int = 420, seed: int = 11) -> list[tuple[str, set[str]]]:
                 body.append(pick(["<table><tr>" + "".join(f"<td>{x}</td>" for x in rows) + "</tr></table>", "<dl>" + "".join(f"<{d}>{x}</{d}>" for d, x in ((pick(["dt", "dd"]), x) for x in rows)) + "</dl>"]))  # noqa: B023
 
         if rnd.random() < 0.75:
-            title = words(1, 12)
-            add(title, f"<h1>{title}</h1>" if style != "bare" or rnd.random() < 0.7 else f"<div>{title}</div>")
+            title, kind = words(1, 12), rnd.random()
+            shown = f"<h1>{title}</h1>" if style != "bare" or kind < 0.7 else f"<div>{title}</div>"
+            if style == "semantic" and kind < 0.4:  # in a header of the article's own
+                shown = f"<header>{shown}{pick(['', '', other('share')])}</header>"
+            elif style == "named" and kind < 0.35:
+                shown = f'<div class="{pick(["hero", "post-header", "entry-header", "article-header", "title"])}">{shown}</div>'
+                if kind < 0.15:  # over the article, not in it
+                    want.append(title)
+                    hero, shown = shown, ""
+            if shown:
+                add(title, shown)
         for _ in range(pick([1, 1, 1, 2, 3, 5, 9])):
             part()
         for kind in rnd.sample(["ad", "share", "side", "form", "notice"], pick([0, 0, 0, 1, 2])) if style != "bare" else []:
-            body.insert(rnd.randint(1, len(body)), other(kind))
+            body.insert(rnd.randint(min(1, len(body)), len(body)), other(kind))
         whole = "".join(body)
         if style == "semantic":
             whole = pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"]).format(whole)
@@ -343,7 +389,7 @@ def training_pages(n: int = 420, seed: int = 11) -> list[tuple[str, set[str]]]:
         after = [other(k) for k in ("talk", "share", "side", "ad", "form", "foot", "notice") if rnd.random() < often and (style != "bare" or k in ("foot", "share", "notice"))]
         if rnd.random() < 0.1:  # nothing but the article
             before, after = [], []
-        out.append(("<html><body>" * rnd.randint(0, 1) + "".join(before) + whole + "".join(after), {_SPACE.sub(" ", w) for w in want}))
+        out.append(("<html><body>" * rnd.randint(0, 1) + "".join(before) + hero + whole + "".join(after), {_SPACE.sub(" ", w) for w in want}))
     return out
 
 
