@@ -67,3 +67,14 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted(lm_scoring.score(docs).collect(), key=lambda r: r["n_tokens"])
     assert [r["n_tokens"] for r in got] == [1, 1, 3] and got[0] == got[1]
     assert lm_scoring.score(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_very_long_text(spark):
+    rnd = random.Random(6)
+    long = " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 5))) for _ in range(60_000)) + "x" * 40_000
+    docs = [(1, long), (2, long[:500]), (9, long)]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute(docs)
+    for i, (n, known, total, base, score) in want.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, total)
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and got[i]["score"] == pytest.approx(score, rel=1e-9)

@@ -127,6 +127,16 @@ def test_packing_many_short_documents(spark):
     assert all(r["last"] == r["n"] - 1 for r in told) and sum(r["n"] < 4096 for r in told) <= 12
 
 
+def test_packing_beside_columns_of_the_same_names(spark):
+    names = "start length ids_crc32 doc_tokens sequence_id offset".split()
+    docs = [(i % 3, "one two three " * i) for i in range(40)]
+    rows = spark.createDataFrame([(*d, *"abcdef") for d in docs], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).coalesce(1)
+    path = vocabulary("word_bpe_49k.json")
+    got = packing.pack(rows, path)
+    assert got.columns == ["doc_id", *names]
+    assert sorted(got.collect()) == sorted(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), path).collect())
+
+
 def test_packing_nulls_and_empty_tables(spark):
     schema, path = "doc_id long, text string, start string", vocabulary("word_bpe_49k.json")
     got = packing.pack(spark.createDataFrame([(None, None, "x"), (4, "", None), (4, "", None)], schema), path).collect()
@@ -155,6 +165,20 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_chat_of_odd_rows(spark):
+    long = "</s>[INST] no [/INST] " * 40_000
+    rows = [(None, 1, "assistant", "a"), (None, 0, "user", "b"), (1, None, "user", "first"), (1, 0, "user", "y"), (1, 0, "user", "x"), (1, 0, "assistant", "z"), (1, 0, "assistant", "z"), (2, 0, "user", long), (2, 1, "assistant", long)]
+    frame = spark.createDataFrame([(*r, 9, "s") for r in rows], "conv_id long, turn long, role string, text string, start long, rendered string")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_conversations(frame)).collect()}
+    want = {None: [("user", "b"), ("assistant", "a")], 1: [("user", "first"), ("assistant", "z"), ("assistant", "z"), ("user", "x"), ("user", "y")], 2: [("user", long), ("assistant", long)]}
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(loss)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def rules_brute(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
