@@ -15,15 +15,42 @@ from . import clustering, linkage
 @dataclass
 class Index:
     """items: normalised; edges: l_ordinal, r_ordinal, tier, order_key of the confirmed pairs; works: ordinal, work,
-    confidence."""
+    confidence. Of exact edges alone: ties that connect what all of them would."""
 
     items: DataFrame
     edges: DataFrame
     works: DataFrame
 
 
-def _confirmed(matches: DataFrame, exact: bool) -> DataFrame:
-    return matches.where("verdict = 'match' and tier = 'exact'" if exact else "verdict = 'match' and tier in ('exact', 'high')")
+def _confirmed(matches: DataFrame) -> DataFrame:
+    return matches.where("verdict = 'match' and tier in ('exact', 'high')")
+
+
+def _exact(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges, no more than items, that tie what exact matches connect (linkage.exact_edges), and the works."""
+    ends = [F.least("a", "b").alias("l_ordinal"), F.greatest("a", "b").alias("r_ordinal")]
+    edges = linkage.exact_edges(items).select(*ends).distinct()
+    order = F.struct(F.col("l_ordinal").alias("block"), F.lit(0).alias("pos"), F.col("l_ordinal").alias("left"), F.col("r_ordinal").alias("right"))
+    edges = stored(edges.select("l_ordinal", "r_ordinal", F.lit("exact").alias("tier"), order.alias("order_key")), "index-edges")
+    roots = stored(clustering.components(edges.select(F.col("l_ordinal").alias("a"), F.col("r_ordinal").alias("b"))), "index-roots")
+    works = items.select("ordinal").join(roots.withColumnRenamed("node", "ordinal"), "ordinal", "left")
+    return edges, stored(works.select("ordinal", F.coalesce("root", "ordinal").alias("work"), F.when(F.col("root").isNotNull(), "exact").alias("confidence")), "index-works")
+
+
+def _rescan_exact(before: Index, now: DataFrame, moved: DataFrame) -> Index:
+    """Redone are the works that held a touched record or hold one that shares an identifier or a link with one: no
+    exact edge leaves them, so they are tied and clustered as in a full rebuild, and the others stay."""
+    there = moved.where("there").select("ordinal")
+    keys = _keys(now, True)
+    blocks = keys.join(there, "ordinal", "left_semi").select("block_key").distinct()
+    seeds = keys.join(blocks, "block_key", "left_semi").select("ordinal").unionByName(moved.select("ordinal")).distinct()
+    works = stored(before.works.join(seeds, "ordinal", "left_semi").select("work").distinct(), "rescan-works")
+    redone = before.works.join(works, "work", "left_semi").select("ordinal").unionByName(moved.select("ordinal")).distinct()
+    redone = stored(redone, "rescan-reached")
+    edges, again = _exact(stored(now.join(redone, "ordinal", "left_semi"), "rescan-redone"))
+    kept = before.edges.join(redone.withColumnRenamed("ordinal", "l_ordinal"), "l_ordinal", "left_anti").select(*edges.columns)
+    rest = before.works.join(redone, "ordinal", "left_anti").select(*again.columns)
+    return Index(now, stored(kept.unionByName(edges), "index-edges"), stored(rest.unionByName(again), "index-works"))
 
 
 def _clustered(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -33,8 +60,10 @@ def _clustered(items: DataFrame, edges: DataFrame) -> DataFrame:
 def build(items: DataFrame, exact: bool = False) -> Index:
     """From nothing. exact: of exact edges alone, which links and identifiers find; `rescan` takes the same."""
     items = stored(items, "index-items")
-    matches = linkage.match_pairs(linkage.with_items(linkage.candidate_pairs(items, kinds=linkage.ASSERTED if exact else None), items))
-    edges = stored(_confirmed(matches, exact).select("l_ordinal", "r_ordinal", "tier", "order_key"), "index-edges")
+    if exact:
+        return Index(items, *_exact(items))
+    matches = linkage.match_pairs(linkage.with_items(linkage.candidate_pairs(items), items))
+    edges = stored(_confirmed(matches).select("l_ordinal", "r_ordinal", "tier", "order_key"), "index-edges")
     return Index(items, edges, stored(_clustered(items, edges), "index-works"))
 
 
@@ -85,12 +114,14 @@ def rescan(before: Index, now: DataFrame, exact: bool = False) -> Index:
     moved = stored(touched(before.items, now), "rescan-touched")
     if moved.isEmpty():
         return Index(now, before.edges, before.works)
+    if exact:
+        return _rescan_exact(before, now, moved)
     gone = lambda rows, end: rows.join(moved.select(F.col("ordinal").alias(end)), end, "left_anti")
     kept = gone(gone(before.edges, "l_ordinal"), "r_ordinal")
 
     fresh = now.join(moved.where("there"), "ordinal", "left_semi")
     pairs = linkage.search_pairs(fresh, _keys(now, exact)).select(F.least("l_ordinal", "r_ordinal").alias("l_ordinal"), F.greatest("l_ordinal", "r_ordinal").alias("r_ordinal")).distinct()
-    new = stored(_confirmed(linkage.match_pairs(linkage.with_items(pairs, now)), exact).select("l_ordinal", "r_ordinal", "tier"), "rescan-new")
+    new = stored(_confirmed(linkage.match_pairs(linkage.with_items(pairs, now))).select("l_ordinal", "r_ordinal", "tier"), "rescan-new")
 
     # edges in blocks whose first record is another one now
     old_keys, new_keys = _keys(before.items, exact), _keys(now, exact)
