@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..plans.storage import stored
 from ..plans.versions import Tables, Version
 
 #: Fixed values.
@@ -132,12 +133,15 @@ class Log:
         self.tables.update(make)
 
 
-def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries, and the malformed lines, of lines of JSON (value; other columns stay); blank lines are neither."""
+def parse(lines: DataFrame, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Entries, and the malformed lines, of lines of JSON (value; other columns stay); blank lines are neither. keep:
+    what was read is stored, so that no line is read again for each use of them."""
     place = [c for c in lines.columns if c != "value"]
     rows = lines.where(t.trimmed(F.col("value")) != "").withColumn("e", F.from_json("value", ENTRY))
-    good = F.coalesce(F.col("e.id").isNotNull() & F.col("e.action").isin(ACTIONS), F.lit(False))
-    return rows.where(good).select(*place, "e.*"), rows.where(~good).select(*place, "value")
+    rows = rows.withColumn("good", F.coalesce(F.col("e.id").isNotNull() & F.col("e.action").isin(ACTIONS), F.lit(False)))
+    if keep:
+        rows = stored(rows.withColumn("value", F.when(~F.col("good"), F.col("value"))), "parsed")
+    return rows.where("good").select(*place, "e.*"), rows.where("not good").select(*place, "value")
 
 
 def mark_undone(entries: DataFrame, ids: DataFrame, at: str) -> DataFrame:
