@@ -46,3 +46,21 @@ def test_kept_lines_are_read_once(spark):
     entries, broken = journal.parse(lines, keep=True)
     assert (entries.first()["action"], broken.first()["value"]) == ("import", "{")
     assert "from_json" not in entries._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_partners_in_classes(spark, shelf):  # noqa: F811
+    items, every = shelf
+    pairs, targets, sources = linkage.partner_classes(items, 1)
+    side = lambda rows, x: rows.select(F.col("unit").alias(f"{x}_unit"), F.col("ordinal").alias(x))
+    found = pairs.join(side(targets, "target"), "target_unit").join(side(sources, "source"), "source_unit")
+    tell = lambda df, *cols: sorted(map(str, df.select(*cols).collect()))
+    want = difference.strong_partners(every, items, 1).cache()
+    assert tell(found, "target", "source") == tell(want, "target", "source")
+    fields = items.select("ordinal", F.lit("volume").alias("field"), F.when(F.col("ordinal") % 5 > 0, F.concat(F.lit("v"), F.when(F.col("ordinal") % 2 == 0, " ").otherwise(""), F.col("ordinal") % 3)).alias("value"))
+    cols = ["target", "field", "class", "missing_in", "target_value", "n_alternatives", "first_alternative", "notes", "format_only", F.transform("alternatives", lambda a: F.struct(a["value"], a["sources"][0]))]
+    assert tell(difference.compare(linkage.Partners(pairs, targets, sources), fields), *cols) == tell(difference.compare(want, fields), *cols)
+
+
+def test_equal_records_are_partners_as_one(spark):
+    many = linkage.normalize_items(spark.createDataFrame([item(n, title="Tide mills") for n in range(120)], SCHEMA))
+    assert linkage.partner_classes(many, 1).pairs.count() == 1
