@@ -64,3 +64,11 @@ def test_partners_in_classes(spark, shelf):  # noqa: F811
 def test_equal_records_are_partners_as_one(spark):
     many = linkage.normalize_items(spark.createDataFrame([item(n, title="Tide mills") for n in range(120)], SCHEMA))
     assert linkage.partner_classes(many, 1).pairs.count() == 1
+
+
+def test_compared_pairs_are_counted_with_their_libraries(spark, shelf):  # noqa: F811
+    items, every = shelf
+    sources = items.where("ordinal % 9 = 0")
+    found = linkage.pairs_once(sources, items, library=True)
+    want = linkage.search_pairs(sources, linkage.block_keys(items)).join(items.select(F.col("ordinal").alias("r_ordinal"), "library_id"), "r_ordinal")
+    assert rows(found, "library_id") == rows(want, "library_id")
