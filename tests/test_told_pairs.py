@@ -72,3 +72,15 @@ def test_compared_pairs_are_counted_with_their_libraries(spark, shelf):  # noqa:
     found = linkage.pairs_once(sources, items, library=True)
     want = linkage.search_pairs(sources, linkage.block_keys(items)).join(items.select(F.col("ordinal").alias("r_ordinal"), "library_id"), "r_ordinal")
     assert rows(found, "library_id") == rows(want, "library_id")
+
+
+def test_widened_pairs_meet_by_lists_of_equal_keys(spark, shelf):  # noqa: F811
+    items, _ = shelf
+    shared = lambda r: {(i, r[i]) for i in linkage.t.IDENTIFIERS if r[i]} | {("c", k) for k in r["creator_keys"]} | {("o", *r["title_words"][:3]) for _ in [0] if len(r["title_words"]) > 2}
+    every = [(r["ordinal"], r["library_id"], shared(r)) for r in items.collect()]
+    want = sorted((l, r) for l, x, p in every if x != 1 for r, y, q in every if y == 1 and p & q)
+    assert rows(linkage.widened_pairs(items, 1, 5)) == want
+    many = linkage.normalize_items(spark.createDataFrame([item(n) for n in range(3000)], SCHEMA))
+    found = linkage.widened_pairs(many, 1)
+    assert found.count() == 1500 * 1500
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") > 1  # pairs come from lists
