@@ -84,3 +84,11 @@ def test_widened_pairs_meet_by_lists_of_equal_keys(spark, shelf):  # noqa: F811
     found = linkage.widened_pairs(many, 1)
     assert found.count() == 1500 * 1500
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") > 1  # pairs come from lists
+
+
+def test_values_of_partners_are_shuffled_once(spark, shelf):  # noqa: F811
+    items, _ = shelf
+    fields = items.select("ordinal", F.lit("volume").alias("field"), F.lit("v").alias("value"))
+    plan = difference.compare(linkage.partner_classes(items, 1), fields)._jdf.queryExecution().executedPlan().toString()
+    by_target = [line for line in plan.splitlines() if "hashpartitioning(target_unit" in line]
+    assert by_target and not [line for line in by_target if ", field" in line]
