@@ -41,7 +41,7 @@ def _rescan_exact(before: Index, now: DataFrame, moved: DataFrame) -> Index:
     """Redone are the works that held a touched record or hold one that shares an identifier or a link with one: no
     exact edge leaves them, so they are tied and clustered as in a full rebuild, and the others stay."""
     there = moved.where("there").select("ordinal")
-    keys = _keys(now, True)
+    keys = linkage.asserted_keys(now, True)
     blocks = keys.join(there, "ordinal", "left_semi").select("block_key").distinct()
     seeds = keys.join(blocks, "block_key", "left_semi").select("ordinal").unionByName(moved.select("ordinal")).distinct()
     works = stored(before.works.join(seeds, "ordinal", "left_semi").select("work").distinct(), "rescan-works")
@@ -79,32 +79,6 @@ def touched(before: DataFrame, now: DataFrame) -> DataFrame:
     return rows.where(~F.col("old").eqNullSafe(F.col("new"))).select("ordinal", F.col("new").isNotNull().alias("there"))
 
 
-def _firsts(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("block_key").agg(F.min(F.struct("ordinal", "key_pos")).alias("at"), F.count("*").alias("n")).where("n > 1").select("block_key", "at")
-
-
-def _keys(items: DataFrame, exact: bool) -> DataFrame:
-    keys = linkage.block_keys(items)
-    return keys.where(F.substring_index("block_key", ":", 1).isin(linkage.ASSERTED)) if exact else keys
-
-
-def ordered(pairs: DataFrame, items: DataFrame, exact: bool = False) -> DataFrame:
-    """pairs (l_ordinal, r_ordinal, ...) with the order_key that candidate_pairs gives them, from the blocks of
-    their own items alone."""
-    ends = pairs.select(F.explode(F.array("l_ordinal", "r_ordinal")).alias("ordinal")).distinct()
-    keys = _keys(items, exact)
-    own = stored(keys.join(ends, "ordinal", "left_semi"), "rescan-keys")
-    first = _firsts(keys.join(own.select("block_key").distinct(), "block_key", "left_semi"))
-    side = lambda x: own.select(F.col("ordinal").alias(f"{x}_ordinal"), "block_key", F.col("year").alias(f"{x}_year"), (F.col("key_pos") == 0).alias(f"{x}_own"))
-    met = pairs.select("l_ordinal", "r_ordinal").join(side("l"), "l_ordinal").join(side("r"), ["r_ordinal", "block_key"]).join(first, "block_key")
-    kind = F.substring_index("block_key", ":", 1)
-    years = F.coalesce(F.abs(F.col("l_year") - F.col("r_year")) <= 1, F.lit(True))
-    met = met.where((years | ~kind.isin(linkage.DATED)) & ((F.col("l_own") != F.col("r_own")) | (kind != "link")))
-    at = met.groupBy("l_ordinal", "r_ordinal").agg(F.min("at").alias("at"))
-    key = F.struct(F.col("at.ordinal").alias("block"), F.col("at.key_pos").alias("pos"), F.col("l_ordinal").alias("left"), F.col("r_ordinal").alias("right"))
-    return pairs.drop("order_key").join(at, ["l_ordinal", "r_ordinal"]).withColumn("order_key", key).drop("at")
-
-
 def rescan(before: Index, now: DataFrame, exact: bool = False) -> Index:
     """The index of the items now (normalised, or `refreshed`). New pairs come from the blocks of what was touched;
     clustered again are the components, as they are now, that hold a touched record, a neighbour that one
@@ -120,14 +94,14 @@ def rescan(before: Index, now: DataFrame, exact: bool = False) -> Index:
     kept = gone(gone(before.edges, "l_ordinal"), "r_ordinal")
 
     fresh = now.join(moved.where("there"), "ordinal", "left_semi")
-    pairs = linkage.search_pairs(fresh, _keys(now, exact)).select(F.least("l_ordinal", "r_ordinal").alias("l_ordinal"), F.greatest("l_ordinal", "r_ordinal").alias("r_ordinal")).distinct()
+    pairs = linkage.search_pairs(fresh, linkage.asserted_keys(now, exact)).select(F.least("l_ordinal", "r_ordinal").alias("l_ordinal"), F.greatest("l_ordinal", "r_ordinal").alias("r_ordinal")).distinct()
     new = stored(_confirmed(linkage.match_pairs(linkage.with_items(pairs, now))).select("l_ordinal", "r_ordinal", "tier"), "rescan-new")
 
     # edges in blocks whose first record is another one now
-    old_keys, new_keys = _keys(before.items, exact), _keys(now, exact)
+    old_keys, new_keys = linkage.asserted_keys(before.items, exact), linkage.asserted_keys(now, exact)
     hit = old_keys.join(moved, "ordinal", "left_semi").unionByName(new_keys.join(moved, "ordinal", "left_semi")).select("block_key").distinct()
     hit = stored(hit, "rescan-blocks")
-    of = lambda keys, name: _firsts(keys.join(hit, "block_key", "left_semi")).withColumnRenamed("at", name)
+    of = lambda keys, name: linkage.first_rows(keys.join(hit, "block_key", "left_semi")).withColumnRenamed("at", name)
     other = of(old_keys, "was").join(of(new_keys, "is"), "block_key", "full_outer").where(~F.col("was").eqNullSafe(F.col("is"))).select("block_key")
     there = stored(new_keys.join(other, "block_key", "left_semi").select("ordinal", "block_key"), "rescan-others")
     shifted = kept.join(there.withColumnRenamed("ordinal", "l_ordinal"), "l_ordinal").join(there.withColumnRenamed("ordinal", "r_ordinal"), ["r_ordinal", "block_key"])
@@ -150,7 +124,7 @@ def rescan(before: Index, now: DataFrame, exact: bool = False) -> Index:
         reached = stored(reached.unionByName(front), "rescan-reached")
 
     inside = edges.join(reached.withColumnRenamed("ordinal", "l_ordinal"), "l_ordinal", "left_semi")
-    redone = stored(ordered(inside, now, exact).select("l_ordinal", "r_ordinal", "tier", "order_key"), "rescan-redone")
+    redone = stored(linkage.ordered(inside, now, exact).select("l_ordinal", "r_ordinal", "tier", "order_key"), "rescan-redone")
     outside = edges.join(reached.withColumnRenamed("ordinal", "l_ordinal"), "l_ordinal", "left_anti").select(*redone.columns)
     works = _clustered(now.join(reached, "ordinal", "left_semi"), redone)
     rest = before.works.join(reached, "ordinal", "left_anti").join(moved.select("ordinal"), "ordinal", "left_anti")
