@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored
+from ..plans.storage import kept as stored
 
 #: Characters that end a word besides the space: tab, line feed, vertical tab, form feed, carriage return.
 _SPACES = "\t\n\x0b\x0c\r"
